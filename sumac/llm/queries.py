@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sumac.llm import bpe, fingerprint, secret_scan
+from sumac.llm import bpe, fingerprint, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules, or else by the model."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets, strong ones and linked weak ones."""
     return secret_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("found")
@@ -30,9 +35,12 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_url_filter": op5_url_filter,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_fingerprint": op10_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": url_filter.sql(url_filter.train()),
+}
