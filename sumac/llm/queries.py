@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumac.llm import bpe, fingerprint, language_id, quality, secret_scan, url_filter
+from sumac.llm import bpe, fingerprint, language_id, quality, secret_scan, toxicity, url_filter
 from sumac.llm.text import held_out
 
 
@@ -32,6 +32,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the confirmed examples of the labelled four fifths and unlabelled text."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the rules, or else by the model."""
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
@@ -55,6 +62,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
