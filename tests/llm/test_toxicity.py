@@ -15,8 +15,8 @@ def test_features_are_words_and_beginnings():
     low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())
     words = {w for w in re.split(rb"[^a-z\x80-\xff]+", low) if w}
     keys = {(k, w[: k or None]) for w in words for k in X.BEGINNINGS if len(w) >= k}
-    one = {key: X.occurring(np.frombuffer(key[1], np.uint8), np.array([0, len(key[1])]))[1] for key in keys}
-    assert len(bins) == len(keys) and set(np.concatenate(list(one.values()))) == set(bins)
+    each = [X.occurring(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[1] for w in words]
+    assert len(bins) == len(keys) and set(np.concatenate(each)) == set(bins)
 
 
 def test_risk_learns_the_confirmed_words_in_spite_of_toxic_unlabelled_text():
