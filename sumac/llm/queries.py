@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumac.llm import bpe, fingerprint, language_id, quality, secret_scan, toxicity, url_filter
+from sumac.llm import bpe, decontaminate, fingerprint, language_id, quality, secret_scan, toxicity, url_filter
 from sumac.llm.text import held_out
 
 
@@ -44,6 +44,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold an item of the benchmark, each with its best match."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.where("contaminated").drop("contaminated")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets, strong ones and linked weak ones."""
     return secret_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("found")
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_fingerprint": op10_fingerprint,
