@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumac.llm import bpe, decontaminate, fingerprint, language_id, quality, secret_scan, toxicity, url_filter
+from sumac.llm import bagminhash, bpe, decontaminate, fingerprint, language_id, quality, secret_scan, toxicity, url_filter
 from sumac.llm.text import held_out
 
 
@@ -32,6 +32,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates."""
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the confirmed examples of the labelled four fifths and unlabelled text."""
     docs = table(spark, sf_dir, "documents")
@@ -68,6 +73,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
+    "op3_bagminhash": op3_bagminhash,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
