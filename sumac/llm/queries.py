@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumac.llm import bagminhash, bpe, decontaminate, fingerprint, language_id, quality, secret_scan, toxicity, url_filter
+from sumac.llm import bagminhash, bpe, debruijn, decontaminate, fingerprint, language_id, quality, secret_scan, toxicity, url_filter
 from sumac.llm.text import held_out
 
 
@@ -49,6 +49,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words less those of windows that a document with a smaller id has too."""
+    return debruijn.removed(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold an item of the benchmark, each with its best match."""
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bagminhash": op3_bagminhash,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op6_debruijn": op6_debruijn,
     "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
@@ -84,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": url_filter.sql(url_filter.train()),
+    "op6_debruijn": debruijn.SQL,
 }

@@ -153,3 +153,19 @@ def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     np.cumsum(counts, out=at[1:])
     raw = np.ascontiguousarray(values)
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((at * raw.itemsize).astype(np.int32)), pa.py_buffer(raw.tobytes())])
+
+
+def bit_filter(frame: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray:
+    """Packed flags of which remainders of a 64-bit column's values occur. Its size is fixed, however many values there are:
+    it spares work where they are few, and lets others pass where they are many; whoever asks it joins exactly afterwards."""
+    word = F.shiftright(F.col(column).bitwiseAND(F.lit(bits - 1)), 5)
+    there = frame.where(F.col(column).isNotNull()).groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{column}` & 31 as int))")).alias("bits"))
+    got = there.toArrow()  # at most bits / 32 rows
+    flags = np.zeros(bits // 32, "<u4")
+    flags[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint64)
+    return flags
+
+
+def in_filter(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & np.uint64(32 * len(flags) - 1)
+    return (flags[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
