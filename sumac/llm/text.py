@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a task works on at once; one longer text is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -90,26 +90,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = (0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64 | 1
-    up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
-    for out, x in ((up, base), (down, pow(base, -1, 2**64))):
-        out[0], filled, step = 1, 1, x
-        while filled < size:
-            n = min(filled, size - filled)
-            out[filled : filled + n] = out[:n] * _U(step)
-            filled, step = filled + n, step * step % 2**64
-    return up, down
+_BASE = 0x9E3779B97F4A7C15
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _base_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _BASE and of its inverse, at least so many; a worker keeps one table, which doubles as it must."""
+    global _powers
+    if len(_powers[0]) < size:
+        have, grown = len(_powers[0]), 1 << max(12, (size - 1).bit_length())
+        new = []
+        for old, base in zip(_powers, (_BASE, pow(_BASE, -1, 2**64)), strict=True):
+            out = np.empty(grown, np.uint64)
+            out[:have], filled = old, have
+            while filled < grown:
+                n = min(filled, grown - filled)
+                out[filled : filled + n] = out[:n] * _U(pow(base, filled, 2**64))
+                filled += n
+            new.append(out)
+        _powers = (new[0], new[1])
+    return _powers
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, from prefix sums of a polynomial; values: uint64."""
-    size = 1 << max(12, int(len(values)).bit_length())
-    up, down = _powers(seed, size)
+    """A 64-bit hash of values[start:end] for each span, from prefix sums of a polynomial; values: uint64.
+
+    Hashes under several seeds are independent only if their values are (byte_codes or word_hashes under several seeds).
+    """
+    up, down = _base_powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    at = (total[ends] - total[starts]) * down[starts]
+    return mix(at + (ends - starts).astype(np.uint64) + _U((seed * _BASE) % 2**64))
 
 
 @functools.lru_cache(maxsize=8)
