@@ -132,7 +132,7 @@ def following(start: Column, interval: str, zone: str = "UTC", every: int = 1) -
     if interval == "hour" and every == 1:
         end = ms + 3_600_000
         if zone != "UTC":
-            change = lambda e: F.coalesce(_last_change(e - 1, zone), F.lit(0))
+            change = lambda e: F.coalesce(_last_change(e - 1, zone), F.lit(-(2**62)))
             hour = F.floor(_local(ms, zone) / 3_600_000) * 3_600_000 + 3_600_000 - _local(ms, zone) + ms
             end = _let(hour, lambda e: F.when(change(e) > ms, change(e)).otherwise(e))
         return F.timestamp_millis(end)

@@ -485,9 +485,14 @@ def date_diff(unit: str, a, b) -> Cell:
 def format_date(a, pattern: str) -> Cell:
     """YYYY MM DD HH mm ss are filled in; all else stands."""
     parts = {"YYYY": "yyyy", "MM": "MM", "DD": "dd", "HH": "HH", "mm": "mm", "ss": "ss"}
-    java, k = "", 0
+    java, other, k = "", "", 0
+    quoted = lambda t: "'" + t.replace("'", "''") + "'" if t else ""
     while k < len(pattern):
         token = next((t for t in parts if pattern.startswith(t, k)), None)
-        java += parts[token] if token else "''" if pattern[k] == "'" else f"'{pattern[k]}'"
+        if token:
+            java, other = java + quoted(other) + parts[token], ""
+        else:
+            other += pattern[k]
         k += len(token) if token else 1
+    java += quoted(other)
     return strict(lambda x: F.date_format(x, java), a)

@@ -111,12 +111,14 @@ def groups(frame: DataFrame, schema: FieldSchema, keys: list[Key], summaries: li
 
 def identity(names: list[str]) -> Column:
     """[[name, value], ...] in the order of the names, as JSON; instants in ISO form."""
-    each = [F.concat(F.lit(f'["{n}",'), F.coalesce(_json(F.col(f"__key{i}")), F.lit("null")), F.lit("]")) for i, n in sorted(enumerate(names), key=lambda x: x[1])]
+    each = [F.concat(F.lit(f'["{n}",'), _json(F.col(f"__key{i}")), F.lit("]")) for i, n in sorted(enumerate(names), key=lambda x: x[1])]
     return F.concat(F.lit("["), F.concat_ws(",", *each), F.lit("]")) if each else F.lit("[]")
 
 
 def _json(c: Column) -> Column:
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1).substr(F.lit(1), F.lit(100_000)) if c is not None else c
+    """One value as JSON."""
+    whole = F.to_json(F.struct(c.alias("v")))  # {"v":...}, and {} for null
+    return F.when(c.isNull(), "null").otherwise(F.substring(whole, F.lit(6), F.length(whole) - 6))
 
 
 def _first_key(schema: FieldSchema, orders: list[Order]) -> Column:
