@@ -238,7 +238,8 @@ def _results(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = texts.join(flagged, ["c1", "c2"]).join(firsts, ["c1", "c2"]).groupBy("c1", "c2").agg(F.first("doc").alias("doc"), F.first("text").alias("text"), F.first("flags").alias("flags"))
     judged = stored(_judged(both.select("c1", "c2", "doc", "text", "flags")))
     opened = judged.select("c1", "c2", "doc", F.explode(F.arrays_zip("place", "h1", "h2")).alias("w")).select("c1", "c2", "doc", "w.*")
-    earlier = opened.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    # written first, so that the join shuffles both sides and Spark can split a window that very many documents share
+    earlier = stored(opened.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
     late = opened.join(earlier, ["h1", "h2"]).where("doc > least").groupBy("c1", "c2").agg(F.collect_list("place").alias("places"))
     lost = judged.select("c1", "c2", "known").join(late, ["c1", "c2"], "left").where("length(known) > 0 or places is not null")
     return contents, stored(lost)
