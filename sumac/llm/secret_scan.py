@@ -95,7 +95,9 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
     linked = _linked(scanned.where("key is not null and size(rest) > 0").select("key", "strong", "rest").dropDuplicates(["key"]))
     linked = linked.groupBy("key").agg(F.collect_set("part").alias("more"))
-    out = scanned.join(linked.withColumnRenamed("key", "link"), F.col("key") == F.col("link"), "left")
+    # rows without weak parts keep out of the join: their null keys would meet in one task
+    parted = scanned.where("key is not null").join(linked.withColumnRenamed("key", "link"), F.col("key") == F.col("link"), "left").drop("link")
+    out = parted.unionByName(scanned.where("key is null"), allowMissingColumns=True)
     found = F.concat("strong", F.coalesce("more", F.array().cast(_SPAN)))
     counted = [F.size(_of(F.col("strong"), [k])).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return out.select(
