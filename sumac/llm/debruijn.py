@@ -274,7 +274,7 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     part = parts.select("c1", "c2", "known", "places", "text").mapInArrow(run, "c1 long, c2 long, gone long, rest string")
     firsts = contents.where(F.col("n_words") >= WINDOW).groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
-    known = firsts.join(part, ["c1", "c2"], "left").where("copies > 1 or gone is not null")
+    known = stored(firsts.join(part, ["c1", "c2"], "left").where("copies > 1 or gone is not null"))  # so that a hot content is split below
     out = contents.join(known, ["c1", "c2"], "left")
     whole = F.col("doc_id") > F.col("doc")
     return out.select(
