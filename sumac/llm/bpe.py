@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sumac.llm.text import by_block, byte_codes
+from sumac.llm.text import BLOCK, by_block, byte_codes
 
 #: Bytes that the rolling hash sees, and the mean length of a chunk (a power of two).
 WINDOW, MEAN = 16, 256
@@ -107,12 +107,7 @@ def regions(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     edges = np.unique(np.concatenate([at, [0, n]]))
     if n <= WINDOW:
         return edges
-    codes = byte_codes(data)
-    # rolling hash of the last WINDOW bytes: each byte's code turned left by its distance
-    total = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        total[WINDOW - 1 :] += codes[WINDOW - 1 - k : n - k] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1)
-    cut = np.flatnonzero((total[WINDOW - 1 : -1] >> np.uint64(40)) % np.uint64(MEAN) == 0) + WINDOW
+    cut = np.concatenate([_cuts(data[k : k + BLOCK + WINDOW]) + k for k in range(0, n - WINDOW, BLOCK)])
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     sure = np.flatnonzero(blank[1:] & (data[:-1] > 32) & (data[:-1] < 127)) + 1
     if not len(cut) or not len(sure):
@@ -122,6 +117,15 @@ def regions(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([edges, sure[left[left >= 0]], sure[right[right < len(sure)]]]))
 
 
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the WINDOW bytes before says so: each byte's code times a number for its distance, summed."""
+    codes, n = byte_codes(data), len(data) - WINDOW
+    total = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        total += codes[WINDOW - 1 - k : WINDOW - 1 - k + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1)
+    return np.flatnonzero((total >> np.uint64(40)) % np.uint64(MEAN) == 0) + WINDOW
+
+
 @functools.lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     """The worker's copy, with its cache."""

@@ -121,11 +121,11 @@ class Parser:
         before[1:] = symbols[:-1]
         before[at[:-1][at[:-1] < len(symbols)]] = 0
         stay = (symbols > 0) | (before > 0)
-        return symbols[stay], np.concatenate([[0], np.cumsum(stay)])[at]
+        return symbols[stay], np.concatenate([[0], np.cumsum(stay, dtype=np.int32)])[at]
 
     def costs(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bits of each row under each language, symbols of each row that are letters)."""
-        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])[at]
         codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         symbols, at = self.squeeze(self.symbol[codes], points)
         size = np.diff(at)
@@ -146,7 +146,7 @@ class Parser:
                 e[:n] += code & 1
                 s[:n] = code >> 1
         bits = [np.bincount(row, e + 1, len(size)) * b for e, b in zip(ended, self.bits, strict=True)]
-        letters = np.concatenate([[0], np.cumsum(symbols > 0)])
+        letters = np.concatenate([[0], np.cumsum(symbols > 0, dtype=np.int32)])
         return np.stack(bits, 1), letters[at[1:]] - letters[at[:-1]]
 
 

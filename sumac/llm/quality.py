@@ -55,10 +55,12 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     x /= np.sqrt(np.bincount(r, x * x, n))[r] if len(r) else 1
 
     kind = _CLASS[data]
-    sums = [np.concatenate([[0], np.cumsum(kind == k)]) for k in range(8)]
-    per_row = [s[at[1:]] - s[at[:-1]] for s in sums]
+    per_row, in_word = [], []
+    for k in range(8):  # one running count at a time
+        s = np.concatenate([[0], np.cumsum(kind == k, dtype=np.int32)])
+        per_row.append(s[at[1:]] - s[at[:-1]])
+        in_word.append(s[ends] - s[starts])
     size = np.maximum(1, np.diff(at))
-    in_word = [s[ends] - s[starts] for s in sums]
     words = np.bincount(row, minlength=n)
     w = np.maximum(1, words)
     shouted = (in_word[1] >= 2) & (in_word[2] == 0)

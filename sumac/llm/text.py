@@ -149,7 +149,14 @@ def word_spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) ->
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    return span_hashes(byte_codes(data, seed), starts, ends, seed)
+    """The hashes of spans of bytes, in rising order, a stretch of about BLOCK bytes at a time: a very long text takes no more memory."""
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK, "right")))
+        begin, end = starts[first], ends[last - 1]
+        out[first:last] = span_hashes(byte_codes(data[begin:end], seed), starts[first:last] - begin, ends[first:last] - begin, seed)
+        first = last
+    return out
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

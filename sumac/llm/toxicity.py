@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sumac.llm import labels as labelled
-from sumac.llm.text import by_block, byte_codes, field, held_out, lists, span_hashes, word_spans
+from sumac.llm.text import by_block, field, held_out, lists, word_hashes, word_spans
 
 #: Bins of features, the most that get a weight, and the bounds of confirmed and of unlabelled documents.
 BINS, WEIGHED, CONFIRMED, UNLABELLED = 1 << 20, 1_024, 2_000, 6_000
@@ -48,11 +48,11 @@ def occurring(data: np.ndarray, at: np.ndarray, only: np.ndarray | None = None)
     """(row, bin) of the features of each row, once each, of runs of letters with A to Z as a to z; ``only``: a flag for each bin."""
     low = _LOWER[data]
     starts, ends, row = word_spans(low, at, _SPLIT)
-    codes, keys = byte_codes(low), []
+    keys = []
     for k in BEGINNINGS:
         long = ends - starts >= k
         first = starts[long]
-        bins = (span_hashes(codes, first, np.minimum(first + k, ends[long]) if k else ends[long], seed=k) >> np.uint64(40)).astype(np.int64) % BINS
+        bins = (word_hashes(low, first, np.minimum(first + k, ends[long]) if k else ends[long], seed=k) >> np.uint64(40)).astype(np.int64) % BINS
         own = row[long]
         if only is not None:
             own, bins = own[only[bins]], bins[only[bins]]
