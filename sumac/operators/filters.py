@@ -108,6 +108,22 @@ def where(frame: DataFrame, schema: FieldSchema, terms: list[dict], now: datetim
     return frame.where(condition(schema, terms, now)) if terms else frame
 
 
+def date_bounds(schema: FieldSchema, terms: list[dict], field: str, now: datetime) -> tuple[datetime | None, datetime | None]:
+    """[lower, upper) of a datetime field by the filter's own predicates; alternatives and negations never bound it."""
+    name, step = schema.field(field).name, timedelta(milliseconds=1)
+    low: list[datetime] = []
+    high: list[datetime] = []
+    for t in terms:
+        if "any" in t or t.get("negated") or schema.field(t["field"]).name != name or t["op"] not in ("=", ">", ">=", "<", "<=") or not t.get("value"):
+            continue
+        at = instant(t["value"], now, name)
+        if t["op"] in ("=", ">=", ">"):
+            low.append(at + step if t["op"] == ">" else at)
+        if t["op"] in ("=", "<=", "<"):
+            high.append(at if t["op"] == "<" else at + step)
+    return max(low, default=None), min(high, default=None)
+
+
 def negated(p: dict, allowed: tuple[str, ...] | None = None) -> dict:
     """The predicate's negation: by its complement where there is one that is allowed, else by the flag."""
     ok = lambda op: allowed is None or op in allowed

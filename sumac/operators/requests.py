@@ -9,12 +9,13 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 
 from sumac.errors import QueryError
+from sumac.functions.aggregates import Part
+from sumac.functions.calendar import CYCLES
+from sumac.functions.scalar import col
 from sumac.operators import distributions, filters, grouping, rows
 from sumac.operators.grouping import IDENTITY, Calendar, Summary, reduction
 from sumac.operators.metrics import Fill, Interval, Metric, Result, Sort, evaluate
 from sumac.operators.rows import Order
-from sumac.functions.aggregates import Part
-from sumac.functions.scalar import col
 from sumac.schema import Dataset, Field, FieldSchema
 
 _ALLOWED = {"source", "result", "grouping", "metrics", "distinct", "rows", "now"}
@@ -55,7 +56,7 @@ def run(data: Dataset, request: dict, formulas: dict[str, tuple[dict[str, Part],
         raise QueryError("too_many_metrics", str(len(specs)))
     for spec in specs:
         try:
-            out[spec["id"]] = _metric(page if spec.get("scope") == "shownRows" else frame, schema, spec, formulas, now)
+            out[spec["id"]] = _metric(page if spec.get("scope") == "shownRows" else frame, schema, spec, formulas, view.get("where", []), now)
         except QueryError as e:
             out[spec["id"]] = e
     names = list(dict.fromkeys([*[schema.field(s).name for s in select], schema.identity]))
@@ -97,14 +98,26 @@ def _formula(formulas: dict, name: str) -> tuple[dict[str, Part], object]:
     return formulas[name]
 
 
-def _metric(frame: DataFrame, schema: FieldSchema, spec: dict, formulas: dict, now: datetime) -> Result | DataFrame:
+def _fill(schema: FieldSchema, dates: dict, terms: list[dict], now: datetime) -> Fill:
+    """The range of empty buckets: as observed, custom, or what the filters bound (both ends must be)."""
+    if dates["interval"] in CYCLES or dates.get("range", "query") == "observed":
+        return Fill()
+    if dates.get("range") == "custom":
+        ends = tuple(filters.instant(dates[k], now) if dates.get(k) else None for k in ("start", "end"))
+    else:
+        ends = filters.date_bounds(schema, terms, dates["field"], now)
+    if None in ends:
+        raise QueryError("unbounded_range", dates["field"])
+    return Fill(*ends)
+
+
+def _metric(frame: DataFrame, schema: FieldSchema, spec: dict, formulas: dict, terms: list[dict], now: datetime) -> Result | DataFrame:
     keys = [_key(k) for k in spec.get("groupBy", [])]
     dates, fill = spec.get("dateGrouping"), None
     if dates:
         keys[0] = _key(dates)
         if dates.get("includeEmpty"):
-            ends = [filters.instant(dates[k], now) if dates.get(k) else None for k in ("start", "end")]
-            fill = Fill(*ends) if dates.get("range") == "custom" else Fill()
+            fill = _fill(schema, dates, [*terms, *spec.get("where", [])], now)
     where = tuple(spec.get("where", []))
     if d := spec.get("distribution"):
         x = col(schema.field(d["input"]).name)

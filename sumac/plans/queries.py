@@ -25,13 +25,13 @@ ORACLE_SQL: dict[str, str] = {}
 NOW = datetime(2024, 1, 20, tzinfo=UTC)
 
 
-def _query(sql: str | None, table: str):
-    """Registers f(dataset) under its name; timestamps go out without zone, as the SQL has them."""
+def _query(sql: str | None, *tables: str):
+    """Registers f(dataset, ...) under its name; timestamps go out without zone, as the SQL has them."""
 
-    def register(f: Callable[[Dataset], DataFrame]):
+    def register(f: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            frame = f(dataset(spark, sf_dir, table))
+            frame = f(*[dataset(spark, sf_dir, t) for t in tables])
             return frame.select(*[F.col(f"`{n}`").cast("timestamp_ntz").alias(n) if t == "timestamp" else F.col(f"`{n}`") for n, t in frame.dtypes])
 
         QUERIES[f.__name__] = run
@@ -123,22 +123,18 @@ def set_filter_any(d):
     return _where(d, *filters.set_filter(d.schema.field("kind"), "any", ["view", "signup"])).select("event_id")
 
 
-@_query("SELECT o_orderkey::DOUBLE AS o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", "orders")
-def predicate_relation_semi(d):
-    owing = dataset(d.source.sparkSession, _folder(d), "customer").rows.where("c_acctbal < 0")
+@_query("SELECT o_orderkey::DOUBLE AS o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", "orders", "customer")
+def predicate_relation_semi(d, customers):
+    owing = customers.rows.where("c_acctbal < 0")
     return filters.related(d.rows, "o_custkey", owing, "c_custkey").select("o_orderkey")
 
 
-@_query("SELECT o_orderkey::DOUBLE AS o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", "orders")
-def predicate_relation_anti(d):
-    owing = dataset(d.source.sparkSession, _folder(d), "customer").rows.where("c_acctbal < 0")
+@_query("SELECT o_orderkey::DOUBLE AS o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", "orders", "customer")
+def predicate_relation_anti(d, customers):
+    owing = customers.rows.where("c_acctbal < 0")
     return filters.related(d.rows, "o_custkey", owing, "c_custkey", keep=False).select("o_orderkey")
 
 
-def _folder(d: Dataset) -> str:
-    return d.source.inputFiles()[0].rsplit("/", 1)[0] if not d.source.inputFiles()[0].rsplit("/", 1)[0].endswith(".parquet") else d.source.inputFiles()[0].rsplit("/", 2)[0]
-
-
 # rows
 
 

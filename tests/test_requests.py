@@ -26,6 +26,8 @@ def test_rows_and_metrics(spark, sf, formulas):
             {"id": "mean", "op": "count", "expression": "mean", "groupBy": ["event_type"], "sort": [{"key": "group0", "dir": "asc"}]},
             {"id": "shown", "op": "count", "scope": "shownRows", "groupBy": []},
             {"id": "days", "op": "sum", "field": "value", "groupBy": ["ts"], "dateGrouping": {"field": "ts", "interval": "day", "includeEmpty": True, "range": "observed"}},
+            {"id": "span", "op": "count", "groupBy": ["ts"], "where": [{"field": "ts", "op": "<", "value": "+3d"}], "dateGrouping": {"field": "ts", "interval": "day", "includeEmpty": True, "range": "query"}},
+            {"id": "open", "op": "count", "groupBy": ["ts"], "dateGrouping": {"field": "ts", "interval": "day", "includeEmpty": True, "range": "query"}},
             {"id": "box", "op": "count", "groupBy": ["event_type"], "distribution": {"kind": "box", "input": "value", "whiskers": "tukey"}},
             {"id": "bad", "op": "sum", "field": "event_type", "groupBy": []},
             {"id": "worse", "op": "count", "expression": "nothing", "groupBy": []},
@@ -39,6 +41,7 @@ def test_rows_and_metrics(spark, sf, formulas):
     assert {r["group0"]: int(r["value"]) for r in got.metrics["n"].buckets.collect()} == {r["event_type"]: r["count"] for r in rows.groupBy("event_type").count().collect()}
     assert got.metrics["shown"].buckets.collect()[0]["value"] == 10
     assert got.metrics["days"].buckets.count() >= 5 and got.metrics["box"].count() == 5
+    assert got.metrics["span"].buckets.count() == 8 and got.metrics["open"].code == "unbounded_range"
     assert got.metrics["bad"].code == "aggregate_not_allowed" and got.metrics["worse"].code == "unknown_formula"
 
 
