@@ -13,6 +13,7 @@ from sumac.functions.scalar import Cell
 from sumac.functions.stats import edges
 from sumac.operators.grouping import Key, key_column
 from sumac.operators.metrics import Metric, _same, population
+from sumac.operators.percentiles import exact_percentiles
 from sumac.schema import FieldSchema
 
 #: Fixed value: how many outliers of each end are listed once there are more than twice as many.
@@ -44,11 +45,22 @@ def _counts() -> list[Column]:
     return [F.count("*").alias("count"), F.count("x").alias("n"), F.count_if(F.col("x").isNull() & ~F.col("failed")).alias("null_count"), F.count_if("failed").alias("input_error_count")]
 
 
-def box(frame: DataFrame, schema: FieldSchema, x: Cell, keys: tuple[Key, ...] = (), spec: Box = Box(), where: tuple[dict, ...] = (), now: datetime | None = None) -> DataFrame:
-    """(keys, count, n, null_count, input_error_count, min, q1, median, q3, max, mean, low, high, outlier_count, outliers)."""
+def _percentiles(rows: DataFrame, names: list[str], p: list[float], large: bool, more: list[Column]) -> DataFrame:
+    """The counts, ``more`` and q, in one aggregation or, for large groups, with exact_percentiles()."""
+    if not large:
+        return rows.groupBy(*names).agg(*_counts(), *more, F.percentile("x", F.array(*[F.lit(float(v)) for v in p])).alias("q"))
+    base, q = rows.groupBy(*names).agg(*_counts(), *more), exact_percentiles(rows, names, p)
+    return _same(base, q, names, "left") if names else base.join(F.broadcast(q), how="left")  # one row each
+
+
+def box(frame: DataFrame, schema: FieldSchema, x: Cell, keys: tuple[Key, ...] = (), spec: Box = Box(), where: tuple[dict, ...] = (), now: datetime | None = None, large: bool = False) -> DataFrame:
+    """(keys, count, n, null_count, input_error_count, min, q1, median, q3, max, mean, low, high, outlier_count, outliers).
+
+    ``large``: groups may hold more distinct values than fit a task; they are then read twice (see exact_percentiles).
+    """
     rows, names = _sampled(frame, schema, keys, where, x, now)
     p = [0.25, 0.5, 0.75, *spec.probabilities]
-    base = rows.groupBy(*names).agg(*_counts(), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.percentile("x", F.array(*[F.lit(v) for v in p])).alias("q"))
+    base = _percentiles(rows, names, p, large, [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")])
     base = base.select(*names, "count", "n", "null_count", "input_error_count", "min", "max", F.least("max", F.greatest("min", "mean")).alias("mean"), *[F.col("q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3", "p_low", "p_high"))])
     stats = ["min", "q1", "median", "q3", "max", "mean"]
     first = [*names, "count", "n", "null_count", "input_error_count", *stats]
@@ -90,11 +102,11 @@ def histogram(frame: DataFrame, schema: FieldSchema, x: Cell, keys: tuple[Key, .
     return got.select(*names, "count", "n", "null_count", "input_error_count", F.array(*[F.lit(c) for c in cuts]).cast("array<double>").alias("edges"), "counts")
 
 
-def quantiles(frame: DataFrame, schema: FieldSchema, x: Cell, probabilities: list[float], keys: tuple[Key, ...] = (), where: tuple[dict, ...] = (), now: datetime | None = None) -> DataFrame:
-    """(keys, count, n, null_count, input_error_count, values, median): the exact percentiles, interpolated between ranks."""
+def quantiles(frame: DataFrame, schema: FieldSchema, x: Cell, probabilities: list[float], keys: tuple[Key, ...] = (), where: tuple[dict, ...] = (), now: datetime | None = None, large: bool = False) -> DataFrame:
+    """(keys, count, n, null_count, input_error_count, values, median): the exact percentiles, interpolated between ranks;
+    ``large`` as of box()."""
     if not 1 <= len(probabilities) <= 101 or any(b <= a for a, b in zip(probabilities, probabilities[1:])) or not 0 <= probabilities[0] <= probabilities[-1] <= 1:
         raise QueryError("invalid_probability", "1 to 101 rising probabilities")
     rows, names = _sampled(frame, schema, keys, where, x, now)
-    wanted = F.array(*[F.lit(float(p)) for p in [*probabilities, 0.5]])
-    got = rows.groupBy(*names).agg(*_counts(), F.percentile("x", wanted).alias("q"))
+    got = _percentiles(rows, names, [*probabilities, 0.5], large, [])
     return got.select(*names, "count", "n", "null_count", "input_error_count", F.slice("q", 1, len(probabilities)).alias("values"), F.element_at("q", -1).alias("median"))

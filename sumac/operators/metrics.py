@@ -105,6 +105,12 @@ class Result:
     buckets: DataFrame
     facts: DataFrame
     other: DataFrame | None = None
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Frees the groups that were kept because more than one of the frames reads them."""
+        for frame in self.held:
+            frame.unpersist()
 
 
 def population(frame: DataFrame, schema: FieldSchema, metric: Metric, now: datetime) -> DataFrame:
@@ -264,6 +270,10 @@ def evaluate(frame: DataFrame, schema: FieldSchema, metric: Metric, now: datetim
 
 
 def _finished(groups: DataFrame, schema: FieldSchema, metric: Metric) -> Result:
+    held: tuple[DataFrame, ...] = ()
+    if metric.fill is not None or metric.other:  # read more than once: the rows aren't
+        groups = groups.persist()
+        held = (groups,)
     if metric.fill is not None:
         groups = completed(groups, metric)
     made = _trailed(groups, metric) if metric.trailing else _evaluated(groups, metric)
@@ -285,9 +295,9 @@ def _finished(groups: DataFrame, schema: FieldSchema, metric: Metric) -> Result:
     columns = [*metric.keys(), "value", "error", "count", *[c for c in ("y", "lower", "upper", "interval_error", "intervals") if c in kept.columns], *[c for c in kept.columns if c.startswith("d_")]]
     order = ordering(metric)
     if metric.group_limit is None:
-        return Result(kept.orderBy(*order).select(*columns), facts)
+        return Result(kept.orderBy(*order).select(*columns), facts, held=held)
     top = kept.orderBy(*order).limit(metric.group_limit)
-    return Result(top.select(*columns), facts, remainder(kept, top, metric) if metric.other else None)
+    return Result(top.select(*columns), facts, remainder(kept, top, metric) if metric.other else None, held)
 
 
 def remainder(groups: DataFrame, top: DataFrame, metric: Metric) -> DataFrame:
