@@ -9,17 +9,15 @@ from sumac.functions.aggregates import Part
 from sumac.operators.grouping import Calendar, key_column
 from sumac.schema import FieldSchema
 
-_FIXED = {"hour": "hour", "day": "day", "week": "week"}
+#: Seconds that an interval lasts at most, clock changes included.
+_LONGEST = {"hour": 3_600, "day": 25 * 3_600, "week": 169 * 3_600, "month": 745 * 3_600, "year": 8_785 * 3_600}
 
 
-def running(stream: DataFrame, schema: FieldSchema, key: Calendar, parts: dict[str, Part], late: str = "1 hour", by: tuple[str, ...] = ()) -> DataFrame:
-    """(bucket, by, count, parts) with a watermark: rows later than ``late`` behind the latest are dropped and finished buckets
-    leave the state. Hours, days and weeks in UTC are Spark windows; other buckets are keyed by their start."""
-    timed = stream.withWatermark(key.field, late)
-    aggs = [F.count("*").alias("count"), *[c for n, p in parts.items() for c in p.columns(n)]]
+def running(stream: DataFrame, schema: FieldSchema, key: Calendar, parts: dict[str, Part], late: int = 3_600, by: tuple[str, ...] = ()) -> DataFrame:
+    """(bucket, by, count, parts) of a stream in any output mode. The watermark runs on the bucket's start: a bucket takes rows
+    until one comes from a bucket that starts more than its own length and ``late`` seconds after it; then it leaves the state."""
     names = [schema.field(b).name for b in by]
-    if key.interval in _FIXED and key.zone == "UTC" and key.every == 1:
-        start = {"startTime": "4 days"} if key.interval == "week" else {}  # 1970-01-05 was a Monday
-        window = F.window(F.col(f"`{key.field}`"), f"1 {_FIXED[key.interval]}", **start)
-        return timed.groupBy(window.alias("w"), *names).agg(*aggs).select(F.col("w.start").alias("bucket"), *names, "count", *parts)
-    return timed.withColumn("bucket", key_column(schema, key)).groupBy("bucket", *names, F.window(F.col(f"`{key.field}`"), "1 day")).agg(*aggs).drop("window")
+    delay = late + _LONGEST[key.interval] * key.every
+    timed = stream.withColumn("bucket", key_column(schema, key)).withWatermark("bucket", f"{delay} seconds")
+    aggs = [F.count("*").alias("count"), *[c for n, p in parts.items() for c in p.columns(n)]]
+    return timed.groupBy("bucket", *names).agg(*aggs)

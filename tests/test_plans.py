@@ -3,9 +3,11 @@
 import io
 from contextlib import redirect_stdout
 
+import pytest
 from pyspark.sql import functions as F
 
 from sumac.functions.aggregates import count, sum_
+from sumac.functions.calendar import bucket
 from sumac.functions.scalar import col
 from sumac.operators import filters, rows
 from sumac.operators.grouping import Calendar
@@ -45,18 +47,19 @@ def test_dashboards_share_aggregations(spark, sf):
     assert set(got) == {"a", "b"} and got["b"].buckets.count() == got["a"].buckets.count()
 
 
-def test_streams_give_what_tables_give(spark, sf, tmp_path):
+@pytest.mark.parametrize("key, zone", [("week", "UTC"), ("day", "America/New_York"), ("month", "UTC")])
+def test_streams_give_what_tables_give(spark, sf, tmp_path, key, zone):
     d = dataset(spark, sf, "events")
     source = d.rows.select("ts", "event_type", "value")
-    write(source.coalesce(1), f"{tmp_path}/in")
-    stream = spark.readStream.schema(source.schema).parquet(f"{tmp_path}/in")
-    made = running(stream, d.schema, Calendar("ts", "week"), {"s": sum_(col("value"))}, by=("event_type",))
-    query = made.writeStream.format("memory").queryName("weeks").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").start()
+    write(source.repartition(3), f"{tmp_path}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    made = running(stream, d.schema, Calendar("ts", key, zone), {"s": sum_(col("value"))}, late=40 * 86_400, by=("event_type",))
+    query = made.writeStream.format("memory").queryName("found").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").start()
     query.processAllAvailable()
     query.stop()
-    still = d.rows.groupBy(F.date_trunc("week", "ts").alias("bucket"), "event_type").agg(F.count("*").alias("count"), F.sum("value").alias("s"))
-    key = lambda r: (r["bucket"], r["event_type"], r["count"], round(r["s"], 6))
-    assert sorted(map(key, spark.table("weeks").collect())) == sorted(map(key, still.collect()))
+    still = d.rows.groupBy(bucket(F.col("ts"), key, zone).alias("bucket"), "event_type").agg(F.count("*").alias("count"), F.sum("value").alias("s"))
+    order = lambda r: (r["bucket"], r["event_type"], r["count"], round(r["s"], 6))
+    assert sorted(map(order, spark.table("found").collect())) == sorted(map(order, still.collect()))
 
 
 def test_formats(spark, sf, tmp_path):
