@@ -53,6 +53,17 @@ def transitions(zone: str, first: int = 1900, last: int = 2100) -> tuple[int, ..
     return tuple(out)
 
 
+@functools.lru_cache(maxsize=256)
+def _midnights_stand(zone: str) -> bool:
+    """Whether no clock change leaps from before midnight to after it: then a local date always begins at its midnight, or at the
+    change that skips just that."""
+    for t in transitions(zone):
+        before, after = _py_local(t - 1, zone) + timedelta(milliseconds=1), _py_local(t, zone)
+        if before < after and before.date() < after.date() and after.time() != datetime.min.time() and before.time() != datetime.min.time():
+            return False
+    return True
+
+
 def _let(value: Column, make) -> Column:
     """make(value) with the value computed once."""
     return F.get(F.transform(F.array(value), make), F.lit(0))
@@ -113,8 +124,10 @@ def bucket(ts: Column, interval: str, zone: str = "UTC", every: int = 1) -> Colu
     ms = F.unix_millis(ts)
     if interval == "hour" and every == 1:
         offset = lambda t: _local(t, zone) - t
-        start = lambda t: _let(F.floor(_local(t, zone) / 3_600_000) * 3_600_000 - offset(t), lambda s: F.when(offset(s) == offset(t), s).otherwise(_last_change(t, zone)))
-        return F.when(ts.isNotNull(), F.timestamp_millis(_let(ms, start)))
+        start = F.floor(_local(ms, zone) / 3_600_000) * 3_600_000 - offset(ms)
+        return F.when(ts.isNotNull(), F.timestamp_millis(F.when(offset(start) == offset(ms), start).otherwise(_last_change(ms, zone))))
+    if interval != "hour" and every == 1 and _midnights_stand(zone):
+        return F.to_utc_timestamp(F.date_trunc(interval, F.from_utc_timestamp(ts, zone)), zone)
     begin = lambda t: _instant(_wall(t, interval, zone, every, 0), zone)
     if zone != "UTC" and interval == "hour":
         # a repeat of the clock can hold a bucket's boundary: then the next bucket starts before ms too

@@ -62,6 +62,8 @@ def box(frame: DataFrame, schema: FieldSchema, x: Cell, keys: tuple[Key, ...] =
     p = [0.25, 0.5, 0.75, *spec.probabilities]
     base = _percentiles(rows, names, p, large, [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")])
     base = base.select(*names, "count", "n", "null_count", "input_error_count", "min", "max", F.least("max", F.greatest("min", "mean")).alias("mean"), *[F.col("q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3", "p_low", "p_high"))])
+    if spec.whiskers != "minmax":
+        base = base.persist()  # a few numbers of each group, which the fences and the outliers' ends all need
     stats = ["min", "q1", "median", "q3", "max", "mean"]
     first = [*names, "count", "n", "null_count", "input_error_count", *stats]
     if spec.whiskers == "minmax":

@@ -6,6 +6,7 @@ a predicate nor its negation (except is_null); an empty operand means no filter
 
 from __future__ import annotations
 
+import math
 from datetime import UTC, datetime, timedelta
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sumac.errors import QueryError
 from sumac.functions.relative import offset_ms
-from sumac.schema import NULLITY, Field, FieldSchema
+from sumac.schema import NULLITY, Dataset, Field, FieldSchema
 
 #: The most predicates of one filter, and each operator's complement.
 MOST = 100
@@ -108,6 +109,39 @@ def where(frame: DataFrame, schema: FieldSchema, terms: list[dict], now: datetim
     return frame.where(condition(schema, terms, now)) if terms else frame
 
 
+def of_dataset(data: Dataset, terms: list[dict], now: datetime) -> DataFrame:
+    """A dataset's rows under a filter. What comparisons say of plain numeric and datetime columns is asked of the relation
+    first, in its own types, so that file formats can skip by it; the filter itself then decides."""
+    source = data.source
+    for t in terms:
+        if "any" in t or t.get("negated") or t["op"] not in ("=", ">", ">=", "<", "<=") or not t.get("value"):
+            continue
+        f = data.schema.field(t["field"])
+        kind, c = data.source_type(f), F.col(f"`{f.name}`")
+        if kind in ("int", "bigint"):
+            v = float(t["value"]) if _is_number(t["value"]) else math.nan
+            if abs(v) < 2**31:
+                low, high = math.ceil(v), math.floor(v)
+                source = source.where({"=": (c >= low) & (c <= high), ">": c >= high, ">=": c >= low, "<": c <= low, "<=": c <= high}[t["op"]])
+        elif kind == "double" and f.kind == "number" and _is_number(t["value"]):
+            v = float(t["value"])
+            source = source.where({"=": c == v, ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v}[t["op"]])
+        elif kind in ("timestamp", "timestamp_ntz") and f.kind == "datetime":
+            v = instant(t["value"], now, f.name)
+            v = v - timedelta(microseconds=v.microsecond % 1000)
+            lit = lambda d: F.lit(d if kind == "timestamp" else d.astimezone(UTC).replace(tzinfo=None))  # noqa: B023, E731
+            after = lit(v + timedelta(milliseconds=1))
+            source = source.where({"=": (c >= lit(v)) & (c < after), ">": c >= lit(v), ">=": c >= lit(v), "<": c < after, "<=": c < after}[t["op"]])
+    return where(data.over(source).rows, data.schema, terms, now)
+
+
+def _is_number(raw: str) -> bool:
+    try:
+        return math.isfinite(float(raw))
+    except ValueError:
+        return False
+
+
 def date_bounds(schema: FieldSchema, terms: list[dict], field: str, now: datetime) -> tuple[datetime | None, datetime | None]:
     """[lower, upper) of a datetime field by the filter's own predicates; alternatives and negations never bound it."""
     name, step = schema.field(field).name, timedelta(milliseconds=1)

@@ -326,11 +326,14 @@ def dashboard(frame: DataFrame, schema: FieldSchema, metrics: dict[str, Metric],
         first = metrics[names[0]]
         parts = {f"{n}__{k}": p for n in names for k, p in metrics[n].parts.items()}
         shared = grouped(frame, schema, replace(first, parts=parts, value=lambda p: next(iter(p.values()))), now)
+        if len(names) > 1:
+            shared = shared.persist()  # else each result would aggregate anew what it needs of it
         for n in names:
             m = metrics[n]
             renamed = {f"p_{n}__{k}{s}": f"p_{k}{s}" for k in m.parts for s in ("", "__sum", "__count", "__error") if f"p_{n}__{k}{s}" in shared.columns}
             fixed = [*m.keys(), "count", *(["measure"] if m.min_count is not None else [])]
-            out[n] = _finished(shared.select(*fixed, *renamed).withColumnsRenamed(renamed), schema, m)
+            got = _finished(shared.select(*fixed, *renamed).withColumnsRenamed(renamed), schema, m)
+            out[n] = replace(got, held=(*got.held, shared)) if len(names) > 1 else got
     return out
 
 

@@ -39,7 +39,7 @@ def run(data: Dataset, request: dict, formulas: dict[str, tuple[dict[str, Part],
         raise QueryError("unknown_key", ", ".join(sorted(unknown)))
     now = datetime.fromtimestamp(request["now"] / 1000, UTC) if "now" in request else datetime.now(UTC)
     source, formulas = request.get("source", {}), formulas or {}
-    frame, schema = filters.where(data.rows, data.schema, source.get("where", []), now), data.schema
+    frame, schema = filters.of_dataset(data, source.get("where", []), now), data.schema
     if d := request.get("distinct"):
         return Answer(distinct=rows.distinct_values(frame, schema, d["field"], d.get("search", ""), d.get("limit", 50)))
     view = source

@@ -43,7 +43,7 @@ def _query(sql: str | None, *tables: str):
 
 
 def _where(d: Dataset, *terms: dict) -> DataFrame:
-    return filters.where(d.rows, d.schema, list(terms), NOW)
+    return filters.of_dataset(d, list(terms), NOW)
 
 
 def _p(field: str, op: str, value: str = "", **more) -> dict:
@@ -448,7 +448,7 @@ def occurrence_mean(d):
     return _round(_named(got, slot="group0", occurrences="occurrences", count="count", value="value"), 6, "value")
 
 
-_DAYS = "WITH s AS (SELECT unnest(generate_series(min(date_trunc('day', o_orderdate))::TIMESTAMP, max(date_trunc('day', o_orderdate))::TIMESTAMP, INTERVAL 1 DAY)) AS bucket FROM orders), g AS (SELECT bucket, count(o_orderkey)::DOUBLE AS n, coalesce(sum(o_totalprice), 0) AS s FROM s LEFT JOIN orders ON date_trunc('day', o_orderdate) = bucket GROUP BY 1) "
+_DAYS = "WITH s AS (SELECT unnest(generate_series(min(date_trunc('day', o_orderdate))::TIMESTAMP, max(date_trunc('day', o_orderdate))::TIMESTAMP, INTERVAL 1 DAY)) AS bucket FROM orders), g AS (SELECT bucket, count(o_orderkey)::DOUBLE AS n, coalesce(sum(o_custkey), 0) AS s FROM s LEFT JOIN orders ON date_trunc('day', o_orderdate) = bucket GROUP BY 1) "
 
 
 def _trailing(d: Dataset, t: Trailing, **parts) -> DataFrame:
@@ -456,9 +456,9 @@ def _trailing(d: Dataset, t: Trailing, **parts) -> DataFrame:
     return _metric(d, m, bucket="group0", value="value", intervals="intervals")
 
 
-@_query(_DAYS + "SELECT bucket, CASE WHEN count(*) OVER w = 7 THEN round(sum(s) OVER w / sum(n) OVER w, 2) END AS value, count(*) OVER w AS intervals FROM g WINDOW w AS (ORDER BY bucket ROWS 6 PRECEDING)", "orders")
+@_query(_DAYS + "SELECT bucket, CASE WHEN count(*) OVER w = 7 THEN round(sum(s) OVER w / sum(n) OVER w, 6) END AS value, count(*) OVER w AS intervals FROM g WINDOW w AS (ORDER BY bucket ROWS 6 PRECEDING)", "orders")
 def window_trailing_total(d):
-    return _round(_trailing(d, Trailing(7), s=sum_(col("o_totalprice")), n=count()), 2, "value")
+    return _round(_trailing(d, Trailing(7), s=sum_(col("o_custkey")), n=count()), 6, "value")
 
 
 @_query(_DAYS + "SELECT bucket, sum(n) OVER (ORDER BY bucket) AS value, count(*) OVER (ORDER BY bucket) AS intervals FROM g", "orders")

@@ -59,11 +59,12 @@ class Field:
     def may_group(self) -> bool:
         return self.kind in GROUPABLE if self.groupable is None else self.groupable
 
-    def column(self) -> Column:
-        """The field over the relation, in its Spark type; numbers that aren't finite are null, timestamps are whole milliseconds."""
+    def column(self, whole: bool = False) -> Column:
+        """The field over the relation, in its Spark type; numbers that aren't finite are null (``whole``: all are), timestamps are
+        whole milliseconds."""
         raw = F.expr(self.source if self.source is not None else f"`{self.name}`")
         value = raw.cast(SPARK_TYPE[self.kind])
-        if self.kind == "number":
+        if self.kind == "number" and not whole:
             value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
         if self.kind == "datetime":
             value = F.date_trunc("millisecond", value)
@@ -105,12 +106,20 @@ class Dataset:
 
     @cached_property
     def rows(self) -> DataFrame:
-        frame = self.source.select(*[f.column() for f in self.schema.fields if f.name not in {c[0].name for c in self.computed}])
+        made = {f.name for f, _ in self.computed}
+        frame = self.source.select(*[f.column(self.source_type(f) in ("tinyint", "smallint", "int", "bigint")) for f in self.schema.fields if f.name not in made])
         for f, cell in self.computed:
             error = F.lit(None).cast("string") if cell.error is None else cell.error
             frame = frame.withColumns({f.name: cell.value.cast(SPARK_TYPE[f.kind]), f"{f.name}__error": error})
         return frame
 
+    def source_type(self, f: Field) -> str | None:
+        """The type of the relation's column that the field is, if it is one."""
+        return None if f.source is not None else dict(self.source.dtypes).get(f.name)
+
+    def over(self, source: DataFrame) -> Dataset:
+        return Dataset(self.schema, source, self.computed)
+
     def with_computed(self, name: str, kind: str, cell, groupable: bool = True) -> Dataset:
         """A dataset with one more field, whose cell may use all earlier ones."""
         f = Field(name, kind, groupable=groupable)

@@ -67,3 +67,13 @@ def test_formats(spark, sf, tmp_path):
     for kind in ("json", "csv"):
         write(regions, f"{tmp_path}/{kind}", kind)
         assert read(spark, f"{tmp_path}/{kind}", kind, schema="r_regionkey int, r_name string").count() == 5
+
+
+def test_comparisons_reach_the_scan_in_its_own_types(spark, sf):
+    d = dataset(spark, sf, "orders")
+    terms = [{"field": "price", "op": ">=", "value": "100000"}, {"field": "o_custkey", "op": "<", "value": "70.5"}, {"field": "o_orderdate", "op": ">", "value": "1995-01-01"}]
+    made = filters.of_dataset(d, terms, NOW)
+    text = plan(made)
+    for pushed in ("GreaterThanOrEqual(o_totalprice,100000.0)", "LessThanOrEqual(o_custkey,71)", "GreaterThanOrEqual(o_orderdate,1995-01-01T00:00)"):
+        assert pushed in text
+    assert sorted(r["o_orderkey"] for r in made.collect()) == sorted(r["o_orderkey"] for r in filters.where(d.rows, d.schema, terms, NOW).collect())
