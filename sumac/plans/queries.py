@@ -456,7 +456,7 @@ def _trailing(d: Dataset, t: Trailing, **parts) -> DataFrame:
     return _metric(d, m, bucket="group0", value="value", intervals="intervals")
 
 
-@_query(_DAYS + "SELECT bucket, CASE WHEN count(*) OVER w = 7 THEN round(sum(s) OVER w / sum(n) OVER w, 6) END AS value, count(*) OVER w AS intervals FROM g WINDOW w AS (ORDER BY bucket ROWS 6 PRECEDING)", "orders")
+@_query(_DAYS + "SELECT bucket, CASE WHEN count(*) OVER w = 7 THEN round(sum(s) OVER w / nullif(sum(n) OVER w, 0), 6) END AS value, count(*) OVER w AS intervals FROM g WINDOW w AS (ORDER BY bucket ROWS 6 PRECEDING)", "orders")
 def window_trailing_total(d):
     return _round(_trailing(d, Trailing(7), s=sum_(col("o_custkey")), n=count()), 6, "value")
 
