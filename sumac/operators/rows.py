@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumac.errors import QueryError
+from sumac.operators.filters import of_dataset
 from sumac.schema import Dataset, FieldSchema
 
 #: The most order terms and the furthest offset.
@@ -68,9 +70,9 @@ def total(frame: DataFrame) -> DataFrame:
     return frame.agg(F.count("*").alias("total"))
 
 
-def lookup(frame: DataFrame, schema: FieldSchema, value) -> DataFrame:
-    """The row of that identity; two rows show that it isn't unique."""
-    return frame.where(F.col(f"`{schema.identity}`") == value).limit(2)
+def lookup(data: Dataset, value: str | int, now: datetime | None = None) -> DataFrame:
+    """The row of that identity; two rows show that it isn't unique. The relation is asked for it in its own type."""
+    return of_dataset(data, [{"field": data.schema.identity, "op": "=", "value": str(value)}], now or datetime.now(UTC)).limit(2)
 
 
 def field_stats(frame: DataFrame, schema: FieldSchema, fields: list[str]) -> DataFrame:

@@ -160,7 +160,7 @@ def page_total(d):
 
 @_query("SELECT o_orderkey::DOUBLE AS o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7", "orders")
 def row_lookup(d):
-    return rows.lookup(d.rows, d.schema, 7.0).select("o_orderkey", "o_totalprice")
+    return rows.lookup(d, 7).select("o_orderkey", "o_totalprice")
 
 
 @_query("SELECT 'p_brand' AS field, count(DISTINCT p_brand) AS distinct_values, min(p_brand) AS least, max(p_brand) AS greatest, count(*) FILTER (p_brand IS NULL) AS nulls FROM part UNION ALL SELECT 'p_type', count(DISTINCT p_type), min(p_type), max(p_type), count(*) FILTER (p_type IS NULL) FROM part", "part")
