@@ -127,6 +127,12 @@ class Dataset:
             raise QueryError("duplicate_field", name)
         return Dataset(FieldSchema((*self.schema.fields, f), self.schema.identity, self.schema.default_order), self.source, (*self.computed, (f, cell)))
 
+    def hold_to(self, most: int) -> Dataset:
+        """This dataset, if it has at most so many rows; no more than that and one are counted."""
+        if self.source.limit(most + 1).count() > most:
+            raise QueryError("resource_limit", f"more than {most} rows")
+        return self
+
     def identity_is_sound(self) -> DataFrame:
         """One row: rows, ids, and whether every id is there and unique."""
         key = F.col(f"`{self.schema.identity}`")

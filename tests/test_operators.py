@@ -100,6 +100,9 @@ def test_pages(data):
     assert [r["id"] for r in rows.page(data.rows, SCHEMA, [], [Order("who", extract="[b-z](.)")], 3).collect()] == ["05", "01", "02"]
     assert rows.distinct_values(data.rows, SCHEMA, "tags", "e").collect()[0].asDict() == {"value": "red", "rows": 3}
     assert rows.lookup(data, "04").count() == 1
+    assert data.hold_to(7) is data
+    with pytest.raises(QueryError):
+        data.hold_to(6)
     assert data.identity_is_sound().collect()[0]["sound"]
 
 
