@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from sumac.llm.text import by_block, field, mix, span_hashes, stored, word_hashes, word_spans
 
 #: Words of a window, share of it that must be equal, and characters of a block of the benchmark.
-WINDOW, SAME, BLOCK_CHARS = 20, 0.8, 4_000_000
+WINDOW, SAME, BLOCK_CHARS = 13, 0.8, 4_000_000
 #: The masks, as places that count. They serve items of LEAST words and more.
 MASKS, LEAST = ((0, 1, 3, 5, 6), (0, 1, 2, 8, 9), (0, 3, 4, 5, 7)), 10
 #: Items of SHORT to LEAST - 1 words are looked for whole and unchanged; shorter ones are no evidence and not looked for.
