@@ -548,3 +548,31 @@ def flagship(d):
     schema = FieldSchema((Field(grouping.IDENTITY, "text"), Field("priority", "text"), Field("n", "number"), Field("total", "number"), Field("mean", "number")), grouping.IDENTITY)
     kept = filters.where(got, schema, [_p("n", ">=", "10")], NOW)
     return _round(_round(rows.page(kept, schema, ["priority", "n", "total", "mean"], [Order("total", descending=True)], 100).drop(grouping.IDENTITY), 2, "total"), 4, "mean")
+
+
+# a relation that is itself a join
+
+
+def _sales(lines: Dataset, orders: Dataset, customers: Dataset) -> Dataset:
+    joined = lines.source.join(orders.source, F.col("l_orderkey") == F.col("o_orderkey")).join(customers.source, F.col("o_custkey") == F.col("c_custkey"))
+    fields = (*lines.schema.fields, Field("segment", "enum", "c_mktsegment"), Field("ordered", "datetime", "o_orderdate", groupable=True))
+    return Dataset(FieldSchema(fields, "id"), joined)
+
+
+_SALES = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
+
+
+@_query("SELECT c_mktsegment AS segment, round(sum(l_extendedprice * (1 - l_discount)), 0) AS value, count(*) AS count " + _SALES + "WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1", "lineitem", "orders", "customer")
+def join_revenue_by_segment(lines, orders, customers):
+    d = _sales(lines, orders, customers)
+    revenue = col("l_extendedprice") * (1 - col("l_discount"))
+    kept = filters.of_dataset(d, [_p("l_shipdate", ">=", "1996-01-01")], NOW)
+    got = evaluate(kept, d.schema, Metric({"r": sum_(revenue)}, group_by=("segment",)), NOW).buckets
+    return _round(_named(got, segment="group0", value="value", count="count"), 0, "value")
+
+
+@_query("SELECT c_mktsegment AS segment, date_trunc('year', o_orderdate)::TIMESTAMP AS year, quantile_cont(l_quantity, 0.5) AS value " + _SALES + "GROUP BY 1, 2", "lineitem", "orders", "customer")
+def join_median_by_segment_and_year(lines, orders, customers):
+    d = _sales(lines, orders, customers)
+    m = Metric({"q": median(col("l_quantity"))}, group_by=(Calendar("ordered", "year"), "segment"))
+    return _named(evaluate(d.rows, d.schema, m, NOW).buckets, segment="group1", year="group0", value="value")
