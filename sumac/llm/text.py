@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,16 +49,25 @@ def stored(frame: DataFrame) -> DataFrame:
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their UTF-8 bytes, len(rows) + 1 offsets) of about ``limit`` bytes each; a null text is empty."""
     for batch in batches:
-        column = pc.fill_null(batch.column(text).cast(pa.large_string()), "")
-        if not len(column):
-            continue
-        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        whole = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+        column = batch.column(text)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         first = 0
         while first < len(column):
-            last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
-            yield batch.slice(first, last - first), whole[at[first] : at[last]], at[first : last + 1] - at[first]
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+            part = pc.fill_null(column.slice(first, last - first), "").cast(pa.large_string())
+            at = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+            whole = np.frombuffer(part.buffers()[2], np.uint8) if part.buffers()[2] is not None else np.zeros(0, np.uint8)
+            yield batch.slice(first, last - first), whole[at[0] : at[-1]], at - at[0]
             first = last
+    _give_back()
+
+
+def _give_back() -> None:
+    """Returns what the task has freed to the system: a worker outlives its tasks, and an executor's memory is shared."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves or not at all
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def by_block(
