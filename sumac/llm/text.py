@@ -177,6 +177,13 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
 
 
+def rows_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column of lists, as arrays that share its memory."""
+    whole = column.combine_chunks()
+    parts = whole.chunks if isinstance(whole, pa.ChunkedArray) else [whole]
+    return [part.values.to_numpy(zero_copy_only=False)[i:j] for part in parts for i, j in zip(part.offsets[:-1].to_pylist(), part.offsets[1:].to_pylist(), strict=True)]
+
+
 def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """As lists(), but the values' bytes as one binary."""
     at = np.zeros(len(counts) + 1, np.int64)

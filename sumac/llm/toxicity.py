@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sumac.llm import labels as labelled
-from sumac.llm.text import by_block, field, held_out, lists, word_hashes, word_spans
+from sumac.llm.text import by_block, field, held_out, lists, rows_of, word_hashes, word_spans
 
 #: Bins of features, the most that get a weight, and the bounds of confirmed and of unlabelled documents.
 BINS, WEIGHED, CONFIRMED, UNLABELLED = 1 << 20, 1_024, 2_000, 6_000
@@ -80,9 +80,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         r, b = occurring(data, at)
         return [lists(b.astype(np.int32), np.bincount(r, minlength=len(rows)), pa.int32())]
 
-    got = by_block(both, make, [("bins", T.ArrayType(T.IntegerType()))], "text", keep=["doc_id", "label"]).collect()
-    got.sort(key=lambda r: (r["label"], r["doc_id"]))
-    positive, unlabelled = ([np.array(r["bins"], np.int64) for r in got if r["label"] == k] for k in (1, 0))
+    got = by_block(both, make, [("bins", T.ArrayType(T.IntegerType()))], "text", keep=["doc_id", "label"]).toArrow().sort_by([("label", "ascending"), ("doc_id", "ascending")])
+    label, bins = got["label"].to_numpy(), rows_of(got["bins"])
+    positive, unlabelled = ([bins[i] for i in np.flatnonzero(label == k)] for k in (1, 0))
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros(0), -2.0)
     prior = min(0.9, max(0.001, there[1] / max(1, there[0] + there[1])))
