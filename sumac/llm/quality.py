@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sumac.llm import labels as labelled
-from sumac.llm.text import by_block, field, lists, word_hashes, word_spans
+from sumac.llm.text import by_block, field, lists, rows_of, word_hashes, word_spans
 
 #: Bins of words, factors, and the most documents of each label that are learned from.
 BINS, FACTORS, PER_LABEL = 2048, 4, 3_000
@@ -108,14 +108,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
         return [lists(b.astype(np.int32), n, pa.int32()), lists(x.astype(np.float32), n, pa.float32()), lists(both.ravel(), np.full(len(rows), both.shape[1]), pa.float64())]
 
     new = [("bins", T.ArrayType(T.IntegerType())), ("values", T.ArrayType(T.FloatType())), ("stats", T.ArrayType(T.DoubleType()))]
-    got = sorted(by_block(picked, make, new, "text", keep=["doc_id", "label", *metas]).collect(), key=lambda r: r["doc_id"])
+    table = by_block(picked, make, new, "text", keep=["doc_id", "label", *metas]).toArrow().sort_by("doc_id")
     width = len(STATS) + 2 * len(metadata)
-    if not got:
+    if not len(table):
         return Model(0.0, np.zeros(BINS + width), np.zeros((BINS + width, FACTORS)), np.zeros(width), np.ones(width), tuple(metadata))
-    stats = np.array([r["stats"] for r in got])
+    bins, values, stats = (rows_of(table[c]) for c in ("bins", "values", "stats"))
+    stats = np.array(stats)
     mean, scale = stats.mean(0), stats.std(0)
     scale = np.where(scale < 1e-9, 1.0, scale)
-    y = np.array([r["label"] for r in got], float)
+    y = table["label"].to_numpy().astype(float)
     share = there[1] / max(1, there[0] + there[1])
     weight = np.where(y == 1, share / max(1e-9, y.mean()), (1 - share) / max(1e-9, 1 - y.mean()))
     rng = np.random.default_rng(seed)
@@ -124,12 +125,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (w0, w, v)]
     step = 0
     for _ in range(rounds):
-        order = rng.permutation(len(got))
+        order = rng.permutation(len(y))
         for k in range(0, len(order), 128):
             part = order[k : k + 128]
             x = np.zeros((len(part), d))
             for i, n in enumerate(part):
-                x[i, got[n]["bins"]] = got[n]["values"]
+                x[i, bins[n]] = values[n]
             x[:, BINS:] = _scaled(stats[part], mean, scale)
             inner = x @ v
             z = w0 + x @ w + 0.5 * (inner**2 - (x * x) @ (v * v)).sum(1)
