@@ -7,9 +7,10 @@ a register with the probability of their weighted Jaccard similarity. Points are
 once it can't lower any register of its text.
 
 Texts that agree in a whole band of registers are candidates, and are linked if their multisets overlap by SIMILAR or more.
-Within a bucket of candidates no pairs are made: each member is verified against one pivot; while a bucket holds several
-components, further rounds take other pivots, up to ROUNDS. Equal texts count as one throughout. The classes are the
-connected components.
+Each member of a bucket of candidates is first verified against one pivot; while a bucket holds several components,
+ROUNDS - 1 further rounds take other pivots. What is then still undecided is decided exactly: a pair that is similar enough
+shares one of its rarest runs, early enough in both texts' order of rarity, and every pair of two components that does is
+verified. Equal texts count as one throughout. The classes are the connected components.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
 #: Rounds of pivots, and bits of the filter that spares most texts the second reading (of fixed size; false hits cost time only).
 ROUNDS, FILTER = 4, 1 << 24
+#: Cells of the table of runs' frequencies (they only order the runs), and texts of a block that meet a run's others at once.
+CELLS, DEALT = 1 << 20, 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,6 +181,85 @@ def _pivots(members: DataFrame, pick: Column, tested: DataFrame | None) -> DataF
     return pairs if tested is None else pairs.join(tested, ["node", "pivot"], "left_anti")
 
 
+def _frequencies(bag: DataFrame) -> np.ndarray:
+    """How many units of the bags fall on each cell. Its size is fixed; cells that several share make the order less apt, not wrong."""
+
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for rows in batches:
+            for a in rows.column("bag"):
+                np.add.at(total, (np.frombuffer(a.as_buffer(), np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+
+    got = bag.select("bag").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    total = np.zeros(CELLS, np.int64)
+    total[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return total
+
+
+def _rarest(bag: DataFrame, often: np.ndarray) -> DataFrame:
+    """(unit, node, component, size, at) of the units that may be the first that a text shares with a similar one, in the order of
+    their rarity: with SIMILAR of its units or more from there on."""
+
+    def run(batches):
+        for rows in batches:
+            node, component = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component"))
+            units, sizes, counts = [], [], []
+            for a in rows.column("bag"):
+                x = np.frombuffer(a.as_buffer(), np.uint64)
+                count = int(len(x) - SIMILAR * len(x) + 1e-6) + 1
+                units.append(x[np.lexsort((x, often[(x % np.uint64(CELLS)).astype(np.int64)]))[:count]])
+                sizes.append(len(x))
+                counts.append(len(units[-1]))
+            if not units:
+                continue
+            first = np.repeat(np.cumsum(counts) - counts, counts)
+            columns = [np.concatenate(units).view(np.int64), np.repeat(node, counts), np.repeat(component, counts), np.repeat(sizes, counts), np.arange(sum(counts)) - first]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["unit", "node", "component", "size", "at"])
+
+    return bag.mapInArrow(run, "unit long, node long, component long, size long, at long")
+
+
+def _rest(current: DataFrame, bag: DataFrame, tested: DataFrame) -> DataFrame | None:
+    """The links among all texts of buckets that hold several components yet (of two texts: both have met), each pair of two
+    components decided: those that share no rare unit, or only too late, can't be similar; all others are verified.
+
+    The texts of a unit's largest component aren't joined with each other, and others meet the unit's texts in blocks, so that
+    a hot unit is dealt over tasks.
+    """
+    several = current.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most and n > 2")
+    left = stored(current.join(several.select("bucket"), "bucket", "left_semi").select("node", "component").distinct())
+    if left.isEmpty():
+        return None
+    whole = stored(bag.join(left, "node"))
+    rare = stored(_rarest(whole, _frequencies(whole)))
+    of = rare.groupBy("unit", "component").agg(F.count("*").alias("n")).groupBy("unit")
+    heads = of.agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("kinds"), (F.sum("n") - F.max("n")).alias("others")).where("kinds > 1")
+    parts = F.ceil(F.col("others") / DEALT).cast("int")
+    shared = stored(rare.join(heads.select("unit", "top", parts.alias("parts")), "unit"))
+    a = shared.where("component <> top").select("unit", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "size", "at")])
+    b = shared.select("unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "top", "node", "component", "size", "at")
+    after = F.least(F.col("size") - F.col("at"), F.col("a_size") - F.col("a_at"))
+    close = (F.col("component") != F.col("a_component")) & ((F.col("component") == F.col("top")) | (F.col("a_node") < F.col("node")))
+    met = a.join(b, ["unit", "part"]).where(close & (after * (1 + SIMILAR) >= SIMILAR * (F.col("size") + F.col("a_size")) - 1e-6))
+    pairs = met.select(F.least("node", "a_node").alias("node"), F.greatest("node", "a_node").alias("pivot")).distinct()
+    links = stored(_verified(pairs.join(tested, ["node", "pivot"], "left_anti"), bag))
+    return None if links.isEmpty() else links
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels (node, component) after further links; None: there were none."""
+    if labels is None:
+        return components(links, "node", "pivot")
+    named = labels.select(F.col("node").alias("n"), "component")
+    a = links.join(named, F.col("node") == F.col("n"), "left").select(F.coalesce("component", "node").alias("node"), "pivot")
+    b = a.join(named, F.col("pivot") == F.col("n"), "left").select("node", F.coalesce("component", "pivot").alias("pivot"))
+    moved = components(b.where("node <> pivot"), "node", "pivot").withColumnsRenamed({"node": "from", "component": "to"})
+    whole = labels.unionByName(links.select("node").union(links.select("pivot")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node")))
+    return stored(whole.join(moved, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """docs with class_id (long: the least doc_id of the row's class), class_size (long: its rows) and kept (boolean: true for
     one row of each class, that with the least doc_id).
@@ -228,16 +310,11 @@ def _linked(docs: DataFrame, text: str, members: DataFrame) -> DataFrame:
         tested = pairs if tested is None else stored(tested.unionByName(pairs))
         if links.isEmpty():
             continue
-        if labels is None:
-            labels = components(links, "node", "pivot")
-        else:
-            named = labels.select(F.col("node").alias("n"), "component")
-            a = links.join(named, F.col("node") == F.col("n"), "left").select(F.coalesce("component", "node").alias("node"), "pivot")
-            b = a.join(named, F.col("pivot") == F.col("n"), "left").select("node", F.coalesce("component", "pivot").alias("pivot"))
-            moved = components(b.where("node <> pivot"), "node", "pivot").withColumnsRenamed({"node": "from", "component": "to"})
-            whole = labels.unionByName(links.select("node").union(links.select("pivot")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node")))
-            labels = stored(whole.join(moved, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")))
+        labels = _merged(labels, links)
         current = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if tested is not None:
+        links = _rest(current, bag, tested)
+        labels = labels if links is None else _merged(labels, links)
     return labels if labels is not None else members.select("node", F.col("node").alias("component")).limit(0)
 
 

@@ -101,3 +101,18 @@ def test_edges(spark):
     assert all(r["kept"] and r["class_size"] == 1 and r["class_id"] == r["doc_id"] for r in got if r not in abc)
     assert B.deduplicated(docs).columns == docs.columns and B.deduplicated(docs).count() == 5
     assert B.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_pairs_among_many_look_alikes(spark):
+    """Pages of one template share buckets by the hundred; the few linked pairs among them must all be found."""
+    template, rows, expected = [f"t{k}" for k in range(400)], [], []
+    for k in range(300):
+        words = [*template, *[f"p{k}x{j}" for j in range(50)]]
+        rows.append((2 * k, " ".join(words)))
+        expected.append(frozenset([2 * k]))
+        if k % 5 == 0:
+            rows.append((2 * k + 1, " ".join([*words[:402], *[f"q{k}x{j}" for j in range(48)]])))
+            expected[-1] = frozenset([2 * k, 2 * k + 1])
+    bags = [shingles(rows[k][1]) for k in (0, 1, 2)]
+    assert jaccard(bags[0], bags[1]) >= B.SIMILAR > jaccard(bags[0], bags[2]) > 0.79
+    assert classes(B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == set(expected)
