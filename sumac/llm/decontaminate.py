@@ -26,8 +26,9 @@ from sumac.llm.text import by_block, field, mix, span_hashes, stored, word_hashe
 WINDOW, SAME, BLOCK_CHARS = 13, 0.8, 4_000_000
 #: The masks, as places that count. They serve items of LEAST words and more.
 MASKS, LEAST = ((0, 1, 3, 5, 6), (0, 1, 2, 8, 9), (0, 3, 4, 5, 7)), 10
-#: Items of SHORT to LEAST - 1 words are looked for whole and unchanged; shorter ones are no evidence and not looked for.
-SHORT = 5
+#: Items of SHORT to LEAST - 1 words are looked for whole, with a word changed at most, by masks of PART places and more;
+#: shorter items are no evidence and not looked for.
+SHORT, PART = 5, 4
 #: Blocks that one stage handles before its result is written.
 CHAINED = 4
 _SPLIT = np.ones(256, bool)
@@ -63,7 +64,13 @@ def _fits(at: np.ndarray, n: int, span: int) -> np.ndarray:
 def needed(n: int) -> tuple[int, int]:
     """(words of the window, equal ones) that an item of n words asks."""
     w = min(WINDOW, n)
-    return w, w if n < LEAST else -(-w * 8 // 10)
+    return w, -(-w * 8 // 10)
+
+
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks for items of n words, SHORT to LEAST - 1: each leaves out other places, and together they leave out all, so that one meets equal words only."""
+    out = n - PART
+    return [tuple(p for p in range(n) if not k <= p < k + out) for k in range(0, n, out)]
 
 
 @dataclass(frozen=True)
@@ -86,13 +93,13 @@ def index(items: list[tuple[int | None, str]]) -> Block:
     raw = [t.encode() for _, t in items]
     words, at = hashed_words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
     size = np.diff(at)
-    whole = tuple(tuple(range(n)) for n in range(SHORT, LEAST) if (size == n).any())
+    short = [(mask, n) for n in range(SHORT, LEAST) if (size == n).any() for mask in short_masks(n)]
     found = []
-    for mask in (*MASKS, *whole):
+    for mask, n in (*((mask, None) for mask in MASKS), *short):
         h = seeds(words, mask)
-        place = _fits(at, len(h), mask[-1] + 1)
+        place = _fits(at, len(h), n or mask[-1] + 1)
         item = np.searchsorted(at, place, "right") - 1
-        right = size[item] >= LEAST if mask in MASKS else size[item] == len(mask)
+        right = size[item] == n if n else size[item] >= LEAST
         found.append((h[place[right]], item[right], place[right]))
     h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
     low, high = np.maximum(at[item], place - WINDOW), np.minimum(at[item + 1], place + WINDOW)
@@ -101,7 +108,7 @@ def index(items: list[tuple[int | None, str]]) -> Block:
     first = first[np.argsort(h[first], kind="stable")]
     there = np.zeros(1 << 20, bool)
     there[(h & np.uint64(0xFFFFF)).astype(np.int64)] = True
-    return Block([i for i, _ in items], words, at, (*MASKS, *whole), h[first], item[first], (place - at[item])[first], there)
+    return Block([i for i, _ in items], words, at, tuple(dict.fromkeys((*MASKS, *(mask for mask, _ in short)))), h[first], item[first], (place - at[item])[first], there)
 
 
 def search(block: Block, data: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[float, int, int, int]]]:

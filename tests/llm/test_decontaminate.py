@@ -78,3 +78,15 @@ def test_edges(spark):
     assert [(r["contaminated"], r["item_id"], r["overlap"]) for r in got] == [(True, 4, 1.0)] * 2 + [(False, None, 0.0)] * 2
     assert not any(r["contaminated"] for r in D.matches(docs, items.limit(0)).collect())
     assert D.matches(docs.limit(0), items).count() == 0
+
+
+def test_short_items_with_a_word_changed(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(D.SHORT, D.LEAST)]
+    docs, expected = [], {}
+    for n, item in items:
+        for gone in itertools.chain([()], ((k,) for k in range(n)), itertools.combinations(range(n), 2)):
+            words = ["x" if k in gone else w for k, w in enumerate(item.split())]
+            expected[len(docs)] = (n, 1 - len(gone) / n) if len(gone) < 2 else None
+            docs.append((len(docs), " ".join(["a", "b", *words, "c"] if len(docs) % 2 else words)))
+    got = D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["item_id"], r["overlap"]) if r["contaminated"] else None for r in got} == {d: x and (x[0], round(x[1] * x[0]) / x[0]) for d, x in expected.items()}
