@@ -58,7 +58,11 @@ def box(frame: DataFrame, schema: FieldSchema, x: Cell, keys: tuple[Key, ...] =
 
     ``large``: groups may hold more distinct values than fit a task; they are then read twice (see exact_percentiles).
     """
-    rows, names = _sampled(frame, schema, keys, where, x, now)
+    return box_of(*_sampled(frame, schema, keys, where, x, now), spec, large)
+
+
+def box_of(rows: DataFrame, names: list[str], spec: Box, large: bool = False) -> DataFrame:
+    """box() of rows (names, x, failed) that are there already."""
     p = [0.25, 0.5, 0.75, *spec.probabilities]
     base = _percentiles(rows, names, p, large, [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")])
     base = base.select(*names, "count", "n", "null_count", "input_error_count", "min", "max", F.least("max", F.greatest("min", "mean")).alias("mean"), *[F.col("q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3", "p_low", "p_high"))])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sumac.errors import QueryError
 from sumac.functions import calendar
+from sumac.operators.distributions import Box, box_of
 from sumac.operators.grouping import Calendar
 from sumac.operators.metrics import Fill, Metric, Result, evaluate
 from sumac.schema import FieldSchema
@@ -39,16 +40,27 @@ def bounded(metric: Metric, start: datetime, end: datetime, now: datetime) -> Me
     return replace(metric, where=(*metric.where, *bounds), fill=Fill(*span))
 
 
-def occurrences(frame: DataFrame, schema: FieldSchema, metric: Metric, probabilities: list[float] | None = None, now: datetime | None = None) -> DataFrame:
-    """The metric of every hour (of hourOfDay) or day (of dayOfWeek), then for each slot: (group0 ..., occurrences, count, value: the
-    mean of their values, and with probabilities their percentiles as ``values``). Rows without a date count for nothing."""
+def _each(frame: DataFrame, schema: FieldSchema, metric: Metric, now: datetime | None) -> DataFrame:
+    """The metric of every hour (of hourOfDay) or day (of dayOfWeek) with a date, under its slot."""
     slot = metric.group_by[0]
     if not isinstance(slot, Calendar) or slot.interval not in calendar.CYCLES:
         raise QueryError("invalid_occurrence", "the first key must be a cycle")
     unit = "hour" if slot.interval == "hourOfDay" else "day"
     each: Result = evaluate(frame, schema, replace(metric, group_by=(replace(slot, interval=unit), *metric.group_by[1:]), sort=()), now)
-    keys = metric.keys()
-    dated = each.buckets.where("group0 is not null").withColumn("group0", calendar.bucket(F.col("group0"), slot.interval, slot.zone))
+    return each.buckets.where("group0 is not null").withColumn("group0", calendar.bucket(F.col("group0"), slot.interval, slot.zone))
+
+
+def occurrence_box(frame: DataFrame, schema: FieldSchema, metric: Metric, spec: Box = Box(), now: datetime | None = None) -> DataFrame:
+    """The columns of distributions.box() for each slot, over its occurrences' values; rows without a date count for nothing."""
+    failed = F.col("error").isNotNull()
+    rows = _each(frame, schema, metric, now).select(*metric.keys(), F.when(~failed, F.col("value").cast("double")).alias("x"), failed.alias("failed"))
+    return box_of(rows, metric.keys(), spec)
+
+
+def occurrences(frame: DataFrame, schema: FieldSchema, metric: Metric, probabilities: list[float] | None = None, now: datetime | None = None) -> DataFrame:
+    """The metric of every hour (of hourOfDay) or day (of dayOfWeek), then for each slot: (group0 ..., occurrences, count, value: the
+    mean of their values, and with probabilities their percentiles as ``values``). Rows without a date count for nothing."""
+    keys, dated = metric.keys(), _each(frame, schema, metric, now)
     aggs = [F.count("value").alias("occurrences"), F.sum("count").alias("count"), F.min("error").alias("error"), F.avg("value").alias("value")]
     if probabilities:
         aggs.append(F.percentile("value", F.array(*[F.lit(float(p)) for p in probabilities])).alias("values"))

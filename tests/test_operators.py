@@ -1,4 +1,4 @@
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,3 +221,12 @@ def test_relations_and_previews(data, spark):
     assert again.rows.where("id = '02'").collect()[0]["twice"] == pytest.approx(200 / 30)
     with pytest.raises(QueryError):
         more.with_computed("unit", "number", col("price"))
+
+
+def test_box_over_occurrences(spark):
+    fields = FieldSchema((Field("id", "number"), Field("at", "datetime", groupable=True)), "id")
+    days = [datetime(2024, 1, 7, 12, tzinfo=UTC) + timedelta(days=7 * k) for k in range(8)]
+    frame = spark.createDataFrame([(100 * k + n, d) for k, d in enumerate(days) for n in range(40 if k == 7 else k % 3 + 1)], "id long, at timestamp")
+    metric = Metric({"n": count()}, group_by=(Calendar("at", "dayOfWeek"),))
+    got = series.occurrence_box(frame, fields, metric, distributions.Box("tukey"), NOW).collect()
+    assert [(r["group0"], r["n"], r["min"], r["median"], r["max"], r["low"], r["high"], r["outlier_count"], r["outliers"]) for r in got] == [(7, 8, 1, 2, 40, 1, 3, 1, [40])]
