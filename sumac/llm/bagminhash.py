@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumac.llm.text import binaries, blocks, by_block, field, lists, mix, span_hashes, stored, word_hashes, word_spans
+from sumac.llm.text import binaries, blocks, by_block, field, lists, mix, row_hashes, run_hashes, stored, word_hashes, word_spans
 
 #: Words of a run and the least weighted Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
@@ -43,12 +43,14 @@ def bags(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     edge = np.searchsorted(row, np.arange(n + 1))
     size = np.diff(edge)
     first = np.flatnonzero((np.arange(len(words)) + SHINGLE <= edge[row + 1]) | ((size[row] < SHINGLE) & (np.arange(len(words)) == edge[row])))
-    runs = span_hashes(words, first, np.minimum(first + SHINGLE, edge[row[first] + 1]), seed=1)
     own = row[first]
+    short = row_hashes(words, edge, seed=1)[own]
+    runs = np.append(run_hashes(words, SHINGLE, seed=1), np.zeros(SHINGLE, np.uint64))[first]
+    runs = np.where(size[own] < SHINGLE, short, runs)
     _, where, weight = np.unique(runs ^ mix(own.astype(np.uint64) + _STEP), return_index=True, return_counts=True)
     order = np.argsort(own[where], kind="stable")
     where, weight = where[order], weight[order]
-    whole = span_hashes(words, edge[:-1], edge[1:], seed=2)
+    whole = row_hashes(words, edge, seed=2)
     whole[(whole == 0)] = 1
     whole[size == 0] = 0
     return own[where], runs[where], weight, whole
@@ -111,7 +113,7 @@ def _bagged(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
         for rows, data, at in blocks(batches, "text"):
             starts, ends, row = word_spans(data, at)
             edge = np.searchsorted(row, np.arange(len(rows) + 1))
-            whole = span_hashes(word_hashes(data, starts, ends), edge[:-1], edge[1:], seed=2)
+            whole = row_hashes(word_hashes(data, starts, ends), edge, seed=2)
             hit = np.flatnonzero((flags[(whole % np.uint64(FILTER)).astype(np.int64)] == 1) & (np.diff(edge) > 0))
             if not len(hit):
                 continue

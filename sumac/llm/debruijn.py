@@ -1,12 +1,16 @@
 """Substring deduplication by De Bruijn compaction.
 
-Every window of WINDOW words holds K-word sequences; the one whose hash is least (the first of equals) is its anchor. The
-anchors are the nodes of a sparse De Bruijn graph; the words from one anchor of a document to the end of the next are an
-edge. Grouped over all documents, a node knows the least document that holds it and whether its edges in and out are the
-same wherever it occurs. Joined back to the documents, repeated nodes with one edge in and out compact into nonbranching
-paths: wherever one node of such a path occurs, the whole path does, so that a window inside it is judged by the node's
-least document. Windows that reach a branch are verified one by one: their 128-bit hashes meet in a join with the least
-document of each. Windows whose anchor occurs in one document only are not repeated. So every window is judged exactly.
+Nodes are runs of K words, edges lead from one node to the next of a document. Of all runs those are nodes that some window
+of WINDOW words has as its anchor (the run whose hash is least, the first of equals), so that the graph is sparse: from a
+node to the next it is K - 1 words at most, and both together spell out the edge. A document's ends are edges of their own.
+
+Grouped over all documents, a node that several hold knows the least of them, and its edges in and out where they are the
+same at each occurrence. Nodes joined by an edge that is the only one out of the first and into the second compact into
+paths, by joins that double the way to a path's head each time. All nodes of a path occur in the same documents. Each
+occurrence of a node gives, by its place in the path, the place of the whole path in the document: these coordinates, once
+for each path, verify every window inside by the path's least document. Windows that have a repeated anchor but leave its
+path are verified one by one: their 128-bit hashes meet in a join with the least document of each. Windows whose anchor
+occurs in one document only are not repeated. So every window is judged exactly.
 
 Only digests, anchors and hashes of windows at branches are shuffled, and the texts of contents that hold repeated anchors,
 once for each content. Equal contents are judged once: but for the least document they are repeated as a whole.
@@ -22,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumac.llm.text import binaries, bit_filter, blocks, by_block, field, in_filter, lists, span_hashes, stored, word_hashes, word_spans
+from sumac.llm.text import binaries, bit_filter, blocks, by_block, field, in_filter, lists, row_hashes, run_hashes, span_hashes, stored, word_hashes, word_spans
 
-#: Words of a window and of a node.
-WINDOW, K = 50, 25
+#: Words of a window and of a node (more than half a window, so that neighbouring nodes of a document overlap).
+WINDOW, K = 50, 26
 #: What stands for a null doc_id: larger than any other.
 LAST = 2**63 - 1
 
@@ -43,7 +47,7 @@ class Words:
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of each row's word sequence."""
         other = word_hashes(self.data, self.starts, self.ends, seed=1)
-        return tuple(span_hashes(x, self.edge[:-1], self.edge[1:], seed).view(np.int64) for x, seed in ((self.hash, 2), (other, 3)))
+        return row_hashes(self.hash, self.edge, 2).view(np.int64), row_hashes(other, self.edge, 3).view(np.int64)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(first word, anchor's first word) of every window."""
@@ -51,25 +55,36 @@ class Words:
         p = p[p + WINDOW <= self.edge[self.row[p] + 1]]
         if not len(p):
             return p, p
-        i = np.arange(len(self.hash) - K + 1)
-        nodes = span_hashes(self.hash, i, i + K, 5)
-        least = np.lib.stride_tricks.sliding_window_view(nodes, WINDOW - K + 1).argmin(1)
+        least = np.lib.stride_tricks.sliding_window_view(self.runs(), WINDOW - K + 1).argmin(1)
         return p, p + least[p]
 
-    def nodes(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, hash, hash of the edge in, of the edge out) of the distinct anchors; at a row's ends the edge reaches to the end."""
-        at = np.unique(anchor)
-        row = self.row[at]
-        same = np.zeros(len(at), bool)
-        same[1:] = row[1:] == row[:-1]
-        last = ~np.append(same[1:], False)
-        before, after = np.where(same, np.roll(at, 1), self.edge[row]), np.where(last, self.edge[row + 1], np.roll(at, -1) + K)
-        into, out = span_hashes(self.hash, before, at + K, 6), span_hashes(self.hash, at, after, 6)
-        return at, span_hashes(self.hash, at, at + K, 5), into + ~same, out + last
+    def runs(self) -> np.ndarray:
+        return run_hashes(self.hash, K, 5)
+
+    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the distinct anchors."""
+        first = np.unique(self.windows()[1])
+        return first, self.runs()[first] if len(first) else np.zeros(0, np.uint64)
+
+    def edges(self) -> tuple[np.ndarray, ...]:
+        """(first word, node, node before, words back to it, node after, words ahead to it) of the distinct anchors.
+
+        At a row's ends the hash of the words before (after) stands for the node, and -1 less their number for the way.
+        """
+        first, node = self.nodes()
+        row = self.row[first]
+        head, tail = np.ones(len(first), bool), np.ones(len(first), bool)
+        head[1:] = tail[:-1] = row[1:] != row[:-1]
+        before, after = np.roll(node, 1), np.roll(node, -1)
+        back, ahead = first - np.roll(first, 1), np.roll(first, -1) - first
+        begin, end = self.edge[row[head]], self.edge[row[tail] + 1]
+        before[head], back[head] = span_hashes(self.hash, begin, first[head], 6), begin - first[head] - 1
+        after[tail], ahead[tail] = span_hashes(self.hash, first[tail] + K, end, 6), first[tail] + K - end - 1
+        return first, node, before, back, after, ahead
 
     def window_hashes(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         other = word_hashes(self.data, self.starts, self.ends, seed=1)
-        return span_hashes(self.hash, p, p + WINDOW, 7).view(np.int64), span_hashes(other, p, p + WINDOW, 8).view(np.int64)
+        return tuple(run_hashes(x, WINDOW, seed)[p].view(np.int64) if len(p) else np.zeros(0, np.int64) for x, seed in ((self.hash, 7), (other, 8)))
 
     def kept(self, row: int, gone: np.ndarray) -> bytes:
         """The row's words but those gone, joined by one space."""
@@ -101,21 +116,46 @@ def _contents(docs: DataFrame) -> DataFrame:
     return stored(by_block(docs, make, new, "text", ["doc_id", "__at"] if "__at" in docs.columns else ["doc_id"]))
 
 
+_WAYS = ("before", "back", "after", "ahead")
+
+
 def graph(docs: DataFrame) -> DataFrame:
-    """(node, least, one_in, one_out) of the nodes that occur in two documents or more: their least doc_id, and whether they
-    have one edge in and one out. docs: doc_id (not null) and text."""
+    """(node, least, one_in, before, back, one_out, after, ahead) of the nodes that occur in two documents or more: their least
+    doc_id, whether they have one edge in and one out, and those edges (see Words.edges). docs: doc_id (not null) and text."""
 
     def run(batches):
         for rows, data, at in blocks(batches, "text"):
             words = Words(data, at)
-            first, node, into, out = words.nodes(words.windows()[1])
+            first, *edges = words.edges()
             doc = rows.column("doc_id").to_numpy(zero_copy_only=False)[words.row[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (node, doc, into, out)], ["node", "doc_id", "into", "out"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (doc, *edges)], ["doc_id", "node", *_WAYS])
 
-    each = docs.select("doc_id", "text").mapInArrow(run, "node long, doc_id long, into long, out long")
-    both = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "into", "out") for n, f in (("min", F.min), ("max", F.max))]
+    each = docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, node long, {', '.join(f'{c} long' for c in _WAYS)}")
+    both = [f(c).alias(f"{n}_{c}") for c in ("doc_id", *_WAYS) for n, f in (("min", F.min), ("max", F.max))]
     met = each.groupBy("node").agg(*both).where("min_doc_id < max_doc_id")
-    return met.select("node", F.col("min_doc_id").alias("least"), (F.col("min_into") == F.col("max_into")).alias("one_in"), (F.col("min_out") == F.col("max_out")).alias("one_out"))
+    one = {n: (F.col(f"min_{a}") == F.col(f"max_{a}")) & (F.col(f"min_{b}") == F.col(f"max_{b}")) for n, a, b in (("one_in", "before", "back"), ("one_out", "after", "ahead"))}
+    return met.select("node", F.col("min_doc_id").alias("least"), *[c.alias(n) for n, c in one.items()], *[F.col(f"min_{c}").alias(c) for c in _WAYS])
+
+
+def compacted(met: DataFrame) -> DataFrame:
+    """(node, start, end, least) of the nodes of graph(): where the path of each begins and ends, in words from the node's first, and the path's least document.
+
+    A node first points at the node before it, if the edge between them is the only one out of that and into this; then each
+    round joins the pointers to their own until all of them reach a path's head. At most one node of a path points at another.
+    """
+    before = met.where("one_out").select(F.col("node").alias("before"), F.lit(True).alias("leads"))
+    linked = met.join(before, "before", "left")
+    links = F.col("one_in") & (F.col("back") > 0) & F.col("leads").isNotNull()
+    own = [F.when(links, F.col("before")).otherwise(F.col("node")).alias("up"), F.when(links, F.col("back")).otherwise(F.lit(0)).alias("way"), (~links).alias("done")]
+    ends = [F.when(F.col(one) & (F.col(way) < 0), -1 - F.col(way)).otherwise(F.lit(0)).alias(n) for n, one, way in (("lead", "one_in", "back"), ("trail", "one_out", "ahead"))]
+    state = stored(linked.select("node", "least", *ends, *own))
+    while not state.where("not done").isEmpty():
+        there = state.select(F.col("node").alias("up"), F.col("up").alias("head"), F.col("way").alias("further"), F.col("done").alias("arrived"))
+        moved = state.where("not done").join(there, "up").select("node", "least", "lead", "trail", F.col("head").alias("up"), (F.col("way") + F.col("further")).alias("way"), F.col("arrived").alias("done"))
+        state = stored(state.where("done").unionByName(moved))
+    paths = state.groupBy("up").agg(F.max("lead").alias("lead"), F.max(F.col("way") + K + F.col("trail")).alias("length"), F.min("least").alias("least"))
+    met_again = state.select("node", "up", "way").join(paths, "up")
+    return met_again.select("node", (-F.col("way") - F.col("lead")).cast("int").alias("start"), (F.col("length") - F.col("way")).cast("int").alias("end"), "least")
 
 
 def _texts(docs: DataFrame, wanted: np.ndarray, by_node: bool) -> DataFrame:
@@ -127,7 +167,7 @@ def _texts(docs: DataFrame, wanted: np.ndarray, by_node: bool) -> DataFrame:
             words = Words(data, at)
             c1, c2 = words.keys()
             if by_node:
-                first, node, _, _ = words.nodes(words.windows()[1])
+                first, node = words.nodes()
                 hit = np.unique(words.row[first[in_filter(wanted, node)]])
             else:
                 hit = np.flatnonzero(in_filter(wanted, c1.view(np.uint64)))
@@ -156,7 +196,7 @@ def _occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 if key not in seen:
                     seen.add(key)
                     new[k] = True
-            first, node, _, _ = words.nodes(words.windows()[1])
+            first, node = words.nodes()
             hit = in_filter(wanted, node) & new[words.row[first]]
             first, node, row = first[hit], node[hit], words.row[first[hit]]
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(c1[row]), pa.array(c2[row]), pa.array((first - words.edge[row]).astype(np.int32))], ["node", "c1", "c2", "place"])
@@ -164,48 +204,37 @@ def _occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.select("text").where("text is not null").mapInArrow(run, "node long, c1 long, c2 long, place int")
 
 
-_FLAG = "struct<place:int,least:bigint,one_in:boolean,one_out:boolean>"
+_SPAN = "struct<start:int,end:int,least:bigint>"
 
 
 def _judged(met: DataFrame) -> DataFrame:
-    """(c1, c2, doc, known, place, h1, h2) from (c1, c2, doc, text, flags): the word ranges that windows inside nonbranching
-    paths remove, as pairs of 32-bit numbers, and the windows that reach a branch, with their hashes."""
+    """(c1, c2, doc, known, place, h1, h2) from (c1, c2, doc, text, spans): the word ranges that windows inside paths remove, as
+    pairs of 32-bit numbers, and the windows that have a repeated anchor but leave its path, with their hashes.
+
+    spans are the paths' places in the text, by start: a path that begins later ends later, so that only the last one that
+    begins by a place can reach beyond it.
+    """
 
     def run(batches):
         for rows, data, at in blocks(batches, "text"):
             words = Words(data, at)
-            flags = rows.column("flags")
-            of = np.repeat(np.arange(len(rows)), np.array(flags.value_lengths()))
-            values = flags.flatten()
-            get = lambda name: values.field(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            spans = rows.column("spans")
+            of = np.repeat(np.arange(len(rows)), np.array(spans.value_lengths()))
+            values = spans.flatten()
+            start, end = (values.field(n).to_numpy(zero_copy_only=False) + words.edge[of] for n in ("start", "end"))
+            least = values.field("least").to_numpy(zero_copy_only=False)
+            reach = lambda p, size: (k := np.searchsorted(start, p, "right") - 1, (k >= 0) & (start[k] >= words.edge[words.row[p]]) & (end[k] >= p + size))  # noqa: B023, E731
             p, anchor = words.windows()
-            first, _, _, _ = words.nodes(anchor)
-            n = len(first)
-            spot = np.searchsorted(first, get("place") + words.edge[of])
-            least, one_in, one_out = np.full(n, LAST), np.zeros(n, bool), np.zeros(n, bool)
-            there = np.zeros(n, bool)
-            there[spot] = True
-            least[spot], one_in[spot], one_out[spot] = get("least"), get("one_in"), get("one_out")
-            row = words.row[first]
-            # how far left and right of an anchor all its occurrences agree
-            number = np.arange(n)
-            head = np.r_[True, row[1:] != row[:-1]] if n else np.zeros(0, bool)
-            tail = np.r_[row[1:] != row[:-1], True] if n else np.zeros(0, bool)
-            stop = np.maximum.accumulate(np.where(head | ~one_in, number, 0)) if n else number
-            left = np.where(one_in[stop], words.edge[row[stop]], first[stop])
-            stop = np.minimum.accumulate(np.where(tail | ~one_out, number, n)[::-1])[::-1] if n else number
-            right = np.where(one_out[stop], words.edge[row[stop] + 1], first[stop] + K)
-            a = np.searchsorted(first, anchor)
-            p, a = p[there[a]], a[there[a]]
-            inside = (p >= left[a]) & (p + WINDOW <= right[a])
+            p, anchor = (p, anchor) if len(start) else (p[:0], p[:0])
+            path, inside = reach(p, WINDOW)
             doc = rows.column("doc").to_numpy(zero_copy_only=False)
-            gone = p[inside & (least[a] < doc[row[a]])]
-            begins = gone[np.r_[True, (gone[1:] > gone[:-1] + WINDOW) | (words.row[gone[1:]] != words.row[gone[:-1]])]] if len(gone) else gone
-            closes = gone[np.r_[(gone[1:] > gone[:-1] + WINDOW) | (words.row[gone[1:]] != words.row[gone[:-1]]), True]] + WINDOW if len(gone) else gone
+            gone = p[inside & (least[path] < doc[words.row[p]])]
+            apart = (gone[1:] > gone[:-1] + WINDOW) | (words.row[gone[1:]] != words.row[gone[:-1]])
+            begins, closes = (gone[np.r_[True, apart]], gone[np.r_[apart, True]] + WINDOW) if len(gone) else (gone, gone)
             owner = words.row[begins]
             pairs = np.stack([begins - words.edge[owner], closes - words.edge[owner]], 1).astype(np.int32).ravel()
             known = binaries(pairs, 2 * np.bincount(owner, minlength=words.n))
-            open_ = p[~inside]
+            open_ = p[~inside & reach(anchor, K)[1]]
             h1, h2 = words.window_hashes(open_)
             count = np.bincount(words.row[open_], minlength=words.n)
             place = (open_ - words.edge[words.row[open_]]).astype(np.int32)
@@ -232,11 +261,13 @@ def _results(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = contents.where(F.col("n_words") >= WINDOW).groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"))
     met = stored(graph(docs))
     wanted = bit_filter(met, "node")
-    flagged = _occurrences(docs, wanted).join(met, "node").select("c1", "c2", F.struct("place", "least", "one_in", "one_out").alias("flag"))
-    flagged = flagged.groupBy("c1", "c2").agg(F.collect_set("flag").cast(f"array<{_FLAG}>").alias("flags"))
+    path = stored(compacted(met))
+    span = F.struct((F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("end")).alias("end"), "least").alias("span")
+    placed = _occurrences(docs, wanted).join(path, "node").select("c1", "c2", span)
+    placed = placed.groupBy("c1", "c2").agg(F.sort_array(F.collect_set("span")).cast(f"array<{_SPAN}>").alias("spans"))
     texts = _texts(docs, wanted, by_node=True)
-    both = texts.join(flagged, ["c1", "c2"]).join(firsts, ["c1", "c2"]).groupBy("c1", "c2").agg(F.first("doc").alias("doc"), F.first("text").alias("text"), F.first("flags").alias("flags"))
-    judged = stored(_judged(both.select("c1", "c2", "doc", "text", "flags")))
+    both = texts.join(placed, ["c1", "c2"]).join(firsts, ["c1", "c2"]).groupBy("c1", "c2").agg(F.first("doc").alias("doc"), F.first("text").alias("text"), F.first("spans").alias("spans"))
+    judged = stored(_judged(both.select("c1", "c2", "doc", "text", "spans")))
     opened = judged.select("c1", "c2", "doc", F.explode(F.arrays_zip("place", "h1", "h2")).alias("w")).select("c1", "c2", "doc", "w.*")
     # written first, so that the join shuffles both sides and Spark can split a window that very many documents share
     earlier = stored(opened.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))

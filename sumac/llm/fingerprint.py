@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumac.llm.text import BLOCK, by_block, byte_codes, field, span_hashes, stored, word_hashes
+from sumac.llm.text import BLOCK, by_block, byte_codes, field, stored, word_hashes
 
 WINDOW, LONGEST = 7, 64
 #: Letters in a row that two different signatures must share (half of a shorter one) to be alike at all.
@@ -41,7 +41,7 @@ def fingerprint(text: bytes) -> str:
         if not len(at) or at[-1] != n:
             at = np.append(at, n)
         begins = np.concatenate([[0], at[:-1]])
-        signs.append(_LETTERS[(_pieces(data, begins, at) >> np.uint64(58)).astype(np.int64)].tobytes().decode())
+        signs.append(_LETTERS[(word_hashes(data, begins, at) >> np.uint64(58)).astype(np.int64)].tobytes().decode())
     return f"{level}:{signs[0]}:{signs[1]}"
 
 
@@ -55,18 +55,6 @@ def _zeros(data: np.ndarray) -> np.ndarray:
     return np.bitwise_count((rolled & (~rolled + np.uint64(1))) - np.uint64(1))
 
 
-def _pieces(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The pieces' hashes; a long piece is hashed by stretches of BLOCK bytes."""
-    if len(data) <= BLOCK:
-        return span_hashes(byte_codes(data), begins, ends)
-    out = []
-    for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
-        cuts = np.append(np.arange(i, j, BLOCK), j)
-        h = word_hashes(data, cuts[:-1], cuts[1:])
-        out.append(h[0] if len(h) == 1 else span_hashes(h, np.array([0]), np.array([len(h)]))[0])
-    return np.array(out, np.uint64)
-
-
 def distance(a: str, b: str) -> int:
     """Levenshtein distance, by bit vectors over ``a``."""
     if not a or not b:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,61 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder under /tmp only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may lack it; it gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _own_dir()
     return base.rstrip("/")
 
 
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="sumac-")
+
+
+#: The tables that stored() has written and discard() has not deleted yet.
+_written: list[str] = []
+
+
 def stored(frame: DataFrame) -> DataFrame:
-    """The frame written as Parquet into the shared folder and read again: its lineage is cut, and lost executors cost nothing."""
+    """The frame written as Parquet into the shared folder and read again: its lineage is cut, and lost executors cost nothing.
+
+    This runs a job at once. The table stays until discard().
+    """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/sumac-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables that stored() has written; frames over them can't be read any more. ``keep``: files of tables that stay."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs  # the one file system API that reaches any shared folder
+    for path in [p for p in _written if not any(p in k for k in keep)]:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """The name, with as many _ behind it as it takes to differ from all those taken, in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def sheltered(docs: DataFrame, new: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns that have one of the new names (in any case) under other names, and what brings a later frame back to the columns of docs."""
+    low = {n.lower() for n in new}
+    moved = {c: free(f"own_{c}", [*docs.columns, *new]) for c in docs.columns if c.lower() in low}
+    frame = docs.select(*[field(docs, c).alias(moved.get(c, c)) for c in docs.columns])
+    return frame, lambda later: later.select(*[field(later, moved.get(c, c)).alias(c) for c in docs.columns])
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their UTF-8 bytes, len(rows) + 1 offsets) of about ``limit`` bytes each; a null text is empty."""
     for batch in batches:
@@ -83,12 +126,13 @@ def by_block(
     """
     names = {n.lower() for n, _ in new}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    source = docs.select(*[field(docs, c) for c in keep], field(docs, text).cast("string").alias("__text"))
+    whole = free("text", [*keep, *names])
+    source = docs.select(*[field(docs, c) for c in keep], field(docs, text).cast("string").alias(whole))
     schema = T.StructType([*[source.schema[c] for c in keep], *[T.StructField(n, t) for n, t in new]])
     out = [*keep, *[n for n, _ in new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches, "__text"):
+        for rows, data, at in blocks(batches, whole):
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *make(rows, data, at)], out)
 
     return source.mapInArrow(run, schema)
@@ -101,38 +145,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_STEP = 0x9E3779B97F4A7C15
 
 
-def _base_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of _BASE and of its inverse, at least so many; a worker keeps one table, which doubles as it must."""
-    global _powers
-    if len(_powers[0]) < size:
-        have, grown = len(_powers[0]), 1 << max(12, (size - 1).bit_length())
-        new = []
-        for old, base in zip(_powers, (_BASE, pow(_BASE, -1, 2**64)), strict=True):
-            out = np.empty(grown, np.uint64)
-            out[:have], filled = old, have
-            while filled < grown:
-                n = min(filled, grown - filled)
-                out[filled : filled + n] = out[:n] * _U(pow(base, filled, 2**64))
-                filled += n
-            new.append(out)
-        _powers = (new[0], new[1])
-    return _powers
+def _seeded(seed: int) -> np.uint64:
+    return _U((seed + 1) * 0xD6E8FEB86659FD93 % 2**64)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, from prefix sums of a polynomial; values: uint64.
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _U(_STEP) + b)
+
+
+def run_hashes(values: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each ``length`` values in a row, one for each place where they fit; values: uint64.
 
-    Hashes under several seeds are independent only if their values are (byte_codes or word_hashes under several seeds).
+    Runs of 1, 2, 4 ... values are joined pairwise and scrambled at each step, so that no arrangement of values cancels out.
+    Hashes under several seeds are independent if their values are (word_hashes under several seeds).
     """
-    up, down = _base_powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    at = (total[ends] - total[starts]) * down[starts]
-    return mix(at + (ends - starts).astype(np.uint64) + _U((seed * _BASE) % 2**64))
+    n = len(values) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    part, span, out, done = values + _seeded(seed), 1, None, 0
+    while True:
+        if length & span:
+            here = part[done : done + n]
+            out = here if out is None else _joined(out, here)
+            done += span
+        if 2 * span > length:
+            return mix(out + _U(length))
+        part = _joined(part[:-span], part[span:])
+        span *= 2
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each span: the sum of each value's scramble with its place in the span, scrambled again."""
+    size = ends - starts
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    total = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(mix(values[np.repeat(starts, size) + place] + place.astype(np.uint64) * _U(_STEP) + _seeded(seed)), out=total[1:])
+    edge = np.concatenate([[0], np.cumsum(size)])
+    return mix(total[edge[1:]] - total[edge[:-1]] + size.astype(np.uint64) + _seeded(seed))
+
+
+def row_hashes(values: np.ndarray, edge: np.ndarray, seed: int = 0) -> np.ndarray:
+    """span_hashes() of the rows between the edges."""
+    return span_hashes(values, edge[:-1], edge[1:], seed)
 
 
 @functools.lru_cache(maxsize=8)
@@ -159,13 +216,29 @@ def word_spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) ->
     return starts, ends, np.searchsorted(at, starts, "right") - 1
 
 
+#: Which of eight bytes count where so many are left.
+_LEFT = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """The hashes of spans of bytes, in rising order, a stretch of about BLOCK bytes at a time: a very long text takes no more memory."""
+    """A 64-bit hash of each span of bytes, in rising order: the sum of its eight-byte pieces, each scrambled with its number, scrambled again.
+
+    Works on stretches of about BLOCK bytes: a very long text takes no more memory.
+    """
     out, first = np.empty(len(starts), np.uint64), 0
     while first < len(starts):
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK, "right")))
-        begin, end = starts[first], ends[last - 1]
-        out[first:last] = span_hashes(byte_codes(data[begin:end], seed), starts[first:last] - begin, ends[first:last] - begin, seed)
+        begin, size = starts[first], ends[first:last] - starts[first:last]
+        padded = np.zeros(ends[last - 1] - begin + 16, np.uint8)
+        padded[:-16] = data[begin : ends[last - 1]]
+        pieces = np.maximum(1, (size + 7) >> 3)
+        edge = np.cumsum(pieces) - pieces
+        number = np.arange(int(pieces.sum())) - np.repeat(edge, pieces)
+        at = np.repeat(starts[first:last] - begin, pieces) + 8 * number
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))[at]
+        eight &= _LEFT[np.minimum(8, np.repeat(size, pieces) - 8 * number)]
+        scrambled = mix(eight + number.astype(np.uint64) * _U(_STEP) + _seeded(seed))
+        out[first:last] = mix((np.add.reduceat(scrambled, edge) if len(edge) else scrambled) + size.astype(np.uint64) * _U(_STEP) + _seeded(seed))
         first = last
     return out
 

@@ -69,3 +69,36 @@ def test_extra_columns_and_empty(spark):
     frame = spark.createDataFrame([(1, "x " * 60, 1, 2), (2, "x " * 55 + "y", 3, 4)], "doc_id long, text string, c1 int, n_words int")
     assert got(frame) == brute([(1, "x " * 60), (2, "x " * 55 + "y")])
     assert D.removed(frame.limit(0)).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    """Words in an order that cancels out in polynomials modulo a power of two."""
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return out[:n]
+
+
+def test_words_that_cancel_out_in_polynomials(spark):
+    one, other = "".join(thue_morse(1024)), "".join(thue_morse(1024, "b", "a"))
+    rest = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join([*rest[:30], one, *rest[30:]])), (2, " ".join([*rest[:30], other, *rest[30:]]))]
+    rows += [(3, " ".join(thue_morse(2048))), (4, " ".join(thue_morse(2048, "b", "a")))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(frame) == brute(rows)
+    assert [r[2] for r in got(frame)[:2]] == [0, 0]
+
+
+def test_paths_are_those_of_the_graph(spark):
+    """A passage that three documents share whole, in part and at their ends: one path for each stretch of nodes that always occur together."""
+    rng = np.random.default_rng(9)
+    shared = [f"s{x}" for x in rng.integers(0, 10**6, 300)]
+    filler = lambda k: [f"f{k}x{x}" for x in rng.integers(0, 10**6, 80)]
+    rows = [(1, [*filler(1), *shared]), (2, [*filler(2), *shared]), (3, [*filler(3), *shared[150:]]), (4, shared[:120] + filler(4))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    met = D.graph(docs).collect()
+    paths = {r["node"]: r for r in D.compacted(D.graph(docs)).collect()}
+    assert set(paths) == {r["node"] for r in met} and len(met) > 10
+    lengths = {r["end"] - r["start"] for r in paths.values()}
+    assert len({(r["end"] - r["start"], r["least"]) for r in paths.values()}) < len(met) and max(lengths) >= D.WINDOW
+    assert got(docs) == brute([(i, " ".join(w)) for i, w in rows])
