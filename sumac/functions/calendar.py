@@ -9,8 +9,10 @@ hours are elapsed hours: a repeated hour is two buckets, and an offset change in
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import pairwise
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -21,7 +23,9 @@ from sumac.errors import QueryError
 INTERVALS = ("hour", "day", "week", "month", "year")
 CYCLES = {"hourOfDay": range(24), "dayOfWeek": range(1, 8)}
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
-_DAY = 86_400_000
+_HOUR, _DAY = 3_600_000, 86_400_000
+#: Of intervals of one length, how far before 1970-01-01 one of them began, and that length.
+_ANCHORS = {"hour": (0, _HOUR), "day": (0, _DAY), "week": (3 * _DAY, 7 * _DAY)}
 
 
 def check(interval: str, every: int = 1) -> None:
@@ -33,35 +37,33 @@ def check(interval: str, every: int = 1) -> None:
 
 
 @functools.lru_cache(maxsize=256)
-def transitions(zone: str, first: int = 1900, last: int = 2100) -> tuple[int, ...]:
-    """Epoch milliseconds at which the zone's offset changes."""
+def _clock(zone: str, first: int = 1900, last: int = 2100) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """(the instants from which each offset of the zone holds, the offsets), in milliseconds; the first holds from ever on."""
     tz = ZoneInfo(zone)
-    offset = lambda s: (_EPOCH + timedelta(seconds=s)).astimezone(tz).utcoffset()
-    out, at = [], int((datetime(first, 1, 1, tzinfo=UTC) - _EPOCH).total_seconds())
-    end, step = int((datetime(last, 1, 1, tzinfo=UTC) - _EPOCH).total_seconds()), 7 * 86_400
-    before = offset(at)
-    while at < end:
-        if offset(at + step) != before:
-            low, high = at, at + step
-            while high - low > 1:
-                middle = (low + high) // 2
-                low, high = (middle, high) if offset(middle) == before else (low, middle)
-            out.append(high * 1000)
-            before, at = offset(high), high
-        else:
-            at += step
-    return tuple(out)
+    offset = lambda s: (_EPOCH + timedelta(seconds=s)).astimezone(tz).utcoffset() // timedelta(milliseconds=1)
+    weeks = range(round(datetime(first, 1, 1, tzinfo=UTC).timestamp()), round(datetime(last, 1, 1, tzinfo=UTC).timestamp()), 7 * 86_400)
+    since, offsets = [-(2**62)], [offset(weeks[0])]
+    for a, b in pairwise(weeks):
+        while offset(b) != offsets[-1]:
+            a += bisect_left(range(a, b), True, key=lambda s: offset(s) != offsets[-1])
+            since.append(a * 1000)
+            offsets.append(offset(a))
+    return tuple(since), tuple(offsets)
+
+
+def transitions(zone: str) -> tuple[int, ...]:
+    """Epoch milliseconds at which the zone's offset changes."""
+    return _clock(zone)[0][1:]
 
 
 @functools.lru_cache(maxsize=256)
 def _midnights_stand(zone: str) -> bool:
     """Whether no clock change leaps from before midnight to after it: then a local date always begins at its midnight, or at the
     change that skips just that."""
-    for t in transitions(zone):
-        before, after = _py_local(t - 1, zone) + timedelta(milliseconds=1), _py_local(t, zone)
-        if before < after and before.date() < after.date() and after.time() != datetime.min.time() and before.time() != datetime.min.time():
-            return False
-    return True
+    since, offsets = _clock(zone)
+    leaps = [(t + a, t + b) for t, a, b in zip(since[1:], offsets[:-1], offsets[1:], strict=True)]
+    inside = lambda before, after: before // _DAY < after // _DAY and before % _DAY and after % _DAY
+    return not any(inside(before, after) for before, after in leaps)
 
 
 def _let(value: Column, make) -> Column:
@@ -86,31 +88,31 @@ def _instant(wall: Column, zone: str) -> Column:
     return _let(wall, lambda w: _let(later(w), lambda t: F.when(_local(t, zone) == w, t).otherwise(_last_change(t, zone))))
 
 
-def _floor(x: Column, step: int) -> Column:
-    return F.floor(x / step) * step
+def _number(local: Column, interval: str, every: int) -> Column:
+    """The number of the period that holds a wall clock's reading, counted from the anchor."""
+    days = F.floor(local / _DAY)
+    if interval in ("hour", "day", "week"):
+        shift, length = _ANCHORS[interval]
+        return F.floor((local + shift) / (length * every))
+    date = F.date_from_unix_date(days.cast("int"))
+    years = F.year(date) - 1970
+    return F.floor((years if interval == "year" else years * 12 + F.month(date) - 1) / every)
 
 
-def _wall(ms: Column, interval: str, zone: str, every: int, ahead: int) -> Column:
-    """The wall reading at which the bucket that holds ms starts, or one ``ahead`` of it."""
+def _reading(number: Column, interval: str, every: int) -> Column:
+    """The wall clock's reading at which the period of that number begins."""
+    if interval in ("hour", "day", "week"):
+        shift, length = _ANCHORS[interval]
+        return number * (length * every) - shift
+    months = number * (every if interval == "month" else 12 * every)
+    return F.unix_date(F.add_months(F.lit("1970-01-01").cast("date"), months.cast("int"))).cast("long") * _DAY
 
-    def make(local: Column) -> Column:
-        days = F.floor(local / _DAY)
-        move = every * ahead
-        if interval == "hour":
-            return days * _DAY + (_floor(F.floor((local - days * _DAY) / 3_600_000), every) + move) * 3_600_000
-        if interval == "day":
-            return (_floor(days, every) + move) * _DAY
-        if interval == "week":
-            return ((_floor(F.floor((days + 3) / 7), every) + move) * 7 - 3) * _DAY
-        date = F.date_from_unix_date(days.cast("int"))
-        if interval == "month":
-            index = _floor((F.year(date) - 1970) * 12 + F.month(date) - 1, every) + move
-            start = F.make_date(F.lit(1970) + F.floor(index / 12).cast("int"), F.pmod(index, F.lit(12)).cast("int") + 1, F.lit(1))
-        else:
-            start = F.make_date((F.lit(1970) + _floor(F.year(date) - 1970, every) + move).cast("int"), F.lit(1), F.lit(1))
-        return F.unix_date(start).cast("long") * _DAY
 
-    return _let(_local(ms, zone), make)
+def _furthest(ms: Column, zone: str) -> Column:
+    """The furthest reading of the wall clock so far: that before the last change, where the clock was put back by then."""
+    if zone == "UTC":
+        return ms
+    return _let(_last_change(ms, zone), lambda t: F.greatest(_local(ms, zone), _local(t - 1, zone)))
 
 
 def bucket(ts: Column, interval: str, zone: str = "UTC", every: int = 1) -> Column:
@@ -128,14 +130,10 @@ def bucket(ts: Column, interval: str, zone: str = "UTC", every: int = 1) -> Colu
         return F.when(ts.isNotNull(), F.timestamp_millis(F.when(offset(start) == offset(ms), start).otherwise(_last_change(ms, zone))))
     if interval != "hour" and every == 1 and _midnights_stand(zone):
         return F.to_utc_timestamp(F.date_trunc(interval, F.from_utc_timestamp(ts, zone)), zone)
-    begin = lambda t: _instant(_wall(t, interval, zone, every, 0), zone)
-    if zone != "UTC" and interval == "hour":
-        # a repeat of the clock can hold a bucket's boundary: then the next bucket starts before ms too
-        step = lambda t, s: _let(_instant(_wall(s, interval, zone, every, 1), zone), lambda n: F.when((n <= t) & (n > s), n).otherwise(s))
-        whole = _let(ms, lambda t: _let(begin(t), lambda s: _let(step(t, s), lambda s2: step(t, s2))))
-    else:
-        whole = _let(ms, begin)
-    return F.when(ts.isNotNull(), F.timestamp_millis(whole))
+    # hours follow the clock as far as it has come: where it was put back, the later of two buckets holds on
+    reading = _furthest if interval == "hour" else _local
+    begin = lambda t: _instant(_let(reading(t, zone), lambda w: _reading(_number(w, interval, every), interval, every)), zone)
+    return F.when(ts.isNotNull(), F.timestamp_millis(_let(ms, begin)))
 
 
 def following(start: Column, interval: str, zone: str = "UTC", every: int = 1) -> Column:
@@ -149,59 +147,66 @@ def following(start: Column, interval: str, zone: str = "UTC", every: int = 1) -
             hour = F.floor(_local(ms, zone) / 3_600_000) * 3_600_000 + 3_600_000 - _local(ms, zone) + ms
             end = _let(hour, lambda e: F.when(change(e) > ms, change(e)).otherwise(e))
         return F.timestamp_millis(end)
-    return F.timestamp_millis(_let(ms, lambda t: _instant(_wall(t, interval, zone, every, 1), zone)))
+    after = lambda w: _reading(_number(w, interval, every) + 1, interval, every)
+    return F.timestamp_millis(_let(_local(ms, zone), lambda w: _instant(after(w), zone)))
+
 
+# the same in Python, for lists of buckets: readings and instants are milliseconds
 
-# the same in Python, for lists of buckets
+
+def _stretch(ms: int, zone: str) -> tuple[int, int, int]:
+    """(from, until, offset) of the stretch of time with one offset that holds ms."""
+    since, offsets = _clock(zone)
+    k = bisect_right(since, ms) - 1
+    return since[k], since[k + 1] if k + 1 < len(since) else 2**62, offsets[k]
+
+
+@functools.lru_cache(maxsize=256)
+def _turned(zone: str) -> tuple[int, ...]:
+    """The readings that the clock shows when each of its stretches is over."""
+    since, offsets = _clock(zone)
+    return tuple(t + o for t, o in zip(since[1:], offsets[:-1], strict=True))
 
 
-def _py_local(ms: int, zone: str) -> datetime:
-    return (_EPOCH + timedelta(milliseconds=ms)).astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+def _earliest(reading: int, zone: str) -> int:
+    """The first instant at which the clock shows the reading, or is put ahead of it."""
+    since, offsets = _clock(zone)
+    k = bisect_right(_turned(zone), reading)
+    return max(since[k], reading - offsets[k])
 
 
-def _py_instant(wall: datetime, zone: str) -> int:
-    at = lambda fold: round((wall.replace(tzinfo=ZoneInfo(zone), fold=fold) - _EPOCH) / timedelta(milliseconds=1))
-    first = at(0)
-    if _py_local(first, zone) == wall:
-        return first
-    return max(t for t in transitions(zone) if t <= first)
+def _py_number(reading: int, interval: str, every: int) -> int:
+    if interval in _ANCHORS:
+        shift, length = _ANCHORS[interval]
+        return (reading + shift) // (length * every)
+    date = _EPOCH + timedelta(days=reading // _DAY)
+    return ((date.year - 1970) * 12 + date.month - 1) // (every if interval == "month" else 12 * every)
 
 
-def _py_wall(ms: int, interval: str, zone: str, every: int, ahead: int) -> datetime:
-    local = _py_local(ms, zone)
-    day = (local.date() - _EPOCH.date()).days
-    fl = lambda x: x // every * every + every * ahead
-    zero = _EPOCH.replace(tzinfo=None)
-    if interval == "hour":
-        return zero + timedelta(days=day, hours=fl(local.hour))
-    if interval == "day":
-        return zero + timedelta(days=fl(day))
-    if interval == "week":
-        return zero + timedelta(days=fl((day + 3) // 7) * 7 - 3)
-    index = fl((local.year - 1970) * 12 + local.month - 1) if interval == "month" else fl(local.year - 1970) * 12
-    return datetime(1970 + index // 12, index % 12 + 1, 1)
+def _py_reading(number: int, interval: str, every: int) -> int:
+    if interval in _ANCHORS:
+        shift, length = _ANCHORS[interval]
+        return number * length * every - shift
+    years, month = divmod(number * (every if interval == "month" else 12 * every), 12)
+    return (datetime(1970 + years, month + 1, 1, tzinfo=UTC) - _EPOCH).days * _DAY
 
 
 def start_of(ms: int, interval: str, zone: str = "UTC", every: int = 1) -> int:
     check(interval, every)
+    since, _, offset = _stretch(ms, zone)
     if interval == "hour" and every == 1:
-        local = _py_local(ms, zone)
-        begin = ms - local.minute * 60_000 - local.second * 1000 - local.microsecond // 1000
-        inside = [t for t in transitions(zone) if begin < t <= ms] if zone != "UTC" else []
-        return inside[-1] if inside else begin
-    start = _py_instant(_py_wall(ms, interval, zone, every, 0), zone)
-    while interval == "hour" and start < (after := next_of(start, interval, zone, every)) <= ms:
-        start = after
-    return start
+        return max(since, (ms + offset) // _HOUR * _HOUR - offset)
+    reading = ms + offset
+    if interval == "hour" and (k := bisect_right(transitions(zone), ms)):
+        reading = max(reading, _turned(zone)[k - 1] - 1)  # as _furthest()
+    return _earliest(_py_reading(_py_number(reading, interval, every), interval, every), zone)
 
 
 def next_of(start: int, interval: str, zone: str = "UTC", every: int = 1) -> int:
+    _, until, offset = _stretch(start, zone)
     if interval == "hour" and every == 1:
-        local = _py_local(start, zone)
-        end = start + 3_600_000 - local.minute * 60_000 - local.second * 1000
-        inside = [t for t in transitions(zone) if start < t < end] if zone != "UTC" else []
-        return inside[0] if inside else end
-    return _py_instant(_py_wall(start, interval, zone, every, 1), zone)
+        return min(until, (start + offset) // _HOUR * _HOUR + _HOUR - offset)
+    return _earliest(_py_reading(_py_number(start + offset, interval, every) + 1, interval, every), zone)
 
 
 def starts(first: int, last: int, interval: str, zone: str = "UTC", every: int = 1, most: int = 10_000) -> Iterator[int]:

@@ -6,51 +6,39 @@ a predicate nor its negation (except is_null); an empty operand means no filter
 
 from __future__ import annotations
 
-import math
-from datetime import UTC, datetime, timedelta
+from collections.abc import Iterator
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumac.errors import QueryError
-from sumac.functions.relative import offset_ms
+from sumac.functions.operands import at_millis, instant, meet, millis, number, operand, whole_span
 from sumac.schema import NULLITY, Dataset, Field, FieldSchema
 
-#: The most predicates of one filter, and each operator's complement.
+#: The most predicates of one filter, and the pairs of operators that say the opposite of each other.
 MOST = 100
-COMPLEMENT = {"=": "!=", ">": "<=", "<": ">=", "is_null": "is_not_null", "matches_regex": "not_matches_regex"}
-COMPLEMENT |= {b: a for a, b in COMPLEMENT.items()}
-
-
-def _literal(field: Field, raw: str, now: datetime) -> Column:
-    if field.kind == "number":
-        try:
-            return F.lit(float(raw))
-        except ValueError:
-            raise QueryError("invalid_value", f"{field.name}: not a number: {raw!r}") from None
-    if field.kind == "bool":
-        low = raw.lower()
-        if low not in ("true", "1", "t", "false", "0", "f"):
-            raise QueryError("invalid_value", f"{field.name}: not a bool: {raw!r}")
-        return F.lit(low in ("true", "1", "t"))
-    if field.kind == "datetime":
-        return F.lit(instant(raw, now, field.name))
-    return F.lit(raw)
-
-
-def instant(raw: str, now: datetime, name: str = "value") -> datetime:
-    """A signed duration from now, or an ISO date or timestamp (without an offset: UTC)."""
-    if raw[:1] in ("+", "-"):
-        ms = offset_ms(raw)
-        if ms is None:
-            raise QueryError("invalid_value", f"{name}: not a signed duration: {raw!r}")
-        return now + timedelta(milliseconds=ms)
-    try:
-        at = datetime.fromisoformat(raw)
-    except ValueError:
-        raise QueryError("invalid_value", f"{name}: not a datetime: {raw!r}") from None
-    return at if at.tzinfo else at.replace(tzinfo=UTC)
+OPPOSITES = (("=", "!="), (">", "<="), ("<", ">="), ("is_null", "is_not_null"), ("matches_regex", "not_matches_regex"))
+_OPPOSITE = {x: y for pair in OPPOSITES for x, y in (pair, pair[::-1])}
+#: How a column compares with a value.
+COMPARED = {
+    "=": lambda c, v: c == v,
+    "!=": lambda c, v: c != v,
+    ">": lambda c, v: c > v,
+    ">=": lambda c, v: c >= v,
+    "<": lambda c, v: c < v,
+    "<=": lambda c, v: c <= v,
+    "contains": lambda c, v: c.contains(v),
+    "starts_with": lambda c, v: c.startswith(v),
+    "ends_with": lambda c, v: c.endswith(v),
+    "matches_regex": lambda c, v: c.rlike(v),
+    "not_matches_regex": lambda c, v: ~c.rlike(v),
+    "length_gt": lambda c, v: F.length(c) > v,
+    "length_lt": lambda c, v: F.length(c) < v,
+    "length_eq": lambda c, v: F.length(c) == v,
+}
+_FOLDED = ("contains", "starts_with", "ends_with")
 
 
 def _there(field: Field, c: Column) -> Column:
@@ -70,24 +58,21 @@ def predicate(schema: FieldSchema, p: dict, now: datetime) -> Column:
         return there if (op == "is_not_null") != bool(p.get("negated")) else ~there
     if raw == "" and not (op in ("=", "!=") and field.kind in ("text", "enum")):
         return F.lit(True)
-    folded = F.lower(c) if field.kind in ("text", "enum") else c
-    if op.startswith("length_"):
-        if not raw.isdecimal() or not raw.isascii() or str(int(raw)) != raw:
-            raise QueryError("invalid_value", f"{field.name}: not a length: {raw!r}")
-        n = F.length(c)
-        made = {"length_gt": n > int(raw), "length_lt": n < int(raw), "length_eq": n == int(raw)}[op]
-    elif op in ("contains", "starts_with", "ends_with"):
-        made = {"contains": folded.contains, "starts_with": folded.startswith, "ends_with": folded.endswith}[op](F.lower(F.lit(raw)))
-    elif op in ("matches_regex", "not_matches_regex"):
-        made = c.rlike(raw) if op == "matches_regex" else ~c.rlike(raw)
-    elif op == "includes":
+    if op == "includes":
         made = F.exists(c, lambda x: F.coalesce(x == raw if field.case_sensitive else F.lower(x) == F.lower(F.lit(raw)), F.lit(False)))
+    elif op in _FOLDED:
+        made = COMPARED[op](F.lower(c), F.lower(F.lit(raw)))
     else:
-        value = _literal(field, raw, now)
-        made = {"=": c == value, "!=": c != value, ">": c > value, ">=": c >= value, "<": c < value, "<=": c <= value}[op]
+        made = COMPARED[op](c, F.lit(_length(field, raw) if op.startswith("length_") else operand(field.kind, raw, now, field.name)))
     return ~made & _there(field, c) if p.get("negated") else made
 
 
+def _length(field: Field, raw: str) -> int:
+    if not raw.isascii() or not raw.isdecimal() or (raw != "0" and raw[0] == "0"):
+        raise QueryError("invalid_value", f"{field.name} takes a plain length, and {raw!r} isn't one")
+    return int(raw)
+
+
 def condition(schema: FieldSchema, terms: list[dict], now: datetime) -> Column:
     """The whole filter; without terms it is true."""
     literals = 0
@@ -109,86 +94,95 @@ def where(frame: DataFrame, schema: FieldSchema, terms: list[dict], now: datetim
     return frame.where(condition(schema, terms, now)) if terms else frame
 
 
+def pushed(data: Dataset, terms: list[dict], now: datetime) -> DataFrame:
+    """The relation under what the terms say of its plain numeric, datetime and text columns, in the columns' own types, so that
+    file formats can skip by it. Rows that the terms admit all pass; others may."""
+    made = [c for t in terms if (c := _own(data, t, now)) is not None]
+    return reduce(DataFrame.where, made, data.source)
+
+
+def _own(data: Dataset, t: dict, now: datetime) -> Column | None:
+    """A condition on the relation's columns that holds wherever the term does; None if nothing is known. Of alternatives each must give one."""
+    for name, join, need in (("any", lambda a, b: a | b, True), ("all", lambda a, b: a & b, False)):
+        if name in t:
+            parts = [_own(data, x, now) for x in t[name]]
+            known = [c for c in parts if c is not None]
+            return reduce(join, known) if known and (len(known) == len(parts) or not need) else None
+    raw, op = str(t.get("value", "")), t["op"]
+    f = data.schema.field(t["field"])
+    kind, c = data.source_type(f), F.col(f"`{f.name}`")
+    if raw == "" or t.get("negated") or kind is None or op not in f.allowed:
+        return None
+    if kind == "string" and f.kind in ("text", "enum") and op == "=":
+        return c == raw
+    if kind == "double" and f.kind == "number" and (x := number(raw)) is not None and whole_span(op, 0):
+        return COMPARED[op](c, F.lit(x))
+    if kind in ("int", "bigint") and f.kind == "number" and (x := number(raw)) is not None and abs(x) < 2**31 - 1:
+        return _within(c, whole_span(op, x), F.lit)
+    if kind in ("timestamp", "timestamp_ntz") and f.kind == "datetime":
+        at = millis(instant(raw, now, f.name))  # the field is the column's whole milliseconds
+        return _within(c, whole_span(op, at), lambda ms: F.lit(at_millis(ms) if kind == "timestamp" else at_millis(ms).astimezone(UTC).replace(tzinfo=None)))
+    return None
+
+
+def _within(c: Column, span: tuple[int | None, int | None] | None, literal) -> Column | None:
+    ends = [] if span is None else [f(c, literal(x)) for f, x in zip((COMPARED[">="], COMPARED["<"]), span, strict=True) if x is not None]
+    return reduce(lambda a, b: a & b, ends) if ends else None
+
+
 def of_dataset(data: Dataset, terms: list[dict], now: datetime) -> DataFrame:
-    """A dataset's rows under a filter. What comparisons say of plain numeric and datetime columns is asked of the relation
-    first, in its own types, so that file formats can skip by it; the filter itself then decides."""
-    source = data.source
-    for t in terms:
-        if "any" in t or t.get("negated") or t["op"] not in ("=", ">", ">=", "<", "<=") or not t.get("value"):
-            continue
-        f = data.schema.field(t["field"])
-        kind, c = data.source_type(f), F.col(f"`{f.name}`")
-        if kind in ("int", "bigint"):
-            v = float(t["value"]) if _is_number(t["value"]) else math.nan
-            if abs(v) < 2**31:
-                low, high = math.ceil(v), math.floor(v)
-                source = source.where({"=": (c >= low) & (c <= high), ">": c >= high, ">=": c >= low, "<": c <= low, "<=": c <= high}[t["op"]])
-        elif kind == "double" and f.kind == "number" and _is_number(t["value"]):
-            v = float(t["value"])
-            source = source.where({"=": c == v, ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v}[t["op"]])
-        elif kind in ("timestamp", "timestamp_ntz") and f.kind == "datetime":
-            v = instant(t["value"], now, f.name)
-            v = v - timedelta(microseconds=v.microsecond % 1000)
-            lit = lambda d: F.lit(d if kind == "timestamp" else d.astimezone(UTC).replace(tzinfo=None))  # noqa: B023, E731
-            after = lit(v + timedelta(milliseconds=1))
-            source = source.where({"=": (c >= lit(v)) & (c < after), ">": c >= lit(v), ">=": c >= lit(v), "<": c < after, "<=": c < after}[t["op"]])
-    return where(data.over(source).rows, data.schema, terms, now)
-
-
-def _is_number(raw: str) -> bool:
-    try:
-        return math.isfinite(float(raw))
-    except ValueError:
-        return False
+    """A dataset's rows under a filter: what the relation can be asked itself is asked first; the filter then decides."""
+    return where(data.over(pushed(data, terms, now)).rows, data.schema, terms, now)
 
 
 def date_bounds(schema: FieldSchema, terms: list[dict], field: str, now: datetime) -> tuple[datetime | None, datetime | None]:
     """[lower, upper) of a datetime field by the filter's own predicates; alternatives and negations never bound it."""
-    name, step = schema.field(field).name, timedelta(milliseconds=1)
-    low: list[datetime] = []
-    high: list[datetime] = []
-    for t in terms:
-        if "any" in t or t.get("negated") or schema.field(t["field"]).name != name or t["op"] not in ("=", ">", ">=", "<", "<=") or not t.get("value"):
-            continue
-        at = instant(t["value"], now, name)
-        if t["op"] in ("=", ">=", ">"):
-            low.append(at + step if t["op"] == ">" else at)
-        if t["op"] in ("=", "<=", "<"):
-            high.append(at if t["op"] == "<" else at + step)
-    return max(low, default=None), min(high, default=None)
+    spans = (whole_span(t["op"], millis(instant(t["value"], now, t["field"]))) for t in _plain(terms) if schema.field(t["field"]) is schema.field(field) and whole_span(t["op"], 0))
+    low, high = reduce(meet, spans, (None, None))
+    return None if low is None else at_millis(low), None if high is None else at_millis(high)
+
+
+def _plain(terms: list[dict]) -> Iterator[dict]:
+    """The terms that are single predicates, not negated and with a value."""
+    return (t for t in terms if "any" not in t and "all" not in t and not t.get("negated") and t.get("value"))
 
 
 def negated(p: dict, allowed: tuple[str, ...] | None = None) -> dict:
-    """The predicate's negation: by its complement where there is one that is allowed, else by the flag."""
-    ok = lambda op: allowed is None or op in allowed
-    base = {"field": p["field"], "op": p["op"], "value": p.get("value", "")}
-    zero = {"length_gt": "length_eq", "length_eq": "length_gt"}.get(p["op"])
-    if zero and base["value"] == "0" and not p.get("negated") and ok(zero):
-        return base | {"op": zero}
-    other = COMPLEMENT.get(p["op"])
-    if other and ok(other):
-        return base | {"op": other}
-    return base if p.get("negated") else base | {"negated": True}
+    """The predicate's negation: by the operator that says the opposite where there is one that is allowed, else by the flag."""
+    flagged = bool(p.get("negated"))
+    bare = {k: p.get(k, "") for k in ("field", "op", "value")}
+    # a length over 0 and a length of 0 are opposites too, as no length is under 0
+    empty = {"length_gt": "length_eq", "length_eq": "length_gt"} if bare["value"] == "0" and not flagged else {}
+    for other in (empty.get(p["op"]), _OPPOSITE.get(p["op"])):
+        if other and (allowed is None or other in allowed):
+            return bare | {"op": other}
+    return bare if flagged else bare | {"negated": True}
+
+
+def _either_null_or(terms: list[dict], field: str) -> list[dict]:
+    return [{"any": [{"field": field, "op": "is_null", "value": ""}, t]} for t in terms]
+
+
+#: What each mode of a set filter makes of (field, wanted members, the predicates that exclude them).
+_SETS = {
+    "any": lambda field, wanted, unwanted: [{"any": wanted}] if wanted else [],
+    "all": lambda field, wanted, unwanted: wanted,
+    "none": lambda field, wanted, unwanted: _either_null_or(unwanted, field),
+    "empty": lambda field, wanted, unwanted: [{"field": field, "op": "is_null", "value": ""}],
+}
 
 
 def set_filter(field: Field, mode: str, values: list[str]) -> list[dict]:
     """any, all, none and empty of an array's members; any and none of a single value, where none keeps nulls."""
-    array = field.kind == "textarray"
-    if mode not in (("any", "all", "none", "empty") if array else ("any", "none")):
+    has = "includes" if field.kind == "textarray" else "="
+    if mode not in _SETS or (has == "=" and mode in ("all", "empty")):
         raise QueryError("invalid_set_mode", f"{mode} on {field.name}")
-    empty = {"field": field.name, "op": "is_null", "value": ""}
-    if mode == "empty":
-        return [empty]
-    members = [{"field": field.name, "op": "includes" if array else "=", "value": v} for v in dict.fromkeys(values)]
-    if mode == "any":
-        return [{"any": members}] if members else []
-    if mode == "all":
-        return members
-    return [{"any": [empty, m | {"negated": True} if array else m | {"op": "!="}]} for m in members]
+    wanted = [{"field": field.name, "op": has, "value": v} for v in dict.fromkeys(values)]
+    return _SETS[mode](field.name, wanted, [negated(p, field.allowed) for p in wanted])
 
 
 def related(frame: DataFrame, key: str, relation: DataFrame, relation_key: str, keep: bool = True) -> DataFrame:
     """The rows whose key the host's relation has (or hasn't: a null key is in neither)."""
-    ids = relation.select(F.col(f"`{relation_key}`").alias(f"`{key}`".strip("`"))).where(F.col(f"`{key}`").isNotNull()).distinct()
-    rows = frame.where(F.col(f"`{key}`").isNotNull())
-    return rows.join(ids, key, "left_semi" if keep else "left_anti")
+    ids = relation.select(F.col(f"`{relation_key}`").alias("related")).where("related is not null")
+    c = F.col(f"`{key}`")
+    return frame.where(c.isNotNull()).join(ids, c == ids["related"], "left_semi" if keep else "left_anti")
