@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sumac.errors import QueryError
-from sumac.functions.scalar import Cell, _of, cell
+from sumac.functions.scalar import Cell, _of, cell, ranged
 
 
 @dataclass(frozen=True)
@@ -40,11 +40,15 @@ class Part:
             "avg": lambda: [F.sum(x).alias(f"{name}__sum"), F.count(x).cast("double").alias(f"{name}__count")],
             "min": lambda: [F.min(x).alias(name)],
             "max": lambda: [F.max(x).alias(name)],
-            "median": lambda: [F.percentile(x, F.lit(0.5)).alias(name)],
-            "percentile": lambda: [F.percentile(x, F.lit(float(self.p or 0))).alias(name)],
+            "median": lambda: [F.percentile(x, F.lit(self.probability)).alias(name)],
+            "percentile": lambda: [F.percentile(x, F.lit(self.probability)).alias(name)],
         }[self.op]()
         return made if self.input.error is None else [*made, F.min(self.input.error).alias(f"{name}__error")]
 
+    @property
+    def probability(self) -> float:
+        return 0.5 if self.op == "median" else float(self.p or 0)
+
     @property
     def names(self) -> tuple[str, ...]:
         return ("__sum", "__count") if self.op == "avg" and self.input is not None else ("",)
@@ -67,7 +71,7 @@ class Part:
         """Of a frame that has the columns."""
         error = None if self.input is None or self.input.error is None else F.col(f"{name}__error")
         value = F.col(name) if self.names == ("",) else F.try_divide(F.col(f"{name}__sum"), F.col(f"{name}__count"))
-        return _of(value, error)
+        return ranged(value, error) if self.op in ("sum", "avg") else _of(value, error)
 
 
 def count(x=None) -> Part:

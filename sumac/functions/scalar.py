@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sumac.functions.relative import FURTHEST
+
 #: Fixed value: the characters that count as white space in trimming and word counts.
 WHITE = "\t\n\x0b\x0c\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
 SAFE = float(2**53 - 1)
@@ -114,10 +116,15 @@ def strict(make: Callable[..., Column], *args, fails: list[tuple[str, Callable[.
 
 
 def _number(make: Callable[..., Column], *args, fails=()) -> Cell:
-    """A numeric result must be finite, and a whole one within 2^53 - 1."""
+    """A numeric result must be in range."""
     got = strict(make, *args, fails=list(fails))
-    bad = F.isnan(got.value) | (F.abs(got.value) == float("inf")) | ((F.abs(got.value) > SAFE) & (F.floor(got.value).cast("double") == got.value))
-    return _of(got.value, _first([got.error, F.when(bad, F.lit("number_range"))]))
+    return ranged(got.value, got.error)
+
+
+def ranged(value: Column, error: Column | None) -> Cell:
+    """A number must be finite, and a whole one within 2^53 - 1."""
+    bad = F.isnan(value) | (F.abs(value) == float("inf")) | ((F.abs(value) > SAFE) & (F.floor(value).cast("double") == value))
+    return _of(value, _first([error, F.when(bad, F.lit("number_range"))]))
 
 
 def _logic(a: Cell, b: Cell, decisive: bool) -> Cell:
@@ -132,10 +139,6 @@ def _logic(a: Cell, b: Cell, decisive: bool) -> Cell:
     return Cell(F.when(settled, F.lit(decisive)).when(error.isNull(), value), error)
 
 
-def _null(like: Column | None = None) -> Column:
-    return F.lit(None)
-
-
 def if_(condition, then, otherwise=None) -> Cell:
     """A null condition takes the other branch; only the branch taken can fail."""
     c, a, b = cell(condition), cell(then), cell(otherwise)
@@ -198,8 +201,16 @@ def between(a, low, high) -> Cell:
 
 
 def to_text(a) -> Cell:
-    """Of a number: whole ones without a fraction."""
-    return strict(lambda x: F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(x.cast("string")), a)
+    """Of a number: its shortest digits, whole ones without a fraction; without an exponent from 1e-6 on."""
+    plain = lambda x, scale: F.regexp_replace(x.cast("string").cast(f"decimal(38,{scale})").cast("string"), r"\.?0+$", "")
+
+    def said(x: Column) -> Column:
+        size, short = F.abs(x), x.cast("string")
+        tiny = F.replace(F.replace(short, F.lit(".0E"), F.lit("E")), F.lit("E"), F.lit("e"))
+        broken = F.when(size >= 1e7, plain(x, 18)).when(size >= 1e-3, short).when(size >= 1e-6, plain(x, 30)).otherwise(tiny)
+        return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(broken)
+
+    return strict(lambda x: said(x.cast("double")), a)
 
 
 def bool_to_text(a) -> Cell:
@@ -232,8 +243,13 @@ def to_datetime(a) -> Cell:
 # text; positions and lengths are in code points, positions from 1
 
 
+def _int(n: Column) -> Column:
+    """A number as an int; beyond the ints' range the nearest of them."""
+    return F.least(F.lit(2.0**31 - 1), F.greatest(F.lit(-(2.0**31)), n)).cast("int")
+
+
 def _count(n: Column) -> Column:
-    return F.greatest(F.lit(0), n.cast("int"))
+    return F.greatest(F.lit(0), _int(n))
 
 
 def left(a, n) -> Cell:
@@ -247,8 +263,8 @@ def right(a, n) -> Cell:
 def substring(a, start, n=None) -> Cell:
     fails = [("invalid_position", lambda x, s, *k: s < 1)]
     if n is None:
-        return strict(lambda x, s: F.substring(x, s.cast("int"), F.length(x)), a, start, fails=fails)
-    return strict(lambda x, s, k: F.substring(x, s.cast("int"), _count(k)), a, start, n, fails=fails)
+        return strict(lambda x, s: F.substring(x, _int(s), F.length(x)), a, start, fails=fails)
+    return strict(lambda x, s, k: F.substring(x, _int(s), _count(k)), a, start, n, fails=fails)
 
 
 def length(a) -> Cell:
@@ -288,12 +304,17 @@ def replace(a, what, by) -> Cell:
     return strict(F.replace, a, what, by, fails=[("empty_search", lambda x, w, b: w == "")])
 
 
+#: Fixed value: the longest text that padding makes.
+PADDED = 1_000_000
+_PADDING = [("empty_pad", lambda x, k, p: p == ""), ("invalid_length", lambda x, k, p: k > PADDED)]
+
+
 def lpad(a, n, pad=" ") -> Cell:
-    return strict(lambda x, k, p: F.when(F.length(x) >= k, x).otherwise(F.lpad(x, k.cast("int"), p)), a, n, pad, fails=[("empty_pad", lambda x, k, p: p == "")])
+    return strict(lambda x, k, p: F.when(F.length(x) >= k, x).otherwise(F.lpad(x, _int(F.when(k <= PADDED, k)), p)), a, n, pad, fails=_PADDING)
 
 
 def rpad(a, n, pad=" ") -> Cell:
-    return strict(lambda x, k, p: F.when(F.length(x) >= k, x).otherwise(F.rpad(x, k.cast("int"), p)), a, n, pad, fails=[("empty_pad", lambda x, k, p: p == "")])
+    return strict(lambda x, k, p: F.when(F.length(x) >= k, x).otherwise(F.rpad(x, _int(F.when(k <= PADDED, k)), p)), a, n, pad, fails=_PADDING)
 
 
 def _quoted(separator: str) -> str:
@@ -307,7 +328,7 @@ def split(a, separator: str) -> Cell:
 
 def split_part(a, separator: str, n) -> Cell:
     """The n-th part; null where there are fewer."""
-    return strict(lambda x, k: F.get(F.split(x, _quoted(separator)), k.cast("int") - 1), a, n, fails=[("invalid_position", lambda x, k: k < 1)])
+    return strict(lambda x, k: F.get(F.split(x, _quoted(separator)), _int(k) - 1), a, n, fails=[("invalid_position", lambda x, k: k < 1)])
 
 
 def concat(*args) -> Cell:
@@ -388,9 +409,9 @@ def sqrt(a) -> Cell:
 
 
 def round_(a, digits: int = 0) -> Cell:
-    """Ties go up."""
+    """Ties go up. A number too large to have a digit there stays as it is."""
     scale = 10.0**digits
-    return _number(lambda x: F.floor(x * scale + 0.5).cast("double") / scale, a)
+    return _number(lambda x: F.when(F.abs(x * scale) < SAFE, F.floor(x * scale + 0.5).cast("double") / scale).otherwise(x), a)
 
 
 def power(a, b) -> Cell:
@@ -427,7 +448,7 @@ def array_contains(a, b) -> Cell:
 
 def array_get(a, n) -> Cell:
     """From 1; null beyond the end."""
-    return strict(lambda x, k: F.get(x, k.cast("int") - 1), a, n, fails=[("invalid_position", lambda x, k: k < 1)])
+    return strict(lambda x, k: F.get(x, _int(k) - 1), a, n, fails=[("invalid_position", lambda x, k: k < 1)])
 
 
 def array_unique(a) -> Cell:
@@ -463,6 +484,7 @@ def weekday(a) -> Cell:
 
 
 _MILLIS = {"week": 604_800_000, "day": 86_400_000, "hour": 3_600_000, "minute": 60_000, "second": 1_000, "millisecond": 1}
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
 
 def date_trunc(unit: str, a) -> Cell:
@@ -471,10 +493,10 @@ def date_trunc(unit: str, a) -> Cell:
 
 def date_add(unit: str, n, a) -> Cell:
     """Months and years keep to the last day of shorter months."""
+    far = [("datetime_range", lambda k, x: F.abs(k * (_MILLIS.get(unit) or _MONTHS[unit] * 31 * _MILLIS["day"]) + F.unix_millis(x)) > FURTHEST)]
     if unit in _MILLIS:
-        return strict(lambda k, x: F.timestamp_millis(F.unix_millis(x) + (k * _MILLIS[unit]).cast("long")), n, a)
-    months = {"month": 1, "quarter": 3, "year": 12}[unit]
-    return strict(lambda k, x: x + F.make_ym_interval(F.lit(0), (k * months).cast("int")), n, a)
+        return strict(lambda k, x: F.timestamp_millis(F.unix_millis(x) + F.when(~far[0][1](k, x), k * _MILLIS[unit]).cast("long")), n, a, fails=far)
+    return strict(lambda k, x: x + F.make_ym_interval(F.lit(0), F.when(~far[0][1](k, x), k * _MONTHS[unit]).cast("int")), n, a, fails=far)
 
 
 def date_diff(unit: str, a, b) -> Cell:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from sumac.errors import QueryError
 from sumac.functions.scalar import Cell
-from sumac.functions.stats import edges
+from sumac.functions.stats import edge, edges
 from sumac.operators.grouping import Key, key_column
-from sumac.operators.metrics import Metric, _same, population
+from sumac.operators.joins import same
+from sumac.operators.metrics import population
 from sumac.operators.percentiles import exact_percentiles
-from sumac.schema import FieldSchema
+from sumac.schema import Dataset, FieldSchema
 
 #: Fixed value: how many outliers of each end are listed once there are more than twice as many.
 LISTED = 10
@@ -33,9 +34,9 @@ class Box:
             raise QueryError("invalid_whiskers", f"{self.whiskers} {self.probabilities}")
 
 
-def _sampled(frame: DataFrame, schema: FieldSchema, keys: tuple[Key, ...], where: tuple[dict, ...], x: Cell, now: datetime | None) -> tuple[DataFrame, list[str]]:
+def _sampled(frame: DataFrame | Dataset, schema: FieldSchema, keys: tuple[Key, ...], where: tuple[dict, ...], x: Cell, now: datetime | None) -> tuple[DataFrame, list[str]]:
     """(keys, x, failed): the input of each row, null where it fails."""
-    rows = population(frame, schema, Metric({}, group_by=keys, where=where), now or datetime.now(UTC))
+    rows = population(frame, schema, where, now or datetime.now(UTC))
     names = [f"group{k}" for k in range(len(keys))]
     failed = F.lit(False) if x.error is None else x.error.isNotNull()
     return rows.select(*[key_column(schema, k).alias(n) for k, n in zip(keys, names, strict=True)], x.value.alias("x"), failed.alias("failed")), names
@@ -45,74 +46,70 @@ def _counts() -> list[Column]:
     return [F.count("*").alias("count"), F.count("x").alias("n"), F.count_if(F.col("x").isNull() & ~F.col("failed")).alias("null_count"), F.count_if("failed").alias("input_error_count")]
 
 
-def _percentiles(rows: DataFrame, names: list[str], p: list[float], large: bool, more: list[Column]) -> DataFrame:
-    """The counts, ``more`` and q, in one aggregation or, for large groups, with exact_percentiles()."""
-    if not large:
-        return rows.groupBy(*names).agg(*_counts(), *more, F.percentile("x", F.array(*[F.lit(float(v)) for v in p])).alias("q"))
-    base, q = rows.groupBy(*names).agg(*_counts(), *more), exact_percentiles(rows, names, p)
-    return _same(base, q, names, "left") if names else base.join(F.broadcast(q), how="left")  # one row each
+def _percentiles(rows: DataFrame, names: list[str], p: list[float], more: list[Column]) -> DataFrame:
+    """The counts, ``more`` and q."""
+    return same(rows.groupBy(*names).agg(*_counts(), *more), exact_percentiles(rows, names, p), names, "left")
 
 
-def box(frame: DataFrame, schema: FieldSchema, x: Cell, keys: tuple[Key, ...] = (), spec: Box = Box(), where: tuple[dict, ...] = (), now: datetime | None = None, large: bool = False) -> DataFrame:
+def box(frame: DataFrame | Dataset, schema: FieldSchema, x: Cell, keys: tuple[Key, ...] = (), spec: Box = Box(), where: tuple[dict, ...] = (), now: datetime | None = None) -> DataFrame:
     """(keys, count, n, null_count, input_error_count, min, q1, median, q3, max, mean, low, high, outlier_count, outliers).
 
-    ``large``: groups may hold more distinct values than fit a task; they are then read twice (see exact_percentiles).
+    The outliers are listed whole up to 2 * LISTED of them, beyond that LISTED of each end.
     """
-    return box_of(*_sampled(frame, schema, keys, where, x, now), spec, large)
+    return box_of(*_sampled(frame, schema, keys, where, x, now), spec)
 
 
-def box_of(rows: DataFrame, names: list[str], spec: Box, large: bool = False) -> DataFrame:
+def box_of(rows: DataFrame, names: list[str], spec: Box) -> DataFrame:
     """box() of rows (names, x, failed) that are there already."""
-    p = [0.25, 0.5, 0.75, *spec.probabilities]
-    base = _percentiles(rows, names, p, large, [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")])
-    base = base.select(*names, "count", "n", "null_count", "input_error_count", "min", "max", F.least("max", F.greatest("min", "mean")).alias("mean"), *[F.col("q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3", "p_low", "p_high"))])
-    if spec.whiskers != "minmax":
-        base = base.persist()  # a few numbers of each group, which the fences and the outliers' ends all need
-    stats = ["min", "q1", "median", "q3", "max", "mean"]
-    first = [*names, "count", "n", "null_count", "input_error_count", *stats]
+    p = [0.25, 0.5, 0.75, *(spec.probabilities if spec.whiskers == "percentile" else [])]
+    base = _percentiles(rows, names, p, [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")])
+    quartiles = [F.col("q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3", "p_low", "p_high")[: len(p)])]
+    base = base.select(*names, "count", "n", "null_count", "input_error_count", "min", "max", F.least("max", F.greatest("min", "mean")).alias("mean"), *quartiles)
+    first = [*names, "count", "n", "null_count", "input_error_count", "min", "q1", "median", "q3", "max", "mean"]
+    none = F.when(F.col("n") > 0, F.array().cast("array<double>"))
     if spec.whiskers == "minmax":
-        none = F.when(F.col("n") > 0, F.array().cast("array<double>"))
         return base.select(*first, F.col("min").alias("low"), F.col("max").alias("high"), F.lit(0).cast("long").alias("outlier_count"), none.alias("outliers"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    fences = base.select(*names, (F.col("q1") - reach if spec.whiskers == "tukey" else F.col("p_low")).alias("from"), (F.col("q3") + reach if spec.whiskers == "tukey" else F.col("p_high")).alias("to"))
-    held = _same(rows.where("x is not null").select(*names, "x"), fences, names, "inner") if names else rows.where("x is not null").select("x").crossJoin(F.broadcast(fences))
-    inside = F.col("x").between(F.col("from"), F.col("to"))
-    ends = held.groupBy(*names).agg(F.min(F.when(inside, F.col("x"))).alias("in_low"), F.max(F.when(inside, F.col("x"))).alias("in_high"), F.count_if(~inside).alias("outlier_count"))
-    out = _same(base, ends, names, "left") if names else base.crossJoin(F.broadcast(ends))
+    fence = (F.col("q1") - reach, F.col("q3") + reach) if spec.whiskers == "tukey" else (F.col("p_low"), F.col("p_high"))
+    held = same(rows.where("x is not null").select(*names, "x"), base.select(*names, fence[0].alias("from"), fence[1].alias("to")), names, "inner")
+    beyond = F.when(~F.col("x").between(F.col("from"), F.col("to")), F.col("x"))
+    # the values inside as one row, each one outside with how often it occurs: counts, ends and lists all come from these
+    values = held.select(*names, "x", beyond.alias("beyond")).groupBy(*names, "beyond").agg(F.count("*").alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
+    inside = F.col("beyond").isNull()
+    ends = values.groupBy(*names).agg(F.min(F.when(inside, F.col("least"))).alias("in_low"), F.max(F.when(inside, F.col("most"))).alias("in_high"), F.coalesce(F.sum(F.when(~inside, F.col("c"))), F.lit(0)).alias("outlier_count"))
+    out = same(base, ends, names, "left").withColumn("outlier_count", F.coalesce("outlier_count", F.lit(0)))
     if spec.whiskers == "percentile":
-        none = F.when(F.col("n") > 0, F.array().cast("array<double>"))
-        return out.select(*first, F.col("p_low").alias("low"), F.col("p_high").alias("high"), F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"), none.alias("outliers"))
-    # the outermost outliers of each end, found before they are gathered
-    beyond = held.where(~inside).select(*names, "x")
+        return out.select(*first, F.col("p_low").alias("low"), F.col("p_high").alias("high"), "outlier_count", none.alias("outliers"))
     by = lambda o: F.row_number().over(Window.partitionBy(*(names or [F.lit(0)])).orderBy(o))
-    least = beyond.withColumn("r", by(F.asc("x"))).where(F.col("r") <= 2 * LISTED).groupBy(*names).agg(F.sort_array(F.collect_list("x")).alias("least"))
-    most = beyond.withColumn("r", by(F.desc("x"))).where(F.col("r") <= LISTED).groupBy(*names).agg(F.sort_array(F.collect_list("x")).alias("most"))
-    for part in (least, most):
-        out = _same(out, part, names, "left") if names else out.join(F.broadcast(part), how="left")
-    listed = F.when(F.col("outlier_count") <= 2 * LISTED, F.col("least")).otherwise(F.concat(F.slice("least", 1, LISTED), F.col("most")))
-    return out.select(*first, F.col("in_low").alias("low"), F.col("in_high").alias("high"), F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"), F.when(F.col("n") > 0, F.coalesce(listed, F.array().cast("array<double>"))).alias("outliers"))
+    again = F.sort_array(F.flatten(F.collect_list(F.array_repeat("beyond", F.least(F.col("c"), F.lit(2 * LISTED)).cast("int")))))
+    for n, order in (("least", F.asc("beyond")), ("most", F.desc("beyond"))):
+        ranked = values.where(~inside).withColumn("r", by(order)).where(F.col("r") <= 2 * LISTED)  # found before they are gathered
+        out = same(out, ranked.groupBy(*names).agg(again.alias(n)), names, "left")
+    listed = F.when(F.col("outlier_count") <= 2 * LISTED, F.col("least")).otherwise(F.concat(F.slice("least", 1, LISTED), F.slice("most", -LISTED, LISTED)))
+    return out.select(*first, F.col("in_low").alias("low"), F.col("in_high").alias("high"), "outlier_count", F.when(F.col("n") > 0, F.coalesce(listed, F.array().cast("array<double>"))).alias("outliers"))
 
 
-def histogram(frame: DataFrame, schema: FieldSchema, x: Cell, keys: tuple[Key, ...] = (), bins: int = 10, where: tuple[dict, ...] = (), now: datetime | None = None) -> DataFrame:
+def histogram(frame: DataFrame | Dataset, schema: FieldSchema, x: Cell, keys: tuple[Key, ...] = (), bins: int = 10, where: tuple[dict, ...] = (), now: datetime | None = None) -> DataFrame:
     """(keys, count, n, null_count, input_error_count, edges, counts): the edges span all rows; a bin holds its lower edge, the
-    last one both."""
+    last one both. Edges and counts are null where the range is finer than the numbers' precision."""
     if len(keys) > 1:
         raise QueryError("too_many_keys", "a histogram takes one")
     rows, names = _sampled(frame, schema, keys, where, x, now)
-    low, high = rows.agg(F.min("x"), F.max("x")).collect()[0]  # one row
-    cuts = edges(low, high, bins)
-    n = max(0, len(cuts) - 1)
-    at = F.least(F.lit(n), F.greatest(F.lit(1), sum(((F.col("x") >= c).cast("int") for c in cuts[:-1]), F.lit(0))))
-    counts = F.array(*[F.count_if(F.col("bin") == k + 1) for k in range(n)]) if n else F.array().cast("array<bigint>")
-    got = rows.withColumn("bin", F.when(F.col("x").isNotNull(), at)).groupBy(*names).agg(*_counts(), counts.alias("counts"))
-    return got.select(*names, "count", "n", "null_count", "input_error_count", F.array(*[F.lit(c) for c in cuts]).cast("array<double>").alias("edges"), "counts")
-
-
-def quantiles(frame: DataFrame, schema: FieldSchema, x: Cell, probabilities: list[float], keys: tuple[Key, ...] = (), where: tuple[dict, ...] = (), now: datetime | None = None, large: bool = False) -> DataFrame:
-    """(keys, count, n, null_count, input_error_count, values, median): the exact percentiles, interpolated between ranks;
-    ``large`` as of box()."""
+    extent = rows.agg(F.min("x").alias("from"), F.max("x").alias("to"))  # one row
+    low, high, v = F.col("from"), F.col("to"), F.col("x")
+    # where x lies by its share of the range, set right by the edges themselves
+    about = F.when(high > low, F.least(F.lit(bins - 1.0), F.floor((v - low) / (high - low) * bins).cast("double"))).otherwise(0.0)
+    right = about + ((about < bins - 1) & (v >= edge(low, high, bins, about + 1))).cast("int") - (v < edge(low, high, bins, about)).cast("int")
+    bin_ = F.when(v.isNotNull(), F.when(high > low, right).otherwise(0).cast("int"))
+    got = rows.join(F.broadcast(extent)).withColumn("bin", bin_).groupBy(*names).agg(*_counts(), F.max("from").alias("from"), F.max("to").alias("to"), *[F.count_if(F.col("bin") == k).alias(f"c{k}") for k in range(bins)])
+    counts, cuts = F.array(*[F.col(f"c{k}") for k in range(bins)]), edges(low, high, bins)
+    return got.withColumn("edges", cuts).select(*names, "count", "n", "null_count", "input_error_count", "edges", F.slice(counts, F.lit(1), F.greatest(F.lit(0), F.size("edges") - 1)).alias("counts"))
+
+
+def quantiles(frame: DataFrame | Dataset, schema: FieldSchema, x: Cell, probabilities: list[float], keys: tuple[Key, ...] = (), where: tuple[dict, ...] = (), now: datetime | None = None) -> DataFrame:
+    """(keys, count, n, null_count, input_error_count, values, median): the exact percentiles, interpolated between ranks."""
     if not 1 <= len(probabilities) <= 101 or any(b <= a for a, b in zip(probabilities, probabilities[1:])) or not 0 <= probabilities[0] <= probabilities[-1] <= 1:
         raise QueryError("invalid_probability", "1 to 101 rising probabilities")
     rows, names = _sampled(frame, schema, keys, where, x, now)
-    got = _percentiles(rows, names, [*probabilities, 0.5], large, [])
+    got = _percentiles(rows, names, [*probabilities, 0.5], [])
     return got.select(*names, "count", "n", "null_count", "input_error_count", F.slice("q", 1, len(probabilities)).alias("values"), F.element_at("q", -1).alias("median"))

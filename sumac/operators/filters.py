@@ -29,11 +29,11 @@ COMPARED = {
     ">=": lambda c, v: c >= v,
     "<": lambda c, v: c < v,
     "<=": lambda c, v: c <= v,
-    "contains": lambda c, v: c.contains(v),
-    "starts_with": lambda c, v: c.startswith(v),
-    "ends_with": lambda c, v: c.endswith(v),
-    "matches_regex": lambda c, v: c.rlike(v),
-    "not_matches_regex": lambda c, v: ~c.rlike(v),
+    "contains": F.contains,
+    "starts_with": F.startswith,
+    "ends_with": F.endswith,
+    "matches_regex": F.rlike,
+    "not_matches_regex": lambda c, v: ~F.rlike(c, v),
     "length_gt": lambda c, v: F.length(c) > v,
     "length_lt": lambda c, v: F.length(c) < v,
     "length_eq": lambda c, v: F.length(c) == v,

@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from sumac.errors import QueryError
 from sumac.functions import calendar
 from sumac.functions.aggregates import Part
+from sumac.functions.operands import at_millis, millis
 from sumac.functions.scalar import Cell, cell
 from sumac.functions.stats import garwood, wilson
-from sumac.operators.filters import condition
+from sumac.operators.filters import condition, of_dataset
 from sumac.operators.grouping import Calendar, Key, key_column
-from sumac.schema import FieldSchema
+from sumac.operators.joins import same
+from sumac.operators.percentiles import exact_percentiles
+from sumac.schema import Dataset, FieldSchema
 
 Formula = Callable[[dict[str, Cell]], Cell]
 
@@ -113,8 +116,11 @@ class Result:
             frame.unpersist()
 
 
-def population(frame: DataFrame, schema: FieldSchema, metric: Metric, now: datetime) -> DataFrame:
-    return frame.where(condition(schema, list(metric.where), now)) if metric.where else frame
+def population(rows: DataFrame | Dataset, schema: FieldSchema, terms: tuple[dict, ...] | list[dict], now: datetime) -> DataFrame:
+    """The rows that the terms admit; a dataset's relation is asked first, so that its scan can skip by them."""
+    if isinstance(rows, Dataset):
+        return of_dataset(rows, list(terms), now)
+    return rows.where(condition(schema, list(terms), now)) if terms else rows
 
 
 def _minimum(schema: FieldSchema, metric: Metric) -> tuple[Column, float]:
@@ -132,26 +138,26 @@ def _minimum(schema: FieldSchema, metric: Metric) -> tuple[Column, float]:
     return F.coalesce(F.sum(c), F.lit(0.0)), least
 
 
-def grouped(frame: DataFrame, schema: FieldSchema, metric: Metric, now: datetime) -> DataFrame:
-    """The groups with their parts: one aggregation."""
+def grouped(frame: DataFrame | Dataset, schema: FieldSchema, metric: Metric, now: datetime) -> DataFrame:
+    """The groups with their parts: one aggregation, and for medians and percentiles two more of each input that they have."""
+    ranked = {n: p for n, p in metric.parts.items() if p.op in ("median", "percentile")}
     aggs = [F.count("*").alias("count"), *metric.extra]
     for name, part in metric.parts.items():
-        aggs += part.columns(f"p_{name}")
+        aggs += part.columns(f"p_{name}")[name in ranked :]
     if metric.min_count is not None:
         aggs.append(_minimum(schema, metric)[0].alias("measure"))
-    rows = population(frame, schema, metric, now)
-    if not metric.group_by:
-        return rows.agg(*aggs)
-    keys = metric.keys()
-    return rows.select("*", *[key_column(schema, k).alias(n) for k, n in zip(metric.group_by, keys, strict=True)]).groupBy(*keys).agg(*aggs)
-
-
-def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """A join on keys of which a null equals a null; b's keys are dropped."""
-    right = b.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = reduce(lambda x, y: x & y, [a[k].eqNullSafe(right[f"__{k}"]) for k in keys]) if keys else F.lit(True)
-    joined = a.join(right, on, how)
-    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"__{k}" for k in keys])
+    rows, keys = population(frame, schema, metric.where, now), metric.keys()
+    if keys:
+        rows = rows.select("*", *[key_column(schema, k).alias(n) for k, n in zip(metric.group_by, keys, strict=True)])
+    got = rows.groupBy(*keys).agg(*aggs)
+    inputs: dict[str, list[str]] = {}
+    for name, part in ranked.items():
+        inputs.setdefault(str(part.input.value), []).append(name)
+    for names in inputs.values():
+        values = rows.select(*keys, ranked[names[0]].input.value.alias("x"))
+        q = exact_percentiles(values, keys, [ranked[n].probability for n in names])
+        got = same(got, q.select(*keys, *[F.col("q")[k].alias(f"p_{n}") for k, n in enumerate(names)]), keys, "left")
+    return got
 
 
 def completed(groups: DataFrame, metric: Metric) -> DataFrame:
@@ -169,7 +175,7 @@ def completed(groups: DataFrame, metric: Metric) -> DataFrame:
         slots = spark.createDataFrame([(t,) for t in found], "ms long").select(F.timestamp_millis("ms").alias("group0"))
     tails = groups.select(*keys[1:]).distinct() if keys[1:] else None
     dense = slots if tails is None else tails.crossJoin(F.broadcast(slots))  # at most 10,000 slots, by calendar.starts
-    missing = _same(dense, groups.select(*keys), keys, "left_anti").withColumn("count", F.lit(0).cast("long"))
+    missing = same(dense, groups.select(*keys), keys, "left_anti").withColumn("count", F.lit(0).cast("long"))
     zero = {f"p_{n}": F.lit(0.0) for n, p in metric.parts.items() if p.op in ("count", "count_distinct", "sum")}
     return groups.withColumn("filled", F.lit(False)).unionByName(missing.withColumns({**zero, "filled": F.lit(True)}), allowMissingColumns=True)
 
@@ -246,7 +252,7 @@ def _shared(groups: DataFrame, metric: Metric) -> DataFrame:
     if len(metric.group_by) < 1 + len(by):
         raise QueryError("invalid_share", "too few groupings")
     whole = (groups.groupBy(*by) if by else groups.groupBy()).agg(F.sum("value").alias("whole"), F.min("error").alias("whole_error"))
-    joined = _same(groups, whole, by, "left") if by else groups.crossJoin(F.broadcast(whole))  # one row
+    joined = same(groups, whole, by, "left") if by else groups.crossJoin(F.broadcast(whole))  # one row
     error = F.coalesce("error", "whole_error")
     return joined.withColumns({"error": error, "value": F.when(error.isNull(), F.try_divide("value", "whole"))}).drop("whole", "whole_error")
 
@@ -262,8 +268,8 @@ def ordering(metric: Metric) -> list[Column]:
     return out + [F.col(k).asc_nulls_last() for k in metric.keys()]
 
 
-def evaluate(frame: DataFrame, schema: FieldSchema, metric: Metric, now: datetime | None = None) -> Result:
-    """The metric over the rows of ``frame`` (a dataset's rows, a page of them, or groups with a schema of their own)."""
+def evaluate(frame: DataFrame | Dataset, schema: FieldSchema, metric: Metric, now: datetime | None = None) -> Result:
+    """The metric over the rows of ``frame`` (a dataset, a page of its rows, or groups with a schema of their own)."""
     now = now or datetime.now(UTC)
     groups = grouped(frame, schema, metric, now)
     return _finished(groups, schema, metric)
@@ -305,7 +311,7 @@ def remainder(groups: DataFrame, top: DataFrame, metric: Metric) -> DataFrame:
     or one of their parts failed."""
     if not all(p.additive for p in metric.parts.values()) or metric.y is not None or metric.trailing or metric.share:
         raise QueryError("no_remainder", "only SUM and COUNT parts pool")
-    rest = _same(groups, top.select(*metric.keys()), metric.keys(), "left_anti")
+    rest = same(groups, top.select(*metric.keys()), metric.keys(), "left_anti")
     failed = [F.count(f"p_{n}__error") for n, p in metric.parts.items() if p.input is not None and p.input.error is not None]
     pooled = rest.agg(F.count("*").alias("n"), F.sum("count").alias("count"), reduce(lambda a, b: a + b, failed, F.lit(0)).alias("failed"), *[c for n, p in metric.parts.items() for c in p.merged(f"p_{n}")])
     if metric.sole is not None and metric.sole.op == "sum":
@@ -314,7 +320,7 @@ def remainder(groups: DataFrame, top: DataFrame, metric: Metric) -> DataFrame:
     return made.select("value", "error", "count", *[c for c in ("lower", "upper", "interval_error") if c in made.columns])
 
 
-def dashboard(frame: DataFrame, schema: FieldSchema, metrics: dict[str, Metric], now: datetime | None = None) -> dict[str, Result]:
+def dashboard(frame: DataFrame | Dataset, schema: FieldSchema, metrics: dict[str, Metric], now: datetime | None = None) -> dict[str, Result]:
     """Several metrics over the same rows. Those with the same filter, keys and minimum share one aggregation; for the others
     the fields that any of them reads are what Spark scans."""
     now = now or datetime.now(UTC)
@@ -337,9 +343,27 @@ def dashboard(frame: DataFrame, schema: FieldSchema, metrics: dict[str, Metric],
     return out
 
 
-def bucket_rows(frame: DataFrame, schema: FieldSchema, metric: Metric, keys: list, now: datetime) -> DataFrame:
-    """Drill-down: the rows that make up the group with these keys."""
-    rows = population(frame, schema, metric, now)
+def bucket_rows(frame: DataFrame | Dataset, schema: FieldSchema, metric: Metric, keys: list, now: datetime, within: tuple[str, float, float, bool] | None = None) -> DataFrame:
+    """Drill-down: the rows that make up the group with these keys; of a trailing metric those of all the buckets that its value merges.
+
+    A calendar bucket becomes a range of its field, which a dataset's scan can skip by. ``within``: of a histogram's bin
+    also (numeric field, lower edge, upper edge, whether the upper edge belongs to it).
+    """
+    terms, other = list(metric.where), []
     for k, value in zip(metric.group_by, keys, strict=True):
-        rows = rows.where(key_column(schema, k).eqNullSafe(F.lit(value)))
-    return rows
+        if isinstance(k, Calendar) and k.interval not in calendar.CYCLES and value is not None:
+            start = calendar.start_of(millis(value), k.interval, k.zone, k.every)
+            after = calendar.next_of(start, k.interval, k.zone, k.every)
+            for _ in range((metric.trailing.periods or 1) - 1 if metric.trailing else 0):
+                start = calendar.start_of(start - 1, k.interval, k.zone, k.every)
+            if metric.trailing is None or metric.trailing.periods is not None:
+                terms.append({"field": k.field, "op": ">=", "value": at_millis(start).isoformat()})
+            terms.append({"field": k.field, "op": "<", "value": at_millis(after).isoformat()})
+            continue
+        if isinstance(k, str) and isinstance(value, str) and value != "" and "=" in schema.field(k).allowed:
+            terms.append({"field": k, "op": "=", "value": value})
+        other.append(key_column(schema, k).eqNullSafe(F.lit(value)))
+    if within is not None:
+        name, low, high, closed = within
+        terms += [{"field": name, "op": ">=", "value": repr(float(low))}, {"field": name, "op": "<=" if closed else "<", "value": repr(float(high))}]
+    return reduce(DataFrame.where, other, population(frame, schema, terms, now))

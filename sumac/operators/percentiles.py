@@ -1,44 +1,44 @@
-"""Exact percentiles of groups too large for one task.
+"""Exact percentiles of groups of any size.
 
 Spark's exact percentile keeps a group's distinct values in one aggregation buffer. Here a sketch of fixed size first bounds
-each percentile from below and above; a second pass counts what lies under the bounds and sorts only the values between
-them, a small share of the group.
+each percentile from below and above. One more aggregation then counts what lies outside these bounds, and each value
+between them, a small share of the group; ranks are looked up in the running counts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sumac.operators.metrics import _same
+from sumac.operators.joins import same
 
-#: The sketch's accuracy (its ranks are off by rows / ACCURACY at most), and rows up to which a group is small.
-ACCURACY, SMALL = 10_000, 40_000
+#: The sketch's accuracy (its ranks are off by rows / ACCURACY at most), and rows up to which all values of a group are counted.
+ACCURACY, SMALL = 10_000, 10_000
 
 
 def exact_percentiles(rows: DataFrame, names: list[str], probabilities: list[float]) -> DataFrame:
     """(names, q): the percentiles of x, interpolated between ranks, of each group that has one. rows: (names, x)."""
-    there = rows.where("x is not null").select(*names, "x")
+    there = rows.where("x is not null").select(*names, F.col("x").cast("double").alias("x"))
     reach = 4 / ACCURACY
-    ends = [F.lit(float(p)) for q in probabilities for p in (max(0.0, q - reach), min(1.0, q + reach))]
+    wanted = sorted(set(probabilities))
+    ends = [F.lit(float(p)) for q in wanted for p in (max(0.0, q - reach), min(1.0, q + reach))]
     sketch = there.groupBy(*names).agg(F.count("*").alias("n"), F.percentile_approx("x", F.array(*ends), F.lit(ACCURACY)).alias("ends"))
-    met = _same(there, sketch, names, "inner") if names else there.crossJoin(F.broadcast(sketch))  # one row
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    small = met.where(F.col("n") <= SMALL).groupBy(*names).agg(F.count("*").alias("n"), F.percentile("x", wanted).alias("q"))
-    large = met.where(F.col("n") > SMALL)
-    k = range(len(probabilities))
-    under = large.groupBy(*names).agg(F.array(*[F.count_if(F.col("x") < F.col("ends")[2 * i]) for i in k]).alias("under"), F.max("n").alias("n"))
-    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.col("ends")[2 * i].alias("low"), F.col("ends")[2 * i + 1].alias("high")) for i in k])
-    between = large.select(*names, "x", F.explode(F.filter(spans, lambda s: (F.col("x") >= s["low"]) & (F.col("x") <= s["high"]))).alias("s"))
-    counted = between.groupBy(*names, F.col("s.i").alias("i"), "x").agg(F.count("*").alias("c"))
-    above = F.sum("c").over(Window.partitionBy(*names, "i").orderBy("x"))
-    placed = counted.withColumn("above", above)
-    placed = _same(placed, under, names, "inner") if names else placed.crossJoin(F.broadcast(under))
-    p = F.get(wanted, F.col("i"))
-    rank = (F.col("n") - 1) * p
-    first, last = F.col("under")[F.col("i")] + F.col("above") - F.col("c"), F.col("under")[F.col("i")] + F.col("above")
-    at = lambda r: F.max(F.when((r >= first) & (r < last), F.col("x")))
-    each = placed.groupBy(*names, "i").agg(at(F.floor(rank)).alias("a"), at(F.ceil(rank)).alias("b"), F.max(rank - F.floor(rank)).alias("f"))
-    each = each.withColumn("v", (1 - F.col("f")) * F.col("a") + F.col("f") * F.col("b"))
-    big = each.groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
-    return big.unionByName(small.where("n > 0").select(*names, "q"))
+    met = same(there, sketch.where("n > 0"), names, "inner")
+    x, lows, highs = F.col("x"), [F.col("ends")[2 * k] for k in range(len(wanted))], [F.col("ends")[2 * k + 1] for k in range(len(wanted))]
+    # bounds at or under x, and bounds that x is beyond: both rise with x, so that their sum orders the stretches between bounds
+    stretch = reduce(lambda a, b: a + b, [c.cast("int") for low, high in zip(lows, highs, strict=True) for c in (x >= low, x > high)])
+    between = reduce(lambda a, b: a | b, [x.between(low, high) for low, high in zip(lows, highs, strict=True)])
+    small = F.col("n") <= SMALL
+    parts = met.select(*names, "n", F.when(small, 0).otherwise(stretch).alias("stretch"), F.when(small | between, x).alias("at"))
+    counted = parts.groupBy(*names, "n", "stretch", "at").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*names).orderBy("stretch", "at"))
+    placed = counted.withColumn("upto", upto).where("at is not null")
+    ranks = {p: (F.col("n") - 1) * float(p) for p in wanted}
+    holds = lambda rank: F.max(F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")), F.col("at")))
+    found = {f"{end}{k}": holds(f(ranks[p])) for k, p in enumerate(wanted) for end, f in (("a", F.floor), ("b", F.ceil))}
+    got = placed.groupBy(*names).agg(F.max("n").alias("n"), *[c.alias(n) for n, c in found.items()])
+    share = {p: ranks[p] - F.floor(ranks[p]) for p in wanted}
+    value = {p: (1 - share[p]) * F.col(f"a{k}") + share[p] * F.col(f"b{k}") for k, p in enumerate(wanted)}
+    return got.where("n > 0").select(*names, F.array(*[value[p] for p in probabilities]).alias("q"))

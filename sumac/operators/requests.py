@@ -3,18 +3,19 @@ body would have. Formulas are the host's functions of parts, by name; a request
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sumac.errors import QueryError
 from sumac.functions.aggregates import Part
 from sumac.functions.calendar import CYCLES
 from sumac.functions.scalar import col
-from sumac.operators import distributions, filters, grouping, rows
+from sumac.operators import distributions, filters, grouping, rows, series
 from sumac.operators.grouping import IDENTITY, Calendar, Summary, reduction
-from sumac.operators.metrics import Fill, Interval, Metric, Result, Sort, evaluate
+from sumac.operators.metrics import Fill, Interval, Metric, Result, Sort, Trailing, evaluate, population
 from sumac.operators.rows import Order
 from sumac.schema import Dataset, Field, FieldSchema
 
@@ -31,6 +32,8 @@ class Answer:
     total: DataFrame | None = None
     metrics: dict[str, Result | DataFrame | QueryError] = field(default_factory=dict)
     distinct: DataFrame | None = None
+    has_more: DataFrame | None = None
+    has_null: DataFrame | None = None
 
 
 def run(data: Dataset, request: dict, formulas: dict[str, tuple[dict[str, Part], object]] | None = None) -> Answer:
@@ -41,7 +44,8 @@ def run(data: Dataset, request: dict, formulas: dict[str, tuple[dict[str, Part],
     source, formulas = request.get("source", {}), formulas or {}
     frame, schema = filters.of_dataset(data, source.get("where", []), now), data.schema
     if d := request.get("distinct"):
-        return Answer(distinct=rows.distinct_values(frame, schema, d["field"], d.get("search", ""), d.get("limit", 50)))
+        terms = (frame, schema, d["field"], d.get("search", ""), d.get("limit", 50))
+        return Answer(distinct=rows.distinct_values(*terms), has_more=rows.has_more(*terms), has_null=rows.has_null(*terms[:3]))
     view = source
     if g := request.get("grouping"):
         frame, schema = _grouped(frame, schema, g, formulas)
@@ -119,13 +123,15 @@ def _metric(frame: DataFrame, schema: FieldSchema, spec: dict, formulas: dict, t
         if dates.get("includeEmpty"):
             fill = _fill(schema, dates, [*terms, *spec.get("where", [])], now)
     where = tuple(spec.get("where", []))
-    if d := spec.get("distribution"):
-        x = col(schema.field(d["input"]).name)
-        if d["kind"] == "box":
-            return distributions.box(frame, schema, x, tuple(keys), distributions.Box(d.get("whiskers", "minmax"), tuple(d.get("whiskerProbabilities", (0.1, 0.9)))), where, now)
-        if d["kind"] == "histogram":
-            return distributions.histogram(frame, schema, x, tuple(keys), d.get("bins", 10), where, now)
-        return distributions.quantiles(frame, schema, x, d["probabilities"], tuple(keys), where, now)
+    occurring = bool(dates and dates.get("occurrence"))
+    whole = occurring or bool(dates and dates.get("partialIntervals") == "exclude")
+    d = spec.get("distribution")
+    if d and not (occurring and d["kind"] == "box"):
+        if whole:
+            raise QueryError("invalid_range", "whole intervals of a distribution")
+        return _distribution(frame, schema, d, tuple(keys), where, now)
+    if occurring and spec.get("window"):
+        raise QueryError("invalid_occurrence", "occurrences have no window")
     y = None
     if "expression" in spec:
         parts, value = _formula(formulas, spec["expression"])
@@ -141,5 +147,39 @@ def _metric(frame: DataFrame, schema: FieldSchema, spec: dict, formulas: dict, t
     sort = tuple(Sort(s["key"], s.get("dir") == "desc", s.get("nulls") == "first") for s in spec.get("sort", []))
     i = spec.get("interval")
     interval = Interval(i["kind"], i["numerator"], i["denominator"], i.get("level", 0.95), i.get("scale", 1.0)) if i else None
-    m = Metric(parts, value, y, tuple(keys), where, least, sort, spec.get("groupLimit"), bool(spec.get("other")), fill, interval)
-    return evaluate(frame, schema, m, now)
+    w = spec.get("window")
+    trailing = Trailing(None if w["periods"] == "all" else w["periods"], w.get("reduce", "total"), w.get("partial") == "include") if w else None
+    m = Metric(parts, value, y, tuple(keys), where, least, sort, spec.get("groupLimit"), bool(spec.get("other")), fill, interval, trailing, spec.get("share"))
+    if fill is not None and fill.start is not None and dates.get("range") == "custom":
+        _covered(frame, schema, m, now)
+    if not whole:
+        return evaluate(frame, schema, m, now)
+    ends = filters.date_bounds(schema, [*terms, *where], dates["field"], now)
+    if None in ends:
+        raise QueryError("unbounded_range", dates["field"])
+    if occurring:
+        every = series.bounded(replace(m, group_by=(series.unit_of(keys[0]), *keys[1:])), *ends, now)
+        m = replace(every, group_by=m.group_by, fill=every.fill if dates["occurrence"].get("includeEmpty") else None)
+        if d:
+            return series.occurrence_box(frame, schema, m, distributions.Box(d.get("whiskers", "minmax"), tuple(d.get("whiskerProbabilities", (0.1, 0.9)))), now)
+        return series.occurrences(frame, schema, m, now=now)
+    made = series.bounded(m, *ends, now)
+    return evaluate(frame, schema, made if fill is not None else replace(made, fill=None), now)
+
+
+def _distribution(frame: DataFrame, schema: FieldSchema, d: dict, keys: tuple, where: tuple[dict, ...], now: datetime) -> DataFrame:
+    x = col(schema.field(d["input"]).name)
+    if d["kind"] == "box":
+        return distributions.box(frame, schema, x, keys, distributions.Box(d.get("whiskers", "minmax"), tuple(d.get("whiskerProbabilities", (0.1, 0.9)))), where, now)
+    if d["kind"] == "histogram":
+        return distributions.histogram(frame, schema, x, keys, d.get("bins", 10), where, now)
+    return distributions.quantiles(frame, schema, x, d["probabilities"], keys, where, now)
+
+
+def _covered(frame: DataFrame, schema: FieldSchema, m: Metric, now: datetime) -> None:
+    """A custom range must hold every observed bucket; this looks for one row outside."""
+    f = schema.field(m.group_by[0].field).name
+    at = F.col(f"`{f}`")
+    outside = population(frame, schema, m.where, now).where((at < F.lit(m.fill.start)) | (at >= F.lit(m.fill.end)))
+    if not outside.isEmpty():
+        raise QueryError("invalid_range", f"rows of {f} lie outside the custom range")

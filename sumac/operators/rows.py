@@ -103,6 +103,11 @@ def distinct_values(frame: DataFrame, schema: FieldSchema, field: str, search: s
     return counted.orderBy(F.desc("rows"), F.asc("value")).limit(limit)
 
 
+def has_more(frame: DataFrame, schema: FieldSchema, field: str, search: str = "", limit: int = 50) -> DataFrame:
+    """One row: whether distinct_values() under these terms leaves values out. No more than limit + 1 of them are gathered."""
+    return distinct_values(frame, schema, field, search, limit + 1).agg((F.count("*") > limit).alias("has_more"))
+
+
 def has_null(frame: DataFrame, schema: FieldSchema, field: str) -> DataFrame:
     """One row: whether any row has no value there, whatever is searched for."""
     f = schema.field(field)
@@ -111,8 +116,16 @@ def has_null(frame: DataFrame, schema: FieldSchema, field: str) -> DataFrame:
     return frame.agg(F.coalesce(F.bool_or(none), F.lit(False)).alias("has_null"))
 
 
-def preview(data: Dataset, inputs: list[str], computed: str) -> DataFrame:
-    """(inputs, value, error, rows): how often a computed field takes which value, the commonest first."""
+def preview(data: Dataset, inputs: list[str], computed: str, most: int | None = None) -> DataFrame:
+    """(inputs, value, error, rows): how often a computed field takes which value, the commonest first. ``most``: of no more rows than that."""
     names = [data.schema.field(i).name for i in inputs]
-    got = data.rows.groupBy(*[F.col(f"`{n}`") for n in names], F.col(f"`{computed}`").alias("value"), F.col(f"`{computed}__error`").alias("error"))
+    rows = data.rows if most is None else data.rows.limit(most)
+    got = rows.groupBy(*[F.col(f"`{n}`") for n in names], F.col(f"`{computed}`").alias("value"), F.col(f"`{computed}__error`").alias("error"))
     return got.agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), *[F.asc(F.col(f"`{n}`")) for n in names])
+
+
+def preview_facts(shown: DataFrame) -> DataFrame:
+    """One row of a preview: how many rows it counts, and for how many the value is null or an error."""
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("rows"))), F.lit(0))
+    failed = F.col("error").isNotNull()
+    return shown.agg(of(F.lit(True)).alias("processed"), of(~failed & F.col("value").isNull()).alias("nulls"), of(failed).alias("errors"))

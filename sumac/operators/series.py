@@ -3,31 +3,31 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import UTC, datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumac.errors import QueryError
 from sumac.functions import calendar
+from sumac.functions.operands import at_millis, millis
 from sumac.operators.distributions import Box, box_of
 from sumac.operators.grouping import Calendar
+from sumac.operators.joins import same
 from sumac.operators.metrics import Fill, Metric, Result, evaluate
+from sumac.operators.percentiles import exact_percentiles
 from sumac.schema import FieldSchema
 
-_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
-
 
 def whole_intervals(key: Calendar, start: datetime, end: datetime, now: datetime) -> tuple[datetime, datetime] | None:
     """From the first bucket that starts at ``start`` or later to the end of the last that ends by ``end`` and by now."""
-    ms = lambda d: int((d - _EPOCH).total_seconds() * 1000)
-    at = calendar.start_of(ms(start), key.interval, key.zone, key.every)
-    if at < ms(start):
+    at = calendar.start_of(millis(start), key.interval, key.zone, key.every)
+    if at < millis(start):
         at = calendar.next_of(at, key.interval, key.zone, key.every)
-    last, bound = at, min(ms(end), ms(now))
+    last, bound = at, min(millis(end), millis(now))
     while (after := calendar.next_of(last, key.interval, key.zone, key.every)) <= bound:
         last = after
-    return None if last == at else (_EPOCH + timedelta(milliseconds=at), _EPOCH + timedelta(milliseconds=last))
+    return None if last == at else (at_millis(at), at_millis(last))
 
 
 def bounded(metric: Metric, start: datetime, end: datetime, now: datetime) -> Metric:
@@ -40,13 +40,17 @@ def bounded(metric: Metric, start: datetime, end: datetime, now: datetime) -> Me
     return replace(metric, where=(*metric.where, *bounds), fill=Fill(*span))
 
 
+def unit_of(slot: Calendar) -> Calendar:
+    """The hour (of hourOfDay) or day (of dayOfWeek) that is one occurrence of a slot."""
+    if not isinstance(slot, Calendar) or slot.interval not in calendar.CYCLES:
+        raise QueryError("invalid_occurrence", "the first key must be a cycle")
+    return replace(slot, interval="hour" if slot.interval == "hourOfDay" else "day")
+
+
 def _each(frame: DataFrame, schema: FieldSchema, metric: Metric, now: datetime | None) -> DataFrame:
     """The metric of every hour (of hourOfDay) or day (of dayOfWeek) with a date, under its slot."""
     slot = metric.group_by[0]
-    if not isinstance(slot, Calendar) or slot.interval not in calendar.CYCLES:
-        raise QueryError("invalid_occurrence", "the first key must be a cycle")
-    unit = "hour" if slot.interval == "hourOfDay" else "day"
-    each: Result = evaluate(frame, schema, replace(metric, group_by=(replace(slot, interval=unit), *metric.group_by[1:]), sort=()), now)
+    each: Result = evaluate(frame, schema, replace(metric, group_by=(unit_of(slot), *metric.group_by[1:]), sort=()), now)
     return each.buckets.where("group0 is not null").withColumn("group0", calendar.bucket(F.col("group0"), slot.interval, slot.zone))
 
 
@@ -61,8 +65,8 @@ def occurrences(frame: DataFrame, schema: FieldSchema, metric: Metric, probabili
     """The metric of every hour (of hourOfDay) or day (of dayOfWeek), then for each slot: (group0 ..., occurrences, count, value: the
     mean of their values, and with probabilities their percentiles as ``values``). Rows without a date count for nothing."""
     keys, dated = metric.keys(), _each(frame, schema, metric, now)
-    aggs = [F.count("value").alias("occurrences"), F.sum("count").alias("count"), F.min("error").alias("error"), F.avg("value").alias("value")]
+    got = dated.groupBy(*keys).agg(F.count("value").alias("occurrences"), F.sum("count").alias("count"), F.min("error").alias("error"), F.avg("value").alias("value"))
     if probabilities:
-        aggs.append(F.percentile("value", F.array(*[F.lit(float(p)) for p in probabilities])).alias("values"))
-    got = dated.groupBy(*keys).agg(*aggs)
+        q = exact_percentiles(dated.select(*keys, F.col("value").alias("x")), keys, probabilities)
+        got = same(got, q.select(*keys, F.col("q").alias("values")), keys, "left")
     return got.withColumn("value", F.when(F.col("error").isNull(), F.col("value")))

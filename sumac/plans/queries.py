@@ -87,14 +87,14 @@ def filter_negated_contains(d):
     return _where(d, _p("kind", "contains", "UR", negated=True)).select("event_id")
 
 
-@_query("SELECT p_partkey::DOUBLE AS p_partkey FROM part WHERE regexp_matches(p_type, '^[A-M].* [A-Z]+EL$')", "part")
+@_query("SELECT p_partkey::DOUBLE AS p_partkey FROM part WHERE regexp_matches(p_name, '^[a-m].* [a-z]+[tg]$')", "part")
 def filter_regex(d):
-    return _where(d, _p("p_type", "matches_regex", "^[A-M].* [A-Z]+EL$")).select("p_partkey")
+    return _where(d, _p("p_name", "matches_regex", "^[a-m].* [a-z]+[tg]$")).select("p_partkey")
 
 
-@_query("SELECT p_partkey::DOUBLE AS p_partkey FROM part WHERE length(p_type) > 20 AND right(lower(p_type), 3) <> 'eel'", "part")
+@_query("SELECT p_partkey::DOUBLE AS p_partkey FROM part WHERE length(p_name) > 8 AND right(lower(p_name), 3) <> 'olt'", "part")
 def filter_length(d):
-    return _where(d, _p("p_type", "length_gt", "20"), _p("p_type", "ends_with", "EEL", negated=True)).select("p_partkey")
+    return _where(d, _p("p_name", "length_gt", "8"), _p("p_name", "ends_with", "OLT", negated=True)).select("p_partkey")
 
 
 @_query("SELECT event_id::DOUBLE AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00' AND ts < TIMESTAMP '2024-01-18'", "events")
@@ -107,10 +107,9 @@ def filter_is_null(d):
     return _where(d, _p("kind", "is_null")).select("event_id")
 
 
-@_query("SELECT p_partkey::DOUBLE AS p_partkey FROM part WHERE list_contains(list_transform(string_split(p_type, ' '), lambda x: lower(x)), lower(split_part((SELECT min(p_type) FROM part), ' ', 1)))", "part")
+@_query("SELECT p_partkey::DOUBLE AS p_partkey FROM part WHERE list_contains(list_transform(string_split(p_name, ' '), lambda x: lower(x)), 'red')", "part")
 def filter_includes(d):
-    first = d.source.agg(F.min("p_type")).collect()[0][0].split(" ")[0]
-    return _where(d, _p("words", "includes", first.lower())).select("p_partkey")
+    return _where(d, _p("words", "includes", "RED")).select("p_partkey")
 
 
 @_query("SELECT event_id::DOUBLE AS event_id FROM events WHERE event_type = 'error' OR event_type NOT IN ('view', 'click')", "events")
@@ -135,6 +134,21 @@ def predicate_relation_anti(d, customers):
     return filters.related(d.rows, "o_custkey", owing, "c_custkey", keep=False).select("o_orderkey")
 
 
+@_query("SELECT p_partkey::DOUBLE AS p_partkey FROM part WHERE NOT regexp_matches(p_name, 'ring|gear') AND length(p_name) IN (8, 9)", "part")
+def filter_not_regex(d):
+    return _where(d, _p("p_name", "not_matches_regex", "ring|gear"), _p("p_name", "length_lt", "10"), {"any": [_p("p_name", "length_eq", "8"), _p("p_name", "length_eq", "9")]}).select("p_partkey")
+
+
+@_query("SELECT p_partkey::DOUBLE AS p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND list_contains(string_split(p_name, ' '), 'bolt')", "part")
+def set_filter_all(d):
+    return _where(d, *filters.set_filter(d.schema.field("words"), "all", ["red", "bolt", "red"])).select("p_partkey")
+
+
+@_query("SELECT p_partkey::DOUBLE AS p_partkey FROM part WHERE NOT contains(p_name, 'ring') AND p_size < 20", "part")
+def filter_negation(d):
+    return _where(d, filters.negated(_p("p_name", "contains", "ring")), filters.negated(_p("p_size", ">=", "20"))).select("p_partkey")
+
+
 # rows
 
 
@@ -168,14 +182,14 @@ def field_stats(d):
     return rows.field_stats(d.rows, d.schema, ["p_brand", "p_type"])
 
 
-@_query("SELECT w AS value, count(*) AS \"rows\" FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part) GROUP BY w ORDER BY \"rows\" DESC, value LIMIT 10", "part")
+@_query("SELECT w AS value, count(*) AS \"rows\" FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w ORDER BY \"rows\" DESC, value LIMIT 10", "part")
 def distinct_values(d):
     return rows.distinct_values(d.rows, d.schema, "words", limit=10)
 
 
-@_query("SELECT p_type AS value, count(*) AS \"rows\" FROM part WHERE contains(lower(p_type), 'steel') GROUP BY p_type ORDER BY \"rows\" DESC, value LIMIT 12", "part")
+@_query("SELECT p_name AS value, count(*) AS \"rows\" FROM part WHERE contains(lower(p_name), 'bolt') GROUP BY p_name ORDER BY \"rows\" DESC, value LIMIT 12", "part")
 def distinct_search(d):
-    return rows.distinct_values(d.rows, d.schema, "p_type", "STEEL", 12)
+    return rows.distinct_values(d.rows, d.schema, "p_name", "BOLT", 12)
 
 
 @_query("SELECT bool_or(nullif(event_type, 'error') IS NULL) AS has_null FROM events", "events")
@@ -194,6 +208,17 @@ def preview_frequency(d):
     return rows.preview(d.with_computed("size", "text", size), ["status"], "size")
 
 
+@_query("SELECT count(*) > 5 AS has_more FROM (SELECT DISTINCT p_name FROM part WHERE contains(lower(p_name), 'e'))", "part")
+def distinct_has_more(d):
+    return rows.has_more(d.rows, d.schema, "p_name", "E", 5)
+
+
+@_query("SELECT count(*)::BIGINT AS processed, count(*) FILTER (user_id % 5 <> 0 AND event_type = 'view')::BIGINT AS nulls, count(*) FILTER (user_id % 5 = 0)::BIGINT AS errors FROM events", "events")
+def preview_counts(d):
+    made = d.with_computed("r", "number", S.if_(col("event_type") != "view", col("value") / (col("user_id") % 5), S.nullif(0 * (col("value") / (col("user_id") % 5)), 0)))
+    return rows.preview_facts(rows.preview(made, ["event_type"], "r"))
+
+
 # computed fields
 
 
@@ -203,16 +228,16 @@ def computed_arith(d):
     return d.rows.select("event_id", F.round(a.value, 6).alias("a"), F.round(b.value, 6).alias("b"), b.error.alias("b_error"), c.value.alias("c"))
 
 
-@_query("SELECT p_partkey::DOUBLE AS p_partkey, upper(left(p_type, 3)) || ':' || right(p_brand, 2) AS a, replace(lower(p_type), 'steel', 'iron') AS b, nullif(split_part(p_type, ' ', 2), '') AS c, lpad(p_brand, 12, '*') AS d, length(p_name)::DOUBLE AS e, len(string_split(p_type, ' '))::DOUBLE AS f FROM part", "part")
+@_query("SELECT p_partkey::DOUBLE AS p_partkey, upper(left(p_name, 3)) || ':' || right(p_brand, 2) AS a, replace(lower(p_name), 'bolt', 'nut') AS b, nullif(split_part(p_name, ' ', 2), '') AS c, lpad(p_brand, 12, '*') AS d, length(p_name)::DOUBLE AS e, len(string_split(p_name, ' '))::DOUBLE AS f FROM part", "part")
 def computed_text(d):
-    t, b = col("p_type"), col("p_brand")
-    made = {"a": S.concat(S.upper(S.left(t, 3)), ":", S.right(b, 2)), "b": S.replace(S.lower(t), "steel", "iron"), "c": S.split_part(t, " ", 2), "d": S.lpad(b, 12, "*"), "e": S.length(col("p_name")), "f": S.word_count(t)}
+    t, b = col("p_name"), col("p_brand")
+    made = {"a": S.concat(S.upper(S.left(t, 3)), ":", S.right(b, 2)), "b": S.replace(S.lower(t), "bolt", "nut"), "c": S.split_part(t, " ", 2), "d": S.lpad(b, 12, "*"), "e": S.length(col("p_name")), "f": S.word_count(t)}
     return d.rows.select("p_partkey", *[c.value.alias(n) for n, c in made.items()])
 
 
-@_query("SELECT p_partkey::DOUBLE AS p_partkey, regexp_matches(p_type, '(?i)brass') AS a, nullif(regexp_extract(p_type, '([A-Z]+)ED', 1), '') AS b, regexp_replace(p_brand, '([0-9])([0-9])', '\\2-\\1', 'g') AS c FROM part", "part")
+@_query("SELECT p_partkey::DOUBLE AS p_partkey, regexp_matches(p_name, '(?i)BOLT') AS a, nullif(regexp_extract(p_name, '([a-z]+) w', 1), '') AS b, regexp_replace(p_brand, '([0-9])([0-9])', '\\2-\\1', 'g') AS c FROM part", "part")
 def computed_regex(d):
-    made = {"a": S.regex_test(col("p_type"), "brass", "i"), "b": S.regex_extract(col("p_type"), "([A-Z]+)ED", 1), "c": S.regex_replace(col("p_brand"), "([0-9])([0-9])", "$2-$1")}
+    made = {"a": S.regex_test(col("p_name"), "BOLT", "i"), "b": S.regex_extract(col("p_name"), "([a-z]+) w", 1), "c": S.regex_replace(col("p_brand"), "([0-9])([0-9])", "$2-$1")}
     return d.rows.select("p_partkey", *[c.value.alias(n) for n, c in made.items()])
 
 
@@ -230,10 +255,82 @@ def computed_dates(d):
     return d.rows.select("o_orderkey", *[c.value.alias(n) for n, c in made.items()])
 
 
-@_query("SELECT p_partkey::DOUBLE AS p_partkey, array_to_string(list_sort(string_split(p_type, ' ')), '|') AS a, string_split(p_type, ' ')[2] AS b, len(string_split(p_type, ' '))::DOUBLE AS c, list_contains(string_split(p_type, ' '), 'BRASS') AS d FROM part", "part")
+@_query("SELECT p_partkey::DOUBLE AS p_partkey, array_to_string(list_sort(string_split(p_name, ' ')), '|') AS a, string_split(p_name, ' ')[2] AS b, len(string_split(p_name, ' '))::DOUBLE AS c, list_contains(string_split(p_name, ' '), 'bolt') AS d FROM part", "part")
 def computed_array(d):
     w = col("words")
-    made = {"a": S.join(S.array_sort(w), "|"), "b": S.array_get(w, 2), "c": S.array_length(w), "d": S.array_contains(w, "BRASS")}
+    made = {"a": S.join(S.array_sort(w), "|"), "b": S.array_get(w, 2), "c": S.array_length(w), "d": S.array_contains(w, "bolt")}
+    return d.rows.select("p_partkey", *[c.value.alias(n) for n, c in made.items()])
+
+
+_LOGIC = """SELECT event_id::DOUBLE AS event_id, CASE WHEN value > 80 THEN 'high' WHEN value > 20 THEN 'mid' ELSE 'low' END AS a, NOT (kind = 'view') AS b,
+value > 50 AND kind = 'view' AS c, value > 50 OR kind = 'view' AS d, kind IS NULL AS e, coalesce(kind, '') = '' AS f, event_type IN ('view', 'click') AS g,
+value BETWEEN 10 AND 20 AS h, -value AS i, nullif(event_type, 'click') AS j, value <= 50 AND value <> 10 AS k FROM (SELECT *, nullif(event_type, 'error') AS kind FROM events)"""
+
+
+@_query(_LOGIC, "events")
+def computed_logic(d):
+    k, v, t = col("kind"), col("value"), col("event_type")
+    made = {
+        "a": S.ifs((v > 80, "high"), (v > 20, "mid"), otherwise="low"), "b": ~(k == "view"), "c": (v > 50) & (k == "view"), "d": (v > 50) | (k == "view"), "e": S.is_null(k), "f": S.is_empty(k),
+        "g": S.in_(t, "view", "click"), "h": S.between(v, 10, 20), "i": -v, "j": S.nullif(t, "click"), "k": (v <= 50) & (v != 10),
+    }
+    return d.rows.select("event_id", *[c.value.alias(n) for n, c in made.items()])
+
+
+_CONVERT = """SELECT o_orderkey::DOUBLE AS o_orderkey, CASE WHEN x = floor(x) THEN x::BIGINT::VARCHAR ELSE x::VARCHAR END AS a, CASE WHEN y = floor(y) THEN y::BIGINT::VARCHAR ELSE y::VARCHAR END AS b,
+o_custkey::DOUBLE AS c, CASE WHEN o_orderstatus = 'F' THEN true END AS d, o_orderdate::TIMESTAMP AS e, CASE WHEN o_orderstatus <> 'F' THEN 'invalid_boolean' END AS d_error
+FROM (SELECT *, o_totalprice * 256 AS x, o_custkey / 8192.0::DOUBLE AS y FROM orders)"""
+
+
+@_query(_CONVERT, "orders")
+def computed_convert(d):
+    date = S.concat(S.format_date(col("o_orderdate"), "YYYY-MM-DD"), "T", S.format_date(col("o_orderdate"), "HH:mm:ss"), "Z")
+    true = S.to_boolean(S.if_(col("o_orderstatus") == "F", " TRUE ", "other"))
+    made = {"a": S.to_text(col("o_totalprice") * 256), "b": S.to_text(col("o_custkey") / 8192), "c": S.to_number(S.concat(" ", S.to_text(col("o_custkey")))), "d": true, "e": S.to_datetime(date)}
+    return d.rows.select("o_orderkey", *[c.value.alias(n) for n, c in made.items()], true.error.alias("d_error"))
+
+
+_TEXT = """SELECT p_partkey::DOUBLE AS p_partkey, substr(p_name, 2, 5) AS a, trim(w) AS b, ltrim(w) AS c, rtrim(w) AS d, rpad(p_brand, 12, '*') AS e, array_to_string(string_split(p_name, ' '), '+') AS f,
+concat_ws('/', p_brand, p_name) AS g, contains(lower(p_name), 'bolt') AS h, starts_with(p_name, 's') AS i, ends_with(lower(p_name), 'el') AS j, url_encode(p_name) AS k, substr(p_name, 3) AS l
+FROM (SELECT *, '  ' || p_name || '   ' AS w FROM part)"""
+
+
+@_query(_TEXT, "part")
+def computed_text_more(d):
+    t, b = col("p_name"), col("p_brand")
+    w = S.concat("  ", t, "   ")
+    made = {
+        "a": S.substring(col("p_name"), 2, 5), "b": S.trim(w), "c": S.ltrim(w), "d": S.rtrim(w), "e": S.rpad(b, 12, "*"), "f": S.join(S.split(t, " "), "+"), "g": S.concat_ws("/", b, t),
+        "h": S.contains(t, "BOLT", ignore_case=True), "i": S.starts_with(t, "s"), "j": S.ends_with(t, "EL", ignore_case=True), "k": S.url_encode(t), "l": S.substring(t, 3),
+    }
+    return d.rows.select("p_partkey", *[c.value.alias(n) for n, c in made.items()])
+
+
+_MATH = """SELECT event_id::DOUBLE AS event_id, abs(value - 50) AS a, floor(value) AS b, ceil(value) AS c, trunc(value - 50) AS d, round(sqrt(value), 9) AS e, floor(value * 100 + 0.5) / 100 AS f,
+round(pow(value, 2), 6) AS g, greatest(10.0, least(20.0, value)) AS h, least(value, user_id) AS i, greatest(value, user_id::DOUBLE) AS j FROM events"""
+
+
+@_query(_MATH, "events")
+def computed_math(d):
+    v, u = col("value"), col("user_id")
+    made = {
+        "a": S.abs_(v - 50), "b": S.floor(v), "c": S.ceil(v), "d": S.trunc(v - 50), "e": S.sqrt(v), "f": S.round_(v, 2), "g": S.power(v, 2), "h": S.clamp(v, 10, 20), "i": S.least(v, u), "j": S.greatest(v, u),
+    }
+    rounded = {"e": 9, "g": 6}
+    return d.rows.select("event_id", *[(F.round(c.value, rounded[n]) if n in rounded else c.value).alias(n) for n, c in made.items()])
+
+
+@_query("SELECT event_id::DOUBLE AS event_id, month(ts)::DOUBLE AS a, day(ts)::DOUBLE AS b, hour(ts)::DOUBLE AS c, date_trunc('millisecond', ts)::TIMESTAMP + INTERVAL 36 HOUR AS d, trunc(date_sub('hour', TIMESTAMP '2024-01-01', date_trunc('millisecond', ts)))::DOUBLE AS e, date_trunc('hour', ts)::TIMESTAMP AS f FROM events", "events")
+def computed_dates_more(d):
+    t = col("ts")
+    made = {"a": S.month(t), "b": S.day(t), "c": S.hour(t), "d": S.date_add("hour", 36, t), "e": S.date_diff("hour", S.to_datetime("2024-01-01"), t), "f": S.date_trunc("hour", t)}
+    return d.rows.select("event_id", *[c.value.alias(n) for n, c in made.items()])
+
+
+@_query("SELECT p_partkey::DOUBLE AS p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name || ' ' || p_name, ' '))), '|') AS a, len(string_split(p_brand, '#'))::DOUBLE AS b FROM part", "part")
+def computed_array_more(d):
+    twice = S.split(S.concat(col("p_name"), " ", col("p_name")), " ")
+    made = {"a": S.join(S.array_sort(S.array_unique(twice)), "|"), "b": S.array_length(S.split(col("p_brand"), "#"))}
     return d.rows.select("p_partkey", *[c.value.alias(n) for n, c in made.items()])
 
 
@@ -241,7 +338,7 @@ def computed_array(d):
 
 
 def _metric(d: Dataset, metric: Metric, **names: str) -> DataFrame:
-    return _named(evaluate(d.rows, d.schema, metric, NOW).buckets, **names)
+    return _named(evaluate(d, d.schema, metric, NOW).buckets, **names)
 
 
 @_query("SELECT round(sum(o_totalprice), 2) AS value, count(*) AS count FROM orders", "orders")
@@ -395,10 +492,22 @@ def interval_wilson(d):
     return _round(_metric(d, m, priority="group0", value="value", lower="lower", upper="upper"), 9, "value", "lower", "upper")
 
 
-@_query(None, "events")
+#: The bounds of a Poisson count by halving: below the lower one k or more, above the upper one k or fewer events have the chance 0.025.
+_POISSON = """WITH RECURSIVE g AS (SELECT event_type, count(*)::DOUBLE AS k, sum(value) AS n FROM events GROUP BY 1),
+b AS (
+  SELECT event_type, k, n, s, 0.0::DOUBLE AS lo, 2 * k + 20 AS hi, 0 AS step FROM g, (VALUES (0), (1)) t(s)
+  UNION ALL
+  SELECT event_type, k, n, s, CASE WHEN up THEN m ELSE lo END, CASE WHEN up THEN hi ELSE m END, step + 1
+  FROM (SELECT *, CASE WHEN s = 0 THEN 1 - p < 0.025 ELSE p > 0.025 END AS up
+        FROM (SELECT *, list_sum(list_transform(range(0, k::BIGINT + s), lambda i: exp(i * ln(m) - m - lgamma(i + 1)))) AS p FROM (SELECT *, (lo + hi) / 2 AS m FROM b WHERE step < 60)))
+)
+SELECT event_type, round(any_value(k / n), 9) AS value, round(max(lo) FILTER (s = 0) / any_value(n), 9) AS lower, round(max(lo) FILTER (s = 1) / any_value(n), 9) AS upper FROM b WHERE step = 60 GROUP BY 1"""
+
+
+@_query(_POISSON, "events")
 def interval_poisson(d):
     m = Metric({"k": count(), "n": sum_(col("value"))}, lambda p: p["k"] / p["n"], group_by=("event_type",), interval=Interval("rate", "k", "n"))
-    return _metric(d, m, event_type="group0", value="value", lower="lower", upper="upper")
+    return _round(_metric(d, m, event_type="group0", value="value", lower="lower", upper="upper"), 9, "value", "lower", "upper")
 
 
 # calendar and series
@@ -448,6 +557,12 @@ def occurrence_mean(d):
     return _round(_named(got, slot="group0", occurrences="occurrences", count="count", value="value"), 6, "value")
 
 
+@_query("SELECT isodow(day)::DOUBLE AS slot, count(*) AS n, min(n)::DOUBLE AS low, round(quantile_cont(n, 0.25), 6) AS q1, median(n)::DOUBLE AS median, round(quantile_cont(n, 0.75), 6) AS q3, max(n)::DOUBLE AS high FROM (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1) GROUP BY 1", "events")
+def occurrence_box(d):
+    got = series.occurrence_box(d.rows, d.schema, Metric({"n": count()}, group_by=(Calendar("ts", "dayOfWeek"),), fill=Fill()), now=NOW)
+    return _round(_named(got, slot="group0", n="n", low="low", q1="q1", median="median", q3="q3", high="high"), 6, "q1", "q3")
+
+
 _DAYS = "WITH s AS (SELECT unnest(generate_series(min(date_trunc('day', o_orderdate))::TIMESTAMP, max(date_trunc('day', o_orderdate))::TIMESTAMP, INTERVAL 1 DAY)) AS bucket FROM orders), g AS (SELECT bucket, count(o_orderkey)::DOUBLE AS n, coalesce(sum(o_custkey), 0) AS s FROM s LEFT JOIN orders ON date_trunc('day', o_orderdate) = bucket GROUP BY 1) "
 
 
@@ -536,7 +651,18 @@ def metrics_over_groups(d):
 @_query("SELECT event_id::DOUBLE AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' AND event_type = 'error'", "events")
 def drilldown_bucket(d):
     m = Metric({"n": count()}, group_by=(Calendar("ts", "week"), "kind"))
-    return bucket_rows(d.rows, d.schema, m, [datetime(2024, 1, 8, tzinfo=UTC), None], NOW).select("event_id")
+    return bucket_rows(d, d.schema, m, [datetime(2024, 1, 8, tzinfo=UTC), None], NOW).select("event_id")
+
+
+@_query("SELECT event_id::DOUBLE AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-06' AND ts < TIMESTAMP '2024-01-09' AND event_type = 'click'", "events")
+def drilldown_window(d):
+    m = Metric({"n": count()}, group_by=(Calendar("ts", "day"), "event_type"), fill=Fill(), trailing=Trailing(3))
+    return bucket_rows(d, d.schema, m, [datetime(2024, 1, 8, tzinfo=UTC), "click"], NOW).select("event_id")
+
+
+@_query("SELECT event_id::DOUBLE AS event_id FROM events WHERE value >= 25 AND value <= 50 AND event_type = 'click'", "events")
+def drilldown_bin(d):
+    return bucket_rows(d, d.schema, Metric({}, group_by=("event_type",)), ["click"], NOW, ("value", 25.0, 50.0, True)).select("event_id")
 
 
 @_query("SELECT o_orderpriority AS priority, count(*)::DOUBLE AS n, round(sum(o_totalprice), 2) AS total, round(sum(o_totalprice) / count(*), 4) AS mean FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1 HAVING count(*) >= 10", "orders")

@@ -48,7 +48,7 @@ SCHEMAS = {
     ),
     "part": FieldSchema(
         (
-            Field("p_partkey", "number"), Field("p_name", "text"), Field("p_brand", "enum"), Field("p_type", "text"), Field("words", "textarray", "split(p_type, ' ')"),
+            Field("p_partkey", "number"), Field("p_name", "text"), Field("p_brand", "enum"), Field("p_type", "text"), Field("words", "textarray", "split(p_name, ' ')"),
             Field("p_size", "number", groupable=True), Field("p_retailprice", "number"),
         ),
         "p_partkey",

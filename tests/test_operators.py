@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sumac.errors import QueryError
+from sumac.functions.operands import meet, operand, whole_span
 from sumac.functions import scalar as S
 from sumac.functions.aggregates import avg, count, count_distinct, max_, median, percentile, sum_
 from sumac.functions.scalar import col
@@ -230,3 +231,24 @@ def test_box_over_occurrences(spark):
     metric = Metric({"n": count()}, group_by=(Calendar("at", "dayOfWeek"),))
     got = series.occurrence_box(frame, fields, metric, distributions.Box("tukey"), NOW).collect()
     assert [(r["group0"], r["n"], r["min"], r["median"], r["max"], r["low"], r["high"], r["outlier_count"], r["outliers"]) for r in got] == [(7, 8, 1, 2, 40, 1, 3, 1, [40])]
+
+
+@pytest.mark.parametrize("raw", ["1_000", "nan", "inf", "1e999", "0x10", "", "１２"])
+def test_operands_are_decimal_numbers(raw):
+    if raw == "":
+        return
+    with pytest.raises(QueryError):
+        operand("number", raw, NOW, "price")
+
+
+def test_spans_of_comparisons():
+    assert [whole_span(op, 2.5) for op in ("=", ">", ">=", "<", "<=")] == [(3, 3), (3, None), (3, None), (None, 3), (None, 3)]
+    assert [whole_span(op, 2) for op in ("=", ">", ">=", "<", "<=")] == [(2, 3), (3, None), (2, None), (None, 2), (None, 3)]
+    assert whole_span("contains", 2) is None and meet((1, None), (2, 9)) == (2, 9) and meet((None, None), (None, None)) == (None, None)
+
+
+def test_sums_stay_in_range(spark):
+    frame = spark.createDataFrame([("a", 9e15), ("a", 9e15), ("b", 1.5)], "g string, x double")
+    schema = FieldSchema((Field("g", "text"), Field("x", "number")), "g")
+    got = {r["group0"]: (r["value"], r["error"]) for r in evaluate(frame, schema, Metric({"s": sum_(col("x"))}, group_by=("g",)), NOW).buckets.collect()}
+    assert got == {"a": (None, "number_range"), "b": (1.5, None)}

@@ -2,6 +2,7 @@
 
 import io
 from contextlib import redirect_stdout
+from datetime import UTC
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from sumac.functions.calendar import bucket
 from sumac.functions.scalar import col
 from sumac.operators import filters, rows
 from sumac.operators.grouping import Calendar
-from sumac.operators.metrics import Metric, dashboard, evaluate
+from sumac.operators.metrics import Metric, Trailing, bucket_rows, dashboard, evaluate
 from sumac.plans.queries import NOW
 from sumac.sources.tables import dataset, read, write
 from sumac.streaming.buckets import running
@@ -74,6 +75,32 @@ def test_comparisons_reach_the_scan_in_its_own_types(spark, sf):
     terms = [{"field": "price", "op": ">=", "value": "100000"}, {"field": "o_custkey", "op": "<", "value": "70.5"}, {"field": "o_orderdate", "op": ">", "value": "1995-01-01"}]
     made = filters.of_dataset(d, terms, NOW)
     text = plan(made)
-    for pushed in ("GreaterThanOrEqual(o_totalprice,100000.0)", "LessThanOrEqual(o_custkey,71)", "GreaterThanOrEqual(o_orderdate,1995-01-01T00:00)"):
+    for pushed in ("GreaterThanOrEqual(o_totalprice,100000.0)", "LessThan(o_custkey,71)", "GreaterThanOrEqual(o_orderdate,1995-01-01T00:00:00.001)"):
         assert pushed in text
     assert sorted(r["o_orderkey"] for r in made.collect()) == sorted(r["o_orderkey"] for r in filters.where(d.rows, d.schema, terms, NOW).collect())
+
+
+def test_metric_filters_and_alternatives_reach_the_scan(spark, sf):
+    d = dataset(spark, sf, "orders")
+    one = {"field": "price", "op": ">", "value": "100000"}
+    m = Metric({"n": count()}, group_by=("status",), where=({"any": [one, {"field": "o_custkey", "op": "=", "value": "7"}]}, {"field": "o_orderpriority", "op": "!=", "value": ""}))
+    made = evaluate(d, d.schema, m, NOW).buckets
+    assert "Or(GreaterThan(o_totalprice,100000.0)" in plan(made)
+    keys = lambda f: sorted((r["group0"], r["value"]) for r in f.collect())
+    assert keys(made) == keys(evaluate(d.rows, d.schema, m, NOW).buckets)
+
+
+def test_drill_downs_are_ranges(spark, sf):
+    d = dataset(spark, sf, "events")
+    m = Metric({"n": count()}, group_by=(Calendar("ts", "hour"), "event_type"))
+    at = d.rows.where("event_type = 'view'").agg(F.min(bucket(F.col("ts"), "hour"))).collect()[0][0].replace(tzinfo=UTC)
+    got = bucket_rows(d, d.schema, m, [at, "view"], NOW)
+    assert "GreaterThanOrEqual(ts," in plan(got) and "LessThan(ts," in plan(got) and "(event_type,view)" in plan(got)
+    assert got.count() == d.rows.where((bucket(F.col("ts"), "hour") == F.lit(at)) & (F.col("event_type") == "view")).count() > 0
+    days = Metric({"n": count()}, group_by=(Calendar("ts", "day", "America/New_York"),), trailing=Trailing(3))
+    day = bucket(F.col("ts"), "day", "America/New_York")
+    last = sorted(r[0] for r in d.rows.select(day).distinct().collect())[3:6]
+    want = d.rows.where(day.isin(last)).count()
+    assert bucket_rows(d, d.schema, days, [last[-1].replace(tzinfo=UTC)], NOW).count() == want > 0
+    inside = bucket_rows(d, d.schema, Metric({}, group_by=("event_type",)), ["view"], NOW, ("value", 10.0, 20.0, False))
+    assert inside.count() == d.rows.where("event_type = 'view' and value >= 10 and value < 20").count() and "LessThan(value,20.0)" in plan(inside)

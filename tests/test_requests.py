@@ -5,7 +5,7 @@ import pytest
 from sumac.errors import QueryError
 from sumac.functions.aggregates import count, sum_
 from sumac.functions.scalar import col, nullif
-from sumac.operators import requests
+from sumac.operators import requests, rows
 from sumac.sources.tables import dataset
 
 NOW = int(datetime(2024, 1, 20, tzinfo=UTC).timestamp() * 1000)
@@ -71,3 +71,47 @@ def test_distinct_and_refusals(spark, sf):
         requests.run(data, {"drop": True})
     with pytest.raises(QueryError):
         requests.run(data, {"metrics": [{"id": str(k), "op": "count"} for k in range(21)]})
+
+
+def test_windows_shares_and_whole_intervals(spark, sf):
+    data = dataset(spark, sf, "events")
+    days = {"field": "ts", "interval": "day", "includeEmpty": True, "range": "query"}
+    span = [{"field": "ts", "op": ">=", "value": "2024-01-03T12:00:00Z"}, {"field": "ts", "op": "<", "value": "2024-01-17T06:00:00Z"}]
+    slot = {"field": "ts", "interval": "dayOfWeek", "occurrence": {"interval": "day", "includeEmpty": True}}
+    request = {
+        "now": NOW, "source": {"where": span},
+        "metrics": [
+            {"id": "trail", "op": "count", "groupBy": ["ts"], "dateGrouping": days, "window": {"periods": 3}},
+            {"id": "run", "op": "count", "groupBy": ["ts"], "dateGrouping": days, "window": {"periods": "all", "partial": "include"}},
+            {"id": "share", "op": "count", "groupBy": ["event_type"], "share": "total"},
+            {"id": "whole", "op": "count", "groupBy": ["ts"], "dateGrouping": {"field": "ts", "interval": "day", "partialIntervals": "exclude"}},
+            {"id": "slots", "op": "count", "groupBy": ["ts"], "dateGrouping": slot},
+            {"id": "boxes", "op": "count", "groupBy": ["ts"], "dateGrouping": slot, "distribution": {"kind": "box", "input": "value"}},
+            {"id": "narrow", "op": "count", "groupBy": ["ts"], "dateGrouping": days | {"range": "custom", "start": "2024-01-05", "end": "2024-01-08"}},
+            {"id": "wide", "op": "count", "groupBy": ["ts"], "dateGrouping": days | {"range": "custom", "start": "2024-01-01", "end": "2024-02-01"}},
+        ],
+    }
+    got = requests.run(data, request).metrics
+    rows = [r["ts"] for r in data.rows.select("ts").collect() if datetime(2024, 1, 3, 12) <= r["ts"] < datetime(2024, 1, 17, 6)]
+    by_day = {d: sum(t.day == d for t in rows) for d in range(3, 18)}
+    trail = [r["value"] for r in got["trail"].buckets.orderBy("group0").collect()]
+    assert trail[:2] == [None, None] and trail[2:] == [by_day[d] + by_day[d - 1] + by_day[d - 2] for d in range(5, 18)]
+    assert max(r["value"] for r in got["run"].buckets.collect()) == len(rows)
+    assert abs(sum(r["value"] for r in got["share"].buckets.collect()) - 1) < 1e-12
+    assert sorted(r["value"] for r in got["whole"].buckets.collect()) == sorted(by_day[d] for d in range(4, 17) if by_day[d])
+    monday = [by_day[d] for d in (8, 15)]
+    slots = {r["group0"]: r for r in got["slots"].collect()}
+    assert slots[1.0]["value"] == sum(monday) / 2 and slots[1.0]["occurrences"] == 2 and len(slots) == 7
+    assert {r["group0"]: (r["min"], r["max"]) for r in got["boxes"].collect()}[1.0] == (min(monday), max(monday))
+    assert got["narrow"].code == "invalid_range" and got["wide"].buckets.count() == 31
+
+
+def test_more_and_previews(spark, sf):
+    data = dataset(spark, sf, "part")
+    got = requests.run(data, {"distinct": {"field": "p_brand", "limit": 3}})
+    assert got.distinct.count() == 3 and got.has_more.collect()[0][0] and not got.has_null.collect()[0][0]
+    assert not requests.run(data, {"distinct": {"field": "p_brand", "limit": 1000}}).has_more.collect()[0][0]
+    events = dataset(spark, sf, "events").with_computed("r", "number", nullif(col("value") / (col("user_id") % 5), 10**9))
+    shown = rows.preview(events, ["event_type"], "r", most=50)
+    facts = rows.preview_facts(shown).collect()[0]
+    assert facts["processed"] == 50 == sum(r["rows"] for r in shown.collect()) and facts["errors"] > 0 == facts["nulls"]

@@ -17,6 +17,23 @@ def cases():
     t = Cell(F.lit("2024-01-31 23:05:09.123456").cast("timestamp"))
     return [
         (num(1) / num(0), None, "divide_by_zero"),
+        (S.to_text(num(12345678.5)), "12345678.5", None),
+        (S.to_text(num(0.0001)), "0.0001", None),
+        (S.to_text(num(-1.5e-6)), "-0.0000015", None),
+        (S.to_text(num(2.5e-7)), "2.5e-7", None),
+        (S.to_text(num(1e-7)), "1e-7", None),
+        (S.to_text(num(-0.5)), "-0.5", None),
+        (S.round_(num(1e14), 6), 1e14, None),
+        (S.round_(num(2.345), 2), 2.35, None),
+        (S.left(text("abc"), num(1e10)), "abc", None),
+        (S.right(text("abc"), num(1e10)), "abc", None),
+        (S.substring(text("abc"), num(1e10)), "", None),
+        (S.split_part(text("a,b"), ",", num(1e10)), None, None),
+        (S.array_get(S.split(text("a,b"), ","), num(1e10)), None, None),
+        (S.lpad(text("a"), num(1e10)), None, "invalid_length"),
+        (S.year(S.date_add("day", num(1e10), t)), None, "datetime_range"),
+        (S.year(S.date_add("year", num(1e10), t)), None, "datetime_range"),
+        (S.year(S.date_add("year", num(2), t)), 2026.0, None),
         (num(1) / num(None), None, None),
         (num(-7) % num(3), -1.0, None),
         (num(2**53) + num(1), None, "number_range"),
