@@ -21,22 +21,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumac.llm.text import binaries, blocks, by_block, field, lists, mix, row_hashes, run_hashes, stored, word_hashes, word_spans
+from sumac.llm.text import binaries, bit_filter, blocks, by_block, field, in_filter, lists, mix, row_hashes, run_hashes, sheltered, stored, word_hashes, word_spans
 
 #: Words of a run and the least weighted Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
 #: A pair at SIMILAR shares no band with a probability of (1 - 0.8^5)^28, 2 in 100,000.
 BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
-#: Rounds of pivots, and bits of the filter that spares most texts the second reading (of fixed size; false hits cost time only).
-ROUNDS, FILTER = 4, 1 << 24
+#: Rounds of pivots, and rows of two multisets that a task takes in at a time.
+ROUNDS, PAIRS = 4, 500
 #: Cells of the table of runs' frequencies (they only order the runs), and texts of a block that meet a run's others at once.
 CELLS, DEALT = 1 << 20, 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bags(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, run's hash, weight) of the distinct runs of each row, and the hash of each row's words (0: it has none)."""
+def bags(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, run's hash, weight) of the distinct runs of each row, and two independent hashes of each row's words (the first is 0 where it has none)."""
     n = len(at) - 1
     starts, ends, row = word_spans(data, at)
     words = word_hashes(data, starts, ends)
@@ -50,10 +50,14 @@ def bags(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     _, where, weight = np.unique(runs ^ mix(own.astype(np.uint64) + _STEP), return_index=True, return_counts=True)
     order = np.argsort(own[where], kind="stable")
     where, weight = where[order], weight[order]
+    return own[where], runs[where], weight, *identities(data, starts, ends, words, edge)
+
+
+def identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     whole = row_hashes(words, edge, seed=2)
-    whole[(whole == 0)] = 1
-    whole[size == 0] = 0
-    return own[where], runs[where], weight, whole
+    whole[whole == 0] = 1
+    whole[np.diff(edge) == 0] = 0
+    return whole, row_hashes(word_hashes(data, starts, ends, seed=1), edge, seed=3)
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -87,10 +91,10 @@ def signatures(row: np.ndarray, runs: np.ndarray, weight: np.ndarray, n: int) ->
 
 
 def signed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """docs with node (the hash of the text's words; null if it has none), size (runs) and bands (their hashes)."""
+    """docs with node and other (two hashes of the text's words; node is null if it has none), size (runs) and bands (their hashes)."""
 
     def make(rows, data, at):
-        row, runs, weight, whole = bags(data, at)
+        row, runs, weight, whole, other = bags(data, at)
         n = len(rows)
         registers = signatures(row, runs, weight, n).view(np.uint64).reshape(n * BANDS, ROWS)
         total = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), n) * _STEP
@@ -99,37 +103,48 @@ def signed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         some = whole != 0
         size = np.bincount(row, weight, n).astype(np.int64)
         node = pa.array(whole.view(np.int64), mask=~some)
-        return [node, pa.array(size), lists(total.view(np.int64).reshape(n, BANDS)[some].ravel(), np.where(some, BANDS, 0), pa.int64())]
+        return [node, pa.array(other.view(np.int64)), pa.array(size), lists(total.view(np.int64).reshape(n, BANDS)[some].ravel(), np.where(some, BANDS, 0), pa.int64())]
 
-    return by_block(docs, make, [("node", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType()))], text, keep)
+    return by_block(docs, make, [("node", T.LongType()), ("other", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType()))], text, keep)
 
 
 def _bagged(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
-    """(node, bag) of the texts that the filter lets pass: each run and its number among equal ones as 64 bits, in order."""
+    """(node, other, bag) of the texts that the filter lets pass: each run and its number among equal ones as 64 bits, in order."""
     source = docs.select(field(docs, text).cast("string").alias("text"))
 
     def run(batches):
-        flags = np.unpackbits(wanted)
         for rows, data, at in blocks(batches, "text"):
             starts, ends, row = word_spans(data, at)
             edge = np.searchsorted(row, np.arange(len(rows) + 1))
-            whole = row_hashes(word_hashes(data, starts, ends), edge, seed=2)
-            hit = np.flatnonzero((flags[(whole % np.uint64(FILTER)).astype(np.int64)] == 1) & (np.diff(edge) > 0))
+            whole, _ = identities(data, starts, ends, word_hashes(data, starts, ends), edge)
+            hit = np.flatnonzero(in_filter(wanted, whole) & (whole != 0))
+            hit = hit[np.unique(whole[hit], return_index=True)[1]]
             if not len(hit):
                 continue
             part = np.concatenate([data[at[k] : at[k + 1]] for k in hit])
-            row, runs, weight, whole = bags(part, np.concatenate([[0], np.cumsum(at[hit + 1] - at[hit])]))
+            row, runs, weight, whole, other = bags(part, np.concatenate([[0], np.cumsum(at[hit + 1] - at[hit])]))
             nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
             own = np.repeat(row, weight)
             units = mix(np.repeat(runs, weight) + nth.astype(np.uint64) * _STEP)
             units = units[np.lexsort((units, own))]
-            _, once = np.unique(whole, return_index=True)
-            chosen = np.zeros(len(hit), bool)
-            chosen[once] = True
-            sizes = np.bincount(own, minlength=len(hit))
-            yield pa.RecordBatch.from_arrays([pa.array(whole[chosen].view(np.int64)), binaries(units[chosen[own]], sizes[chosen])], ["node", "bag"])
+            columns = [pa.array(whole.view(np.int64)), pa.array(other.view(np.int64)), binaries(units, np.bincount(own, minlength=len(hit)))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "other", "bag"])
+
+    return source.mapInArrow(run, "node long, other long, bag binary")
+
 
-    return source.mapInArrow(run, "node long, bag binary")
+def apart(frame: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """The frame (node, other, ...) with a node of its own for each text of those that share one; ``shared``: (node, first) of such nodes, None if there are none."""
+    if shared is None:
+        return frame
+    met = frame.join(shared, "node", "left")
+    return met.withColumn("node", F.when(F.col("other") != F.col("first"), F.xxhash64("node", "other")).otherwise(F.col("node"))).drop("first")
+
+
+def shared_nodes(rows: DataFrame) -> DataFrame | None:
+    """(node, first) of the nodes that are the hash of different texts, by their second hash; None if there are none."""
+    met = rows.where("node is not null").groupBy("node").agg(F.min("other").alias("first"), F.max("other").alias("last")).where("first <> last")
+    return None if met.isEmpty() else stored(met.drop("last"))
 
 
 def _verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
@@ -163,16 +178,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return label.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """One bit for each possible remainder of a node: which of them occur. Its size is fixed, however many nodes there are."""
-    at = F.col("node").bitwiseAND(F.lit(FILTER - 1))
-    words = nodes.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 31 as int))")).alias("bits"))
-    flags = np.zeros((FILTER // 32, 32), np.uint8)
-    for r in words.collect():  # at most FILTER / 32 rows
-        flags[r["word"]] = (r["bits"] >> np.arange(32)) & 1
-    return np.packbits(flags.ravel())
-
-
 def _pivots(members: DataFrame, pick: Column, tested: DataFrame | None) -> DataFrame:
     """Of buckets with several components each member of another component than the pivot's, with the pivot; sizes must allow a link."""
     chosen = members.groupBy("bucket").agg(pick.alias("p"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket", "p.*")
@@ -235,7 +240,7 @@ def _rest(current: DataFrame, bag: DataFrame, tested: DataFrame) -> DataFrame |
     if left.isEmpty():
         return None
     whole = stored(bag.join(left, "node"))
-    rare = stored(_rarest(whole, _frequencies(whole)))
+    rare = stored(_rarest(whole, _frequencies(whole)), PAIRS)
     of = rare.groupBy("unit", "component").agg(F.count("*").alias("n")).groupBy("unit")
     heads = of.agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("kinds"), (F.sum("n") - F.max("n")).alias("others")).where("kinds > 1")
     parts = F.ceil(F.col("others") / DEALT).cast("int")
@@ -246,7 +251,7 @@ def _rest(current: DataFrame, bag: DataFrame, tested: DataFrame) -> DataFrame |
     close = (F.col("component") != F.col("a_component")) & ((F.col("component") == F.col("top")) | (F.col("a_node") < F.col("node")))
     met = a.join(b, ["unit", "part"]).where(close & (after * (1 + SIMILAR) >= SIMILAR * (F.col("size") + F.col("a_size")) - 1e-6))
     pairs = met.select(F.least("node", "a_node").alias("node"), F.greatest("node", "a_node").alias("pivot")).distinct()
-    links = stored(_verified(pairs.join(tested, ["node", "pivot"], "left_anti"), bag))
+    links = stored(_verified(pairs.join(tested, ["node", "pivot"], "left_anti"), bag), PAIRS)
     return None if links.isEmpty() else links
 
 
@@ -267,19 +272,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     one row of each class, that with the least doc_id).
 
     A null text, or one without words, is alone in its class. Equal word sequences are one class, as are texts linked by a
-    chain of near duplicates. Null ids come after all others; a class of such rows only has a null class_id. Of repeated
-    rows one is kept. A column of docs that has the name of a new one is replaced.
+    chain of near duplicates; two independent 64-bit hashes tell texts apart. Null ids come after all others; a class of such rows only has a null class_id. Of repeated
+    rows one is kept. A column of docs that has the name of a new one is replaced. Jobs run while the result is made.
     """
     names = ["class_id", "class_size", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     source = docs.select(F.struct(*[field(docs, c) for c in keep]).alias("__row"), field(docs, doc_id).cast("long").alias("__id"), field(docs, text).cast("string").alias("__whole"))
     rows = stored(signed(source, "__whole", ["__row", "__id"]).withColumn("__at", F.monotonically_increasing_id()))  # numbered once, in the table
+    shared_node = shared_nodes(rows)
+    rows = apart(rows, shared_node)
     some = rows.where("node is not null")
     nodes = some.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     dealt = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("bucket")
     members = stored(dealt.join(shared, "bucket"))
-    linked = _linked(docs, text, members)
+    linked = _linked(docs, text, members, shared_node)
 
     best = F.struct(F.col("__id").isNull().alias("gone"), F.col("__id").alias("id"), F.col("__at").alias("at"))
     own = some.groupBy("node").agg(F.min(best).alias("best"), F.count("*").alias("n"))
@@ -297,9 +304,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
 
 
-def _linked(docs: DataFrame, text: str, members: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, text: str, members: DataFrame, shared: DataFrame | None) -> DataFrame:
     """(node, component) of the nodes that have links."""
-    bag = stored(_bagged(docs, text, _filter_of(members.select("node").distinct())).groupBy("node").agg(F.first("bag").alias("bag")))
+    wanted = members.select("node") if shared is None else members.select("node").union(shared.select("node"))
+    bag = stored(apart(_bagged(docs, text, bit_filter(wanted, "node")), shared).groupBy("node").agg(F.first("bag").alias("bag")))
     current, tested = members.withColumn("component", F.col("node")), None
     labels = None
     seat = F.struct(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"), F.col("size").alias("pivot_size"))
@@ -308,7 +316,7 @@ def _linked(docs: DataFrame, text: str, members: DataFrame) -> DataFrame:
         pairs = stored(_pivots(current, F.min_by(seat, order), tested))
         if pairs.isEmpty():
             break
-        links = stored(_verified(pairs, bag))
+        links = stored(_verified(pairs, bag), PAIRS)
         tested = pairs if tested is None else stored(tested.unionByName(pairs))
         if links.isEmpty():
             continue
@@ -321,5 +329,6 @@ def _linked(docs: DataFrame, text: str, members: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that near_duplicates() keeps: one of each class."""
-    return near_duplicates(docs, text, doc_id).where("kept").select(*[c for c in docs.columns])
+    """The rows of docs that near_duplicates() keeps, one of each class, with all their columns as they were."""
+    frame, back = sheltered(docs, ["class_id", "class_size", "kept"])
+    return back(near_duplicates(frame, text, doc_id).where("kept"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a task works on at once; one longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -52,14 +52,24 @@ def _own_dir() -> str:
 _written: list[str] = []
 
 
-def stored(frame: DataFrame) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(frame: DataFrame, rows: int | None = None) -> DataFrame:
     """The frame written as Parquet into the shared folder and read again: its lineage is cut, and lost executors cost nothing.
 
-    This runs a job at once. The table stays until discard().
+    This runs a job at once. The table stays until discard(). ``rows``: the most that Python tasks of the job take in at a
+    time, for rows that are large.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/sumac-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if rows is not None:
+        spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     _written.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 

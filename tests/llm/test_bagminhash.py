@@ -30,7 +30,7 @@ def brute(rows):
     for k, bag in enumerate(bags):
         for s in bag:
             where[s].append(k)
-    pairs = {(a, b) for group in where.values() if len(group) < 200 for a in group for b in group if a < b}
+    pairs = {(a, b) for group in where.values() for a in group for b in group if a < b}
     for a, b in pairs:
         if find(a) != find(b) and jaccard(bags[a], bags[b]) >= B.SIMILAR:
             top[max(find(a), find(b))] = min(find(a), find(b))
@@ -116,3 +116,27 @@ def test_pairs_among_many_look_alikes(spark):
     bags = [shingles(rows[k][1]) for k in (0, 1, 2)]
     assert jaccard(bags[0], bags[1]) >= B.SIMILAR > jaccard(bags[0], bags[2]) > 0.79
     assert classes(B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == set(expected)
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 10, "a"), (1, 10, "a"), (1, 20, "b"), (2, 30, "c"), (None, None, "d")], "node long, other long, t string")
+    shared = B.shared_nodes(rows)
+    nodes = {t: {r["node"] for r in B.apart(rows, shared).where(f"t = '{t}'").collect()} for t in "abcd"}
+    assert nodes["a"] == {1} and nodes["c"] == {2} and nodes["d"] == {None} and len(nodes["b"]) == 1 and nodes["b"] != {1}
+    assert B.shared_nodes(rows.where("t <> 'b'")) is None and B.apart(rows, None).count() == 5
+
+
+def test_words_that_cancel_out_in_polynomials(spark):
+    out = "a"
+    while len(out) < 1024:
+        out += out.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(6))
+    docs = [(1, out + " " + rest), (2, out.translate(str.maketrans("ab", "ba")) + " " + rest), (3, " ".join(out)), (4, " ".join(out.translate(str.maketrans("ab", "ba"))))]
+    assert {frozenset(g) for g in classes(B.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))} == expected(docs)
+
+
+def expected(rows):
+    groups = collections.defaultdict(set)
+    for (i, _), c in zip(rows, brute(rows), strict=True):
+        groups[c].add(i)
+    return {frozenset(g) for g in groups.values()}
