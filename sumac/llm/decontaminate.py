@@ -3,34 +3,32 @@
 Words are runs of letters and digits, A to Z as a to z. A document holds an item if, at some alignment of the two, a
 window of W = min(WINDOW, the item's words) consecutive words has at least SAME of them equal, place by place. Fixed masks
 pick a few of the window's places; every window with that many equal words holds a place where a mask meets equal words
-only (checked over all patterns of substitutions, see the tests), so that looking the masks' hashes up finds every such
-window. Around each hit the whole alignment is verified word by word.
+only (checked over all patterns of substitutions, see the tests), so that hashes under the masks find every such window.
 
-The benchmark is the stated query set: it is dealt into blocks of at most about BLOCK_CHARS characters, each of which goes
-to all tasks in turn; documents are never shuffled, however often a passage occurs in them.
+The items' hashes and the documents' meet in a join. A filter of fixed size over the items' hashes drops most documents'
+before it; what it lets pass in vain the join drops. Each alignment that a hash suggests is then verified word by word
+about the places that the masks hit. Equal texts count once throughout.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sumac.llm.text import by_block, field, mix, span_hashes, stored, word_hashes, word_spans
+from sumac.llm.text import binaries, bit_filter, blocks, field, in_filter, lists, mix, stored, word_hashes, word_spans
 
-#: Words of a window, share of it that must be equal, and characters of a block of the benchmark.
-WINDOW, SAME, BLOCK_CHARS = 13, 0.8, 4_000_000
+#: Words of a window, and the share of it that must be equal.
+WINDOW, SAME = 13, 0.8
 #: The masks, as places that count. They serve items of LEAST words and more.
 MASKS, LEAST = ((0, 1, 3, 5, 6), (0, 1, 2, 8, 9), (0, 3, 4, 5, 7)), 10
-#: Items of SHORT to LEAST - 1 words are looked for whole, with a word changed at most, by masks of PART places and more;
-#: shorter items are no evidence and not looked for.
-SHORT, PART = 5, 4
-#: Blocks that one stage handles before its result is written.
-CHAINED = 4
+#: Shorter items are looked for whole, by masks of PART places; the SAME share leaves a word of 5 to 9 open, and none of fewer.
+PART = 4
+#: Candidates that a task takes in at a time.
+PAIRS = 1_000
+#: The columns of matches().
+NEW = ("contaminated", "item_id", "overlap", "start", "length", "items")
 _SPLIT = np.ones(256, bool)
 _SPLIT[48:58] = _SPLIT[65:91] = _SPLIT[97:123] = _SPLIT[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -55,139 +53,148 @@ def seeds(words: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
     return mix(total)
 
 
-def _fits(at: np.ndarray, n: int, span: int) -> np.ndarray:
-    """Of the n first places, those whose next ``span`` words lie in one row."""
-    place = np.arange(n)
-    return place[place + span <= at[np.searchsorted(at, place, "right")]] if n else place
-
-
 def needed(n: int) -> tuple[int, int]:
     """(words of the window, equal ones) that an item of n words asks."""
     w = min(WINDOW, n)
     return w, -(-w * 8 // 10)
 
 
-def short_masks(n: int) -> list[tuple[int, ...]]:
-    """Masks for items of n words, SHORT to LEAST - 1: each leaves out other places, and together they leave out all, so that one meets equal words only."""
-    out = n - PART
-    return [tuple(p for p in range(n) if not k <= p < k + out) for k in range(0, n, out)]
-
-
-@dataclass(frozen=True)
-class Block:
-    """Items' ids, words and edges, the masks in use, and the index: hashes in order, with each one's item and place in it."""
-
-    ids: list
-    words: np.ndarray
-    at: np.ndarray
-    masks: tuple[tuple[int, ...], ...]
-    hashes: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    #: Whether some hash ends in these 20 bits.
-    there: np.ndarray
-
-
-def index(items: list[tuple[int | None, str]]) -> Block:
-    """Items that agree all about a seed are entered once, under the first."""
-    raw = [t.encode() for _, t in items]
-    words, at = hashed_words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    size = np.diff(at)
-    short = [(mask, n) for n in range(SHORT, LEAST) if (size == n).any() for mask in short_masks(n)]
-    found = []
-    for mask, n in (*((mask, None) for mask in MASKS), *short):
-        h = seeds(words, mask)
-        place = _fits(at, len(h), n or mask[-1] + 1)
-        item = np.searchsorted(at, place, "right") - 1
-        right = size[item] == n if n else size[item] >= LEAST
-        found.append((h[place[right]], item[right], place[right]))
-    h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    low, high = np.maximum(at[item], place - WINDOW), np.minimum(at[item + 1], place + WINDOW)
-    about = span_hashes(words, low, high) ^ mix(h + (place - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    first = np.sort(np.unique(about, return_index=True)[1])
-    first = first[np.argsort(h[first], kind="stable")]
-    there = np.zeros(1 << 20, bool)
-    there[(h & np.uint64(0xFFFFF)).astype(np.int64)] = True
-    return Block([i for i, _ in items], words, at, tuple(dict.fromkeys((*MASKS, *(mask for mask, _ in short)))), h[first], item[first], (place - at[item])[first], there)
-
-
-def search(block: Block, data: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[float, int, int, int]]]:
-    """row: (share of equal words, item's number, first word of the window, words of the window) of each item that it holds."""
-    words, edge = hashed_words(data, at)
-    aligned: set[tuple[int, int, int]] = set()
-    for mask in block.masks:
-        h = seeds(words, mask)
-        hit = np.flatnonzero(block.there[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-        left, right = np.searchsorted(block.hashes, h[hit], "left"), np.searchsorted(block.hashes, h[hit], "right")
-        hit, left, right = hit[left < right], left[left < right], right[left < right]
-        row = np.searchsorted(edge, hit, "right") - 1
-        inside = hit + mask[-1] < edge[row + 1]
-        for p, r, i, j in zip(hit[inside].tolist(), row[inside].tolist(), left[inside].tolist(), right[inside].tolist(), strict=True):
-            for k in range(i, j):
-                aligned.add((r, int(block.item[k]), p - int(edge[r]) - int(block.place[k])))
-    best: dict[int, dict[int, tuple[float, int, int, int]]] = {}
-    for r, item, shift in aligned:
-        own, text = block.words[block.at[item] : block.at[item + 1]], words[edge[r] : edge[r + 1]]
-        w, least = needed(len(own))
-        low, high = max(0, -shift), min(len(own), len(text) - shift)
-        if high - low < w:
-            continue
-        equal = np.concatenate([[0], np.cumsum(own[low:high] == text[low + shift : high + shift])])
-        counts = equal[w:] - equal[:-w]
-        k = int(counts.argmax())
-        if counts[k] >= least:
-            got = (float(counts[k] / w), item, low + shift + k, w)
-            held = best.setdefault(r, {})
-            if item not in held or (-got[0], got[2]) < (-held[item][0], held[item][2]):
-                held[item] = got
-    return {r: list(x.values()) for r, x in best.items()}
-
-
-def blocks(benchmark: DataFrame, text: str = "text", item_id: str = "item_id"):
-    """The benchmark's distinct texts (each under its least id), one index after another."""
-    items = benchmark.select(field(benchmark, item_id).cast("long").alias("item_id"), field(benchmark, text).cast("string").alias("text"))
-    items = items.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    total = items.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-    n = max(1, -(-total // BLOCK_CHARS))
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).select("item_id", "text").collect()
-        if part:
-            yield index(sorted(((r["item_id"], r["text"]) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+def masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """The masks for items of n words. Those for short items leave out stretches that together are the whole item, so that one meets equal words only."""
+    if n >= LEAST:
+        return MASKS
+    out = max(0, n - PART)
+    return tuple(tuple(p for p in range(n) if not k <= p < k + out) for k in range(0, n, out)) if out else (tuple(range(n)),)
+
+
+def _items(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
+    """(item, item_id, n, own) of the items that have words, each word sequence once, under its least id; own: the words' hashes. Stored, so that the numbers stand."""
+    given = benchmark.select(field(benchmark, item_id).cast("long").alias("item_id"), field(benchmark, text).cast("string").alias("text"))
+
+    def run(batches):
+        for rows, data, at in blocks(batches, "text"):
+            words, edge = hashed_words(data, at)
+            yield pa.RecordBatch.from_arrays([rows.column("item_id"), pa.array(np.diff(edge).astype(np.int32)), binaries(words, np.diff(edge))], ["item_id", "n", "own"])
+
+    each = given.mapInArrow(run, "item_id long, n int, own binary").where("n > 0")
+    return stored(each.groupBy("own", "n").agg(F.min("item_id").alias("item_id")).withColumn("item", F.monotonically_increasing_id()))
+
+
+def _seeded(items: DataFrame) -> DataFrame:
+    """(seed, twin, item, place) of the items under their masks; twin is a second hash for the filter."""
+
+    def run(batches):
+        for rows in batches:
+            found = []
+            for item, own in zip(rows.column("item").to_pylist(), rows.column("own"), strict=True):
+                words = np.frombuffer(own.as_buffer(), np.uint64)
+                for mask in masks(len(words)):
+                    h = seeds(words, mask)
+                    found.append((h, np.full(len(h), item), np.arange(len(h), dtype=np.int32)))
+            if found:
+                h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                columns = [pa.array(h.view(np.int64)), pa.array(mix(h).view(np.int64)), pa.array(item), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["seed", "twin", "item", "place"])
+
+    return items.select("item", "own").mapInArrow(run, "seed long, twin long, item long, place int")
+
+
+def _hits(docs: DataFrame, used: tuple[tuple[int, ...], ...], wanted: np.ndarray) -> DataFrame:
+    """(key, seeds, places, at, words) of the documents (key, text) with hashes that the filter lets pass: these and where they
+    stand, and the places and hashes of the words that a window about one of them may hold."""
+
+    def run(batches):
+        for rows, data, at in blocks(batches, "text"):
+            words, edge = hashed_words(data, at)
+            found = []
+            for mask in used:
+                h = seeds(words, mask)
+                hit = np.flatnonzero(in_filter(wanted, h) & in_filter(wanted, mix(h)))
+                row = np.searchsorted(edge, hit, "right") - 1
+                inside = hit + mask[-1] < edge[row + 1]
+                found.append((hit[inside], row[inside], h[hit[inside]]))
+            place, row, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(place, kind="stable")
+            place, row, h = place[order], row[order], h[order]
+            turn = np.zeros(len(words) + 1, np.int64)
+            np.add.at(turn, np.maximum(edge[row], place - WINDOW + 1), 1)
+            np.add.at(turn, np.minimum(edge[row + 1], place + WINDOW), -1)
+            near = np.flatnonzero(np.cumsum(turn)[:-1] > 0)
+            near_row = np.searchsorted(edge, near, "right") - 1
+            held = np.unique(row)
+            count = np.bincount(row, minlength=len(rows))[held]
+            covered = np.bincount(near_row, minlength=len(rows))[held]
+            key = rows.column("key").take(pa.array(held))
+            columns = [key, lists(h.view(np.int64), count, pa.int64()), lists((place - edge[row]).astype(np.int32), count, pa.int32())]
+            columns += [lists((near - edge[near_row]).astype(np.int32), covered, pa.int32()), binaries(words[near], covered)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "seeds", "places", "at", "words"])
+
+    return docs.select("key", "text").mapInArrow(run, "key binary, seeds array<long>, places array<int>, at array<int>, words binary")
+
+
+def _verified(candidates: DataFrame) -> DataFrame:
+    """(key, item, item_id, share, start, length) of the candidates (key, item, item_id, shift, own, at, words) whose best window has enough equal words."""
+
+    def run(batches):
+        for rows in batches:
+            kept, share, start, length = [], [], [], []
+            for k, (shift, own, at, words) in enumerate(zip(rows.column("shift").to_pylist(), *(rows.column(c) for c in ("own", "at", "words")), strict=True)):
+                item, text = (np.frombuffer(x.as_buffer(), np.uint64) for x in (own, words))
+                place = at.values.to_numpy()
+                w, least = needed(len(item))
+                wanted = shift + np.arange(len(item))
+                spot = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+                there = place[spot] == wanted
+                runs = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+                equal, held = (c[w:] - c[:-w] for c in (runs(there & (text[spot] == item)), runs(there)))
+                equal = np.where(held == w, equal, -1)  # a window lies in the document
+                best = int(equal.argmax())
+                if equal[best] >= least:
+                    kept.append(k)
+                    share.append(float(equal[best] / w))
+                    start.append(int(wanted[best]))
+                    length.append(w)
+            columns = [*[rows.column(c).take(pa.array(kept, pa.int64())) for c in ("key", "item", "item_id")], pa.array(share, pa.float64()), pa.array(start, pa.int64()), pa.array(length, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "item", "item_id", "share", "start", "length"])
+
+    return candidates.mapInArrow(run, "key binary, item long, item_id long, share double, start long, length long")
+
+
+def _held(texts: DataFrame, benchmark: DataFrame, item_text: str, item_id: str) -> DataFrame:
+    """(key, best, items) of the texts (key, text) that hold items; stored."""
+    items = _items(benchmark, item_text, item_id)
+    seeded = stored(_seeded(items))
+    lengths = [r[0] for r in items.select(F.least("n", F.lit(LEAST))).distinct().collect()]  # LEAST rows at most
+    used = tuple(dict.fromkeys(mask for n in sorted(lengths) for mask in masks(n))) or MASKS
+    wanted = bit_filter(seeded.select(F.explode(F.array("seed", "twin")).alias("seed")), "seed")
+    hits = _hits(texts, used, wanted)
+    once = stored(hits.groupBy("key").agg(*[F.first(c).alias(c) for c in ("seeds", "places", "at", "words")]))
+    each = once.select("key", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("key", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("there"))
+    met = stored(each.join(seeded, "seed").select("key", "item", (F.col("there") - F.col("place")).alias("shift")).distinct())
+    candidates = met.join(items, "item").join(once.select("key", "at", "words"), "key").select("key", "item", "item_id", "shift", "own", "at", "words")
+    found = stored(_verified(candidates), PAIRS)
+    order = F.struct((-F.col("share")).alias("less"), F.col("item_id").isNull().alias("gone"), "item_id", "start", "length")
+    best = found.groupBy("key", "item").agg(F.min(order).alias("best")).groupBy("key").agg(F.min("best").alias("best"), F.count("*").alias("items"))
+    return stored(best)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """docs with contaminated (boolean) and, of the best match (highest share, then least item id, then first place), item_id
     (long), overlap (double, share of equal words of its window), start and length (long, in words), and items (long): how
-    many of the items that the index tells apart it holds.
+    many of the items with different words it holds.
 
-    A null text counts as empty and holds nothing, as does any text if the benchmark is empty; then overlap and items are 0
-    and the rest is null. Repeated rows stay repeated; a column of docs that has the name of a new one is replaced.
+    An item under five words counts where all its words stand in a row, one of 5 to 9 words where all but one do. A null
+    text counts as empty and holds nothing, as does any text if the benchmark is empty; then overlap and items are 0 and the
+    rest is null. Repeated rows stay repeated; a column of docs that has the name of a new one is replaced. Jobs run while
+    the result is made.
     """
-    new = [("contaminated", T.BooleanType()), ("item_id", T.LongType()), ("overlap", T.DoubleType()), ("start", T.LongType()), ("length", T.LongType()), ("items", T.LongType())]
-    names = [n for n, _ in new]
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    none = {"contaminated": F.lit(False), "item_id": F.lit(None), "overlap": F.lit(0.0), "start": F.lit(None), "length": F.lit(None), "items": F.lit(0)}
-    frame = docs.select(*[field(docs, c) for c in keep], field(docs, text).alias("__whole"), *[none[n].cast(t).alias(f"__{n}") for n, t in new])
-    for k, block in enumerate(blocks(benchmark, item_text, item_id), 1):
-        frame = by_block(frame, _make(block, names), new, "__whole", [*keep, "__whole", *[f"__{n}" for n in names]])
-        frame = frame.drop(*[f"__{n}" for n in names]).withColumnsRenamed({n: f"__{n}" for n in names})
-        if k % CHAINED == 0:
-            frame = stored(frame)
-    return frame.select(*[field(frame, c) for c in keep], *[F.col(f"__{n}").alias(n) for n in names])
-
-
-def _make(block: Block, names: list[str]):
-    def make(rows, data, at):
-        before = [rows.column(f"__{n}").to_pylist() for n in names]
-        for r, found in search(block, data, at).items():
-            order = lambda share, i, start: (-share, i is None, i or 0, start)
-            share, item, start, w = min(found, key=lambda x: order(x[0], block.ids[x[1]], x[2]))
-            mine = (share, block.ids[item], start)
-            if not before[0][r] or order(*mine) < order(before[2][r], before[1][r], before[3][r]):
-                for column, x in zip(before, (True, mine[1], share, start, w), strict=False):
-                    column[r] = x
-            before[5][r] += len(found)
-        kinds = [pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-        return [pa.array(x, t) for x, t in zip(before, kinds, strict=True)]
-
-    return make
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in NEW]
+    whole = F.coalesce(field(docs, text).cast("string"), F.lit(""))
+    found = _held(docs.select(F.unhex(F.md5(whole)).alias("key"), whole.alias("text")), benchmark, item_text, item_id)
+    rows = docs.select(F.struct(*[field(docs, c) for c in keep]).alias("row"), F.unhex(F.md5(whole)).alias("key"))
+    got, best = rows.join(found, "key", "left"), F.col("best")
+    return got.select(
+        *[F.col("row")[c].alias(c) for c in keep],
+        best.isNotNull().alias("contaminated"), best["item_id"].alias("item_id"), F.coalesce(-best["less"], F.lit(0.0)).alias("overlap"), best["start"].alias("start"),
+        best["length"].alias("length"), F.coalesce("items", F.lit(0)).cast("long").alias("items"),
+    )

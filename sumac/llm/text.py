@@ -74,10 +74,15 @@ def stored(frame: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def discard(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the tables that stored() has written; frames over them can't be read any more. ``keep``: files of tables that stay."""
+def written() -> int:
+    """How many tables stored() has written by now and discard() has not deleted."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables that stored() has written since written() was so many; frames over them can't be read any more. ``keep``: files of tables that stay."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs  # the one file system API that reaches any shared folder
-    for path in [p for p in _written if not any(p in k for k in keep)]:
+    for path in [p for p in _written[since:] if not any(p in k for k in keep)]:
         at = hadoop.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         _written.remove(path)
