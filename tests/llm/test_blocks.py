@@ -23,7 +23,7 @@ def arrays():
     yield "bags", bagminhash.bags(raw, at)[1]
     yield "windows", debruijn.Words(raw, at).windows()[1]
     yield "seeds", decontaminate.hashed_words(raw, at)[0]
-    yield "regions", bpe.regions(raw, at)
+    yield "pieces", bpe.pieces(raw, at)[0]
     model = language_id.Model(("a", "b"), ("the of w1 w2 w3 naïve", "é idiot w9 w8 w7 xx"))
     yield "language", language_id.Parser(model).costs(raw, at)[0]
 

@@ -61,3 +61,27 @@ def test_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert bpe.round_trip(docs, PATH).count() == 3
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_sure_splits_are_splits(exact):
+    """Encoding what lies between sure splits on its own gives the encoding of the whole."""
+    rng = np.random.default_rng(8)
+    letters = list("ab c\n 1.'é漢。、 \t\u00a0\u3000—ß٣\u0301")
+    for _ in range(300):
+        text = "".join(rng.choice(letters, rng.integers(1, 60)))
+        raw = text.encode()
+        cuts = [0, *bpe.sure_splits(np.frombuffer(raw, np.uint8)).tolist(), len(raw)]
+        got = [k for i, j in zip(cuts[:-1], cuts[1:], strict=True) for k in exact.encode(raw[i:j].decode(), add_special_tokens=False).ids]
+        assert got == exact.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pieces_are_reused(spark, exact):
+    """A passage within different documents is encoded once, without white space too, and the results are those of the library."""
+    rng = np.random.default_rng(6)
+    passage = " ".join(f"word{x}" for x in rng.integers(0, 10**6, 800))
+    signs = "".join("漢字仮名交文章例示"[x] if x < 9 else "。、"[x % 2] for x in rng.integers(0, 11, 4000))
+    texts = [f"{k} {'x' * k} " + passage + f" end {k}" for k in range(5)] + [f"第{k}章" + signs + "終" * k for k in range(5)] + ["alone " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    check({r["doc_id"]: r for r in bpe.round_trip(docs, PATH, keep=["doc_id"]).collect()}, texts, exact)
+    used = bpe.reuse(docs).collect()[0]
+    assert used["total"] == sum(len(t.encode()) for t in texts) and used["shared"] > 0.6 * used["total"] and used["encoded"] < 0.25 * used["shared"]
