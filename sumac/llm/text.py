@@ -134,8 +134,9 @@ def by_block(
     new: list[tuple[str, T.DataType]],
     text: str,
     keep: list[str] | None = None,
+    limit: int = BLOCK,
 ) -> DataFrame:
-    """docs with the columns ``new`` that ``make`` computes for each block; only ``keep`` (default: all) goes along.
+    """docs with the columns ``new`` that ``make`` computes for each block (of about ``limit`` bytes); only ``keep`` (default: all) goes along.
 
     A column of docs that has the name of a new one gives way to it.
     """
@@ -147,7 +148,7 @@ def by_block(
     out = [*keep, *[n for n, _ in new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches, whole):
+        for rows, data, at in blocks(batches, whole, limit):
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *make(rows, data, at)], out)
 
     return source.mapInArrow(run, schema)

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -18,22 +19,44 @@ def phrases(symbols, text):
     return n
 
 
+def plain(text):
+    """Small letters, and one space for whatever stands between them; none in front."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return re.sub("(?:^\0+)|\0+", lambda m: " " if m.start() else "", "".join(c if c.isalpha() else "\0" for c in low))
+
+
 def test_costs_against_direct_search():
+    """Whole texts of many times a lane's length, in several scripts, against looking every phrase up."""
     rng = np.random.default_rng(3)
-    texts = tuple("".join(rng.choice(list(a), 400)) for a in ("abcd  .", "cdef  ,", "äéfg \n"))
-    model = L.Model(("x", "y", "z"), texts)
-    parser = L.Parser(model)
-    docs = ["", "...", "Ab cD. ef", "ä", "".join(rng.choice(list("abcdefäéq ."), 1800)), "漢字 ab"]
+    some = lambda letters, n: "".join(rng.choice(list(letters), n))
+    alphabets = ("abcd  .", "cdef  ,", "äéfg \n", "αβγδεζ  ", "абвгде  ", "".join(map(chr, range(0x4E00, 0x4F00))) + "。  ")
+    texts = tuple(some(a, 700) for a in alphabets)
+    parser = L.Parser(L.Model(tuple("uvwxyz"), texts))
+    docs = ["", "...", "Ab cD. ef", "ä", " ΑΒ γ!", "漢字 ab", some("abcdefäéq .", 5000), some(alphabets[3] + alphabets[4], 3000), some(alphabets[5], 900), texts[0] * 5, "a" * 1500, (texts[5] + texts[3])[50:] * 2]
+    docs += [some(alphabets[k % 6], int(n)) for k, n in enumerate(rng.integers(100, 400, 30))]
     raw = [d.encode() for d in docs]
     bits, letters = parser.costs(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    plain = lambda t: bytes(L.Parser.squeeze(parser.symbol[[ord(c) for c in t]], np.array([0, len(t)]))[0]) if t else b""
     for k, d in enumerate(docs):
-        s = plain(d)
         assert letters[k] == sum(c.isalpha() for c in d)
         for n, t in enumerate(texts):
-            own = plain(t.lower())
-            expected = sum(phrases(s[i : i + L.STRETCH], own) for i in range(0, len(s), L.STRETCH))
-            assert math.isclose(bits[k, n], expected * math.log2(len(own)))
+            assert math.isclose(bits[k, n], phrases(plain(d), plain(t)) * math.log2(len(plain(t)))), (k, n)
+
+
+def test_rare_letters_tell_scripts_apart(spark):
+    """Languages of one script that differ in a few letters, beside others with far commoner ones."""
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), 4))
+    common = {f"l{k}": "".join(map(chr, range(0x61 + 0, 0x7B))) for k in range(2)}
+    scripts = common | {"zh": "这说国们为发", "ja": "這說國們為發", "el": "αβγδλμ", "ru": "абвгдл"}
+    docs = [(k, " ".join(word(s) for _ in range(60)), n) for n, s in scripts.items() for k in range(8)]
+    model = L.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True))
+    asked = spark.createDataFrame([(n, " ".join(word(scripts[n]) for _ in range(10))) for n in ("zh", "ja", "el", "ru")], "lang string, text string")
+    assert all(r["lang"] == r["lang_pred"] for r in L.identify(asked, model).collect())
+
+
+def test_whole_texts_are_learned_from(spark):
+    docs = spark.createDataFrame([(1, "x" * (L.LONGEST + 5), "a"), (2, "y" * (L.LONGEST + 5), "b"), (3, "short", "b"), (4, "z" * (L.LONGEST + 9), "a")], "doc_id long, text string, lang string")
+    assert L.train(docs, F.lit(True)).texts == ("x" * (L.LONGEST + 5), "short")
 
 
 def test_held_out_accuracy(spark):
