@@ -91,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": url_filter.sql(url_filter.train()),
     "op6_debruijn": debruijn.SQL,
+    "op8_secret_scan": secret_scan.SQL,
 }

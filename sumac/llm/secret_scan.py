@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumac.llm.text import field, stored
+from sumac.llm.text import field, free, sheltered, stored
 
 #: Code points within which complementary parts count as co-occurring.
 SCOPE = 200
@@ -30,28 +30,39 @@ ENDPOINT = r"""(?:[a-z][a-z0-9+]*://[^\x20\x09-\x0D"'<>]+|\b[0-9]{1,3}(?:\.[0-9]
 #: In the order that breaks ties of start.
 KINDS = ["assign", "access", "hex", "ident", "weak_assign", "weak_hex", "endpoint"]
 IDENTIFIERS, SECRETS = ["access", "ident"], ["assign", "hex", "weak_assign", "weak_hex"]
+#: The columns of scan().
+NEW = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "found")
 _SPAN = "array<struct<s:int,k:int,e:int>>"
+#: Numbers that are added up at once.
+_CHUNK = 256
 
 
-def _matches(text: Column, pattern: str, kind: Column | None = None, group: int = 0) -> Column:
-    """The spans {s, k, e, n} of a pattern, in code points: lengths of the gaps between matches and of the matches, summed up.
+def _let(value: Column, make) -> Column:
+    """make(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
 
-    n is the length of the given group; k is the kind's number, from ``kind`` applied to n.
-    """
+
+def _before(values: Column, join) -> Column:
+    """Of each number of an array (0 or more) what those before it come to; in chunks, so that no long array is copied for each of its numbers."""
+
+    def along(numbers: Column, get) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(numbers, start, lambda a, x: F.struct(join(a["at"], get(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    last = F.greatest(F.lit(0), F.ceil(F.size(values) / _CHUNK).cast("int") - 1)
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: along(F.slice(values, k * _CHUNK + 1, F.lit(_CHUNK)), lambda x: x))
+    return _let(chunks, lambda c: F.flatten(F.zip_with(c, along(c, lambda x: x["at"])["out"], lambda x, b: F.transform(x["out"], lambda y: join(b, y)))))
+
+
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """The spans {s, e, n} of a pattern, in code points: lengths of the gaps between matches and of the matches, summed up; n is the length of the given group."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    taken = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    each = F.arrays_zip(F.transform(found, F.length).alias("m"), F.transform(gaps, F.length).alias("g"), F.transform(taken, F.length).alias("n"))
-    each = F.filter(each, lambda x: x["m"].isNotNull())
-    empty = F.array().cast("array<struct<s:int,e:int,n:int>>")
-    summed = F.aggregate(
-        each,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + x["m"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + x["m"]).alias("e"), x["n"].alias("n")))).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(pattern), summed).otherwise(empty)
+    matched = F.transform(found, F.length)
+    taken = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else matched
+    each = F.filter(F.arrays_zip(matched.alias("m"), F.transform(gaps, F.length).alias("g"), taken.alias("n")), lambda x: x["m"].isNotNull())
+    span = lambda x, b: F.struct((b + x["g"]).alias("s"), (b + x["g"] + x["m"]).alias("e"), x["n"].alias("n"))
+    spans = _let(each, lambda z: F.zip_with(z, _before(F.transform(z, lambda x: x["g"] + x["m"]), lambda p, q: p + q), span))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<s:int,e:int,n:int>>"))
 
 
 def _as(spans: Column, kind: str) -> Column:
@@ -75,8 +86,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     A null or empty text has no spans. Repeated rows stay repeated and get the same answer. A column of docs that has the
     name of a new one is replaced; ``keep`` names those that go along (default: all).
     """
-    new = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in NEW]
     whole = F.coalesce(field(docs, text).cast("string"), F.lit(""))
     first = docs.select(F.struct(*[field(docs, c) for c in keep]).alias("row"), whole.alias("text"))
     first = first.withColumns({"a": _matches(F.col("text"), ASSIGN, group=2), "x": _matches(F.col("text"), HEX), "i": _matches(F.col("text"), ACCESS)})
@@ -122,20 +132,37 @@ def _linked(texts: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs whose text has ``mark`` in place of every span that scan() finds (overlapping spans: one mark); a null text stays null.
 
-    An n_chars column follows the new text.
+    An n_chars column follows the new text; all other columns stay as they are, whatever their names. Jobs run while the
+    result is made.
     """
-    full = scan(docs, text)
-    whole = field(full, text)
-    cut = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= a["at"], F.concat(a["out"], F.substring(whole, a["at"] + 1, x["s"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))),
-    )
-    new = F.when(F.size("found") > 0, cut).otherwise(whole)
-    done = full.withColumn("__new", new)
-    columns = [F.col("__new").alias(c) if c == text else F.length("__new").cast("long").alias(c) if c == "n_chars" else field(done, c) for c in docs.columns]
-    return done.select(*columns)
+    frame, back = sheltered(docs, NEW)
+    full = scan(frame, text)
+    whole, old = field(full, text), free("cleared", full.columns)
+    reach = lambda spans: _before(F.transform(spans, lambda x: x["e"]), F.greatest)
+    parted = F.zip_with("found", reach(F.col("found")), lambda x, b: F.struct(b.alias("from"), x["s"].alias("to")))
+    kept = F.transform(F.filter(parted, lambda x: x["to"] >= x["from"]), lambda x: F.substring(whole, x["from"] + 1, x["to"] - x["from"]))
+    end = F.array_max(F.transform("found", lambda x: x["e"]))
+    done = full.withColumn(old, F.when(F.size("found") > 0, F.array_join(F.concat(kept, F.array(F.substring(whole, end + 1, F.length(whole)))), mark)).otherwise(whole))
+    columns = {text: field(done, old)} | ({"n_chars": F.length(field(done, old)).cast("long")} if "n_chars" in docs.columns else {})
+    return back(done.withColumns(columns))
+
+
+#: The DuckDB SQL of scan() over ``documents``, without the found column.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (
+  {" UNION ALL ".join(f"SELECT r, {k} AS k, len(string_split_regex(t, $p${p}$p$)) AS n, regexp_extract_all(t, $p${p}$p$) AS m, regexp_extract_all(t, $p${p}$p$, {g}) AS v, string_split_regex(t, $p${p}$p$) AS g FROM d WHERE regexp_matches(t, $p${p}$p$)"
+                      for k, p, g in ((0, ASSIGN, 2), (1, ACCESS, 0), (2, HEX, 0), (3, IDENT, 0), (6, ENDPOINT, 0)))}
+),
+u AS (SELECT r, k, unnest(range(1, n)) AS i, unnest(list_transform(m, lambda x: length(x))) AS m, unnest(list_transform(v, lambda x: length(x))) AS v, unnest(list_transform(g[:n - 1], lambda x: length(x))) AS g FROM p),
+w AS (SELECT r, k, m, v, sum(g + m) OVER (PARTITION BY r, k ORDER BY i) - m AS s FROM u),
+x AS (SELECT r, CASE WHEN k = 0 AND v < {LEAST_ASSIGN} THEN 4 WHEN k = 2 AND m < {LEAST_HEX} THEN 5 ELSE k END AS k, s, s + m AS e FROM w),
+y AS (
+  SELECT * FROM x WHERE k < 3 OR (
+    EXISTS (SELECT 1 FROM x o WHERE o.r = x.r AND o.k IN (1, 3) AND abs(o.s - x.s) <= {SCOPE}) AND EXISTS (SELECT 1 FROM x o WHERE o.r = x.r AND o.k IN (0, 2, 4, 5) AND abs(o.s - x.s) <= {SCOPE}))
+),
+z AS (SELECT r, k, s, e, {KINDS}[k + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS said FROM y)
+SELECT doc_id, count(*) FILTER (k = 0)::BIGINT AS n_assign, count(*) FILTER (k = 1)::BIGINT AS n_access, count(*) FILTER (k = 2)::BIGINT AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY s, k, e), '') AS spans
+FROM d LEFT JOIN z USING (r) GROUP BY r, doc_id
+"""

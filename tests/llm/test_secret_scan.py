@@ -58,6 +58,27 @@ def test_redaction(spark):
     assert got[2]["text"] is None and got[3]["text"] == "fine"
 
 
+def test_many_spans_in_one_text(spark):
+    """Long texts of several thousand matches: positions add up over the chunks, in redaction too."""
+    text = "é token=abcdefgh1 user: bob, 0123456789abcdef0123456789abcdef01 password=x " * 1500
+    row = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert row["spans"] == brute(text)
+    new = S.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]["text"]
+    out, at = "", 0
+    for s, e in [tuple(map(int, x.split(":")[1:])) for x in row["spans"].split(",")]:
+        if s >= at:
+            out += text[at:s] + "[SECRET]"
+        at = max(at, e)
+    assert new == out + text[at:]
+
+
+def test_columns_of_its_own_names_stay(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1", "mine", "too", 15)], "doc_id long, text string, spans string, Found string, n_chars long")
+    got = S.redacted(docs)
+    assert got.columns == docs.columns and tuple(got.collect()[0]) == (1, "[SECRET]", "mine", "too", 8)
+    assert S.redacted(docs.limit(0)).count() == 0
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for r in S.scan(docs, keep=["text"]).collect():
