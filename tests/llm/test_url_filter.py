@@ -39,6 +39,16 @@ def test_training_table_is_learned(model):
     assert U.train([]).bias < 0
 
 
+def test_hosts_that_were_not_learned():
+    """Five folds: each URL judged by a model that has not seen its fold."""
+    right = []
+    for fold in range(5):
+        kept = [row for k, row in enumerate(U.LABELLED) if k % 5 != fold]
+        model = U.train(kept)
+        right += [(model.bias + sum(model.weights[b] for b in U._bins(u)) >= 0) == bool(y) for k, (u, y) in enumerate(U.LABELLED) if k % 5 == fold]
+    assert len(right) == len(U.LABELLED) <= 200 and sum(right) / len(right) > 0.85, sum(right) / len(right)
+
+
 def test_edges(spark, model):
     pages = spark.createDataFrame([(k, u, "own") for k, u in enumerate(URLS)], "page_id long, url string, host string")
     got = {r["page_id"]: tuple(r)[1:5] for r in U.judge(pages, model, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict").collect()}
