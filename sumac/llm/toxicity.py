@@ -23,12 +23,12 @@ from pyspark.sql import types as T
 from sumac.llm import labels as labelled
 from sumac.llm.text import by_block, field, held_out, lists, rows_of, word_hashes, word_spans
 
-#: Bins of features, the most that get a weight, and the bounds of confirmed and of unlabelled documents.
-BINS, WEIGHED, CONFIRMED, UNLABELLED = 1 << 20, 1_024, 2_000, 6_000
+#: Bins of features, and the bounds of confirmed and of unlabelled documents.
+BINS, CONFIRMED, UNLABELLED = 1 << 20, 2_000, 6_000
 #: Lengths of words' beginnings that are features; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
-#: What screening asks: deviance over the unlabelled rate, times that rate, and share of the confirmed documents.
-DEVIANCE, TIMES, SHARE = 16.0, 3.0, 0.01
+#: What screening asks: deviance over the unlabelled rate, and times that rate.
+DEVIANCE, TIMES = 16.0, 3.0
 _SPLIT = np.ones(256, bool)
 _SPLIT[65:91] = _SPLIT[97:123] = _SPLIT[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -61,20 +61,20 @@ def occurring(data: np.ndarray, at: np.ndarray, only: np.ndarray | None = None)
     return key // BINS, key % BINS
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id") -> Model:
-    """The model learned from at most about CONFIRMED toxic and UNLABELLED other documents, held-out ones left out.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", confirmed: int = CONFIRMED, others: int = UNLABELLED) -> Model:
+    """The model learned from at most about so many confirmed toxic and other documents, held-out ones left out.
 
     Without confirmed examples nothing gets a weight and every text scores under 0.5.
     """
     rows, there = labelled.counts(labels, label)
-    toxic = labelled.lowest(rows.where("label = 1"), "doc_id", {1: CONFIRMED}, there)
+    toxic = labelled.lowest(rows.where("label = 1"), "doc_id", {1: confirmed}, there)
     own = docs.select(field(docs, doc_id).cast("long").alias("doc_id"), field(docs, text).cast("string").alias("text"))
     open_ids = own.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("label", F.lit(0))
     # of the ids that hash low enough; none of their labels is looked at
     bound = {0: open_ids.count()}
-    others = own.where("doc_id is not null and text is not null").where(~held_out(F.col("doc_id"))).withColumn("label", F.lit(0))
-    others = labelled.lowest(others, "doc_id", {0: UNLABELLED}, bound).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    both = labelled.texts(docs, toxic, text, doc_id).unionByName(others.select("doc_id", "label", "text"))
+    unlabelled = own.where("doc_id is not null and text is not null").where(~held_out(F.col("doc_id"))).withColumn("label", F.lit(0))
+    unlabelled = labelled.lowest(unlabelled, "doc_id", {0: others}, bound).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    both = labelled.texts(docs, toxic, text, doc_id).unionByName(unlabelled.select("doc_id", "label", "text"))
 
     def make(rows, data, at):
         r, b = occurring(data, at)
@@ -95,27 +95,41 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     n, m = len(positive), len(unlabelled)
     expected = n * (u + 1) / (m + 1)
     deviance = np.where(p > expected, 2 * (p * np.log(np.maximum(p, 1) / expected) - (p - expected)), 0)
-    bins = np.flatnonzero((deviance >= DEVIANCE) & (p >= TIMES * expected) & (p >= max(3, SHARE * n)))
-    bins = np.sort(bins[np.argsort(-deviance[bins], kind="stable")[:WEIGHED]])
-    x, z = (np.stack([np.isin(bins, d) for d in side]).astype(np.float32) for side in (positive, unlabelled))
+    bins = np.flatnonzero((deviance >= DEVIANCE) & (p >= TIMES * expected))
+    sides = [held(side, bins) for side in (positive, unlabelled)]
     theta = np.zeros(len(bins) + 1)
     theta[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    x, z = (np.concatenate([side, np.ones((len(side), 1), np.float32)], 1) for side in (x, z))
-    sigma = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
     for k in range(1, rounds + 1):
-        a, b = x @ theta.astype(np.float32), z @ theta.astype(np.float32)
-        pos = (sigma(a) - 1) @ x / n * prior  # of prior * E_P[l(+)], l(+) = log(1 + exp(-s))
-        neg = sigma(b) @ z / m - prior * (sigma(a) @ x) / n
-        risk = np.logaddexp(0, b).mean() - prior * np.logaddexp(0, a).mean()
-        slope = pos + neg if risk >= 0 else -neg
-        slope = slope + decay * np.append(theta[:-1], 0)
+        clean, whole, part = risks(theta, *sides, prior)
+        slope = (whole if clean >= 0 else -part) + decay * np.append(theta[:-1], 0)
         first += 0.1 * (slope - first)
         second += 0.01 * (slope * slope - second)
         theta -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
     return Model(bins, theta[:-1], float(theta[-1]))
 
 
+Side = tuple[np.ndarray, np.ndarray, int]
+
+
+def held(docs: list[np.ndarray], bins: np.ndarray) -> Side:
+    """(document, number of the bin, documents) of the given bins that each document has."""
+    own, every = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
+    place = np.minimum(np.searchsorted(bins, every), max(0, len(bins) - 1))
+    there = bins[place] == every if len(bins) else np.zeros(len(every), bool)
+    return own[there], place[there], len(docs)
+
+
+def risks(theta: np.ndarray, positive: Side, unlabelled: Side, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(the clean part E_U[l(-)] - prior * E_P[l(-)], the slope of prior * E_P[l(+)] and it, the slope of it alone), with l(+) = log(1 + exp(-s)) and l(-) = log(1 + exp(s))."""
+    scores = [theta[-1] + np.bincount(d, theta[b], n) for d, b, n in (positive, unlabelled)]
+    a, b = (1 / (1 + np.exp(-np.clip(s, -30, 30))) for s in scores)
+    mean = lambda side, each: np.append(np.bincount(side[1], each[side[0]], len(theta) - 1), each.sum()) / side[2]
+    clean = float(np.logaddexp(0, scores[1]).mean() - prior * np.logaddexp(0, scores[0]).mean())
+    part = mean(unlabelled, b) - prior * mean(positive, a)
+    return clean, prior * mean(positive, a - 1) + part, part
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with score (double, 0 to 1: toxic likelier) and predicted (int, whether the score reaches the threshold).
 
