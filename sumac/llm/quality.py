@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sumac.llm import labels as labelled
-from sumac.llm.text import by_block, field, lists, rows_of, word_hashes, word_spans
+from sumac.llm.text import by_block, field, free, lists, rows_of, word_hashes, word_spans
 
 #: Bins of words, factors, and the most documents of each label that are learned from.
 BINS, FACTORS, PER_LABEL = 2048, 4, 3_000
@@ -75,36 +75,37 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return r, b, x, np.stack(stats, 1)
 
 
-def _columns(rows: pa.RecordBatch, metadata: tuple[str, ...]) -> np.ndarray:
+def _columns(rows: pa.RecordBatch, metas: list[str]) -> np.ndarray:
     """log1p of the metadata, and which of it is missing."""
     out = []
-    for k in range(len(metadata)):
-        x = np.array(rows.column(f"__meta{k}").to_pylist(), float)
+    for name in metas:
+        x = np.array(rows.column(name).to_pylist(), float)
         gone = ~np.isfinite(x)
         out += [np.log1p(np.maximum(0, np.where(gone, 0, x))), gone.astype(float)]
     return np.stack(out, 1) if out else np.zeros((len(rows), 0))
 
 
-def _with_metadata(docs: DataFrame, metadata: tuple[str, ...]) -> DataFrame:
+def _with_metadata(docs: DataFrame, metadata: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """docs with the metadata as further columns, and their names."""
     there = {c.lower(): c for c in docs.columns}
-    return docs.withColumns({f"__meta{k}": field(docs, there[m.lower()]).cast("double") if m.lower() in there else F.lit(None).cast("double") for k, m in enumerate(metadata)})
+    names = [free(f"metadata{k}", docs.columns) for k in range(len(metadata))]
+    return docs.withColumns({n: field(docs, there[m.lower()]).cast("double") if m.lower() in there else F.lit(None).cast("double") for n, m in zip(names, metadata, strict=True)}), names
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", metadata: tuple[str, ...] = (), rounds: int = 12, seed: int = 0) -> Model:
-    """The machine learned from at most about PER_LABEL documents of each label, held-out ones left out (labels.counts).
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", metadata: tuple[str, ...] = (), rounds: int = 12, seed: int = 0, most: int = PER_LABEL) -> Model:
+    """The machine learned from at most about ``most`` documents of each label, held-out ones left out (labels.counts).
 
     Without labelled documents it scores every text 0.5; with one label only, close to that label.
     """
     rows, there = labelled.counts(labels, label)
-    chosen = labelled.lowest(rows, "doc_id", dict.fromkeys((0, 1), PER_LABEL), there)
-    source = _with_metadata(docs, metadata)
-    metas = [f"__meta{k}" for k in range(len(metadata))]
+    chosen = labelled.lowest(rows, "doc_id", dict.fromkeys((0, 1), most), there)
+    source, metas = _with_metadata(docs, metadata)
     picked = labelled.texts(source, chosen, text, extra=metas)
 
     def make(rows, data, at):
         r, b, x, stats = features(data, at)
         n = np.bincount(r, minlength=len(rows))
-        both = np.concatenate([stats, _columns(rows, metadata)], 1)
+        both = np.concatenate([stats, _columns(rows, metas)], 1)
         return [lists(b.astype(np.int32), n, pa.int32()), lists(x.astype(np.float32), n, pa.float32()), lists(both.ravel(), np.full(len(rows), both.shape[1]), pa.float64())]
 
     new = [("bins", T.ArrayType(T.IntegerType())), ("values", T.ArrayType(T.FloatType())), ("stats", T.ArrayType(T.DoubleType()))]
@@ -155,12 +156,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
     Repeated rows stay repeated; a column of docs that has the name of a new one is replaced.
     """
     names = docs.columns if keep is None else keep
-    source = _with_metadata(docs, model.metadata)
-    metas = [f"__meta{k}" for k in range(len(model.metadata))]
+    source, metas = _with_metadata(docs, model.metadata)
 
     def make(rows, data, at):
         r, b, x, stats = features(data, at)
-        rest = _scaled(np.concatenate([stats, _columns(rows, model.metadata)], 1), model.mean, model.scale)
+        rest = _scaled(np.concatenate([stats, _columns(rows, metas)], 1), model.mean, model.scale)
         n = len(rows)
         z = model.w0 + np.bincount(r, model.w[b] * x, n) + rest @ model.w[BINS:]
         for f in range(FACTORS):

@@ -142,16 +142,16 @@ def by_block(
     """
     names = {n.lower() for n, _ in new}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    whole = free("text", [*keep, *names])
-    source = docs.select(*[field(docs, c) for c in keep], field(docs, text).cast("string").alias(whole))
-    schema = T.StructType([*[source.schema[c] for c in keep], *[T.StructField(n, t) for n, t in new]])
-    out = [*keep, *[n for n, _ in new]]
+    # plain names on the way, as any column may have any name
+    source = docs.select(*[field(docs, c).alias(f"c{k}") for k, c in enumerate(keep)], field(docs, text).cast("string").alias("text"))
+    schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(f"n{k}", t) for k, (_, t) in enumerate(new)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches, whole, limit):
-            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *make(rows, data, at)], out)
+        for rows, data, at in blocks(batches, "text", limit):
+            made = make(pa.RecordBatch.from_arrays(rows.columns[:-1], keep) if keep else rows, data, at)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *made], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *[n for n, _ in new])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
