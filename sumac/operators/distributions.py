@@ -42,13 +42,8 @@ def _sampled(frame: DataFrame | Dataset, schema: FieldSchema, keys: tuple[Key, .
     return rows.select(*[key_column(schema, k).alias(n) for k, n in zip(keys, names, strict=True)], x.value.alias("x"), failed.alias("failed")), names
 
 
-def _counts() -> list[Column]:
-    return [F.count("*").alias("count"), F.count("x").alias("n"), F.count_if(F.col("x").isNull() & ~F.col("failed")).alias("null_count"), F.count_if("failed").alias("input_error_count")]
-
-
-def _percentiles(rows: DataFrame, names: list[str], p: list[float], more: list[Column]) -> DataFrame:
-    """The counts, ``more`` and q."""
-    return same(rows.groupBy(*names).agg(*_counts(), *more), exact_percentiles(rows, names, p), names, "left")
+def _counts() -> dict[str, Column]:
+    return {"count": F.count("*"), "n": F.count("x"), "null_count": F.count_if(F.col("x").isNull() & ~F.col("failed")), "input_error_count": F.count_if("failed")}
 
 
 def box(frame: DataFrame | Dataset, schema: FieldSchema, x: Cell, keys: tuple[Key, ...] = (), spec: Box = Box(), where: tuple[dict, ...] = (), now: datetime | None = None) -> DataFrame:
@@ -62,31 +57,33 @@ def box(frame: DataFrame | Dataset, schema: FieldSchema, x: Cell, keys: tuple[Ke
 def box_of(rows: DataFrame, names: list[str], spec: Box) -> DataFrame:
     """box() of rows (names, x, failed) that are there already."""
     p = [0.25, 0.5, 0.75, *(spec.probabilities if spec.whiskers == "percentile" else [])]
-    base = _percentiles(rows, names, p, [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")])
+    base = exact_percentiles(rows, names, F.col("x"), p, _counts() | {"min": F.min("x"), "max": F.max("x"), "mean": F.avg("x")})
     quartiles = [F.col("q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3", "p_low", "p_high")[: len(p)])]
     base = base.select(*names, "count", "n", "null_count", "input_error_count", "min", "max", F.least("max", F.greatest("min", "mean")).alias("mean"), *quartiles)
-    first = [*names, "count", "n", "null_count", "input_error_count", "min", "q1", "median", "q3", "max", "mean"]
+    stats = ["count", "n", "null_count", "input_error_count", "min", "q1", "median", "q3", "max", "mean"]
     none = F.when(F.col("n") > 0, F.array().cast("array<double>"))
     if spec.whiskers == "minmax":
-        return base.select(*first, F.col("min").alias("low"), F.col("max").alias("high"), F.lit(0).cast("long").alias("outlier_count"), none.alias("outliers"))
+        return base.select(*names, *stats, F.col("min").alias("low"), F.col("max").alias("high"), F.lit(0).cast("long").alias("outlier_count"), none.alias("outliers"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fence = (F.col("q1") - reach, F.col("q3") + reach) if spec.whiskers == "tukey" else (F.col("p_low"), F.col("p_high"))
-    held = same(rows.where("x is not null").select(*names, "x"), base.select(*names, fence[0].alias("from"), fence[1].alias("to")), names, "inner")
+    carried = [*stats, *(["p_low", "p_high"] if spec.whiskers == "percentile" else [])]
+    held = same(rows.select(*names, "x"), base.select(*names, *carried, fence[0].alias("from"), fence[1].alias("to")), names, "inner" if names else "right")
     beyond = F.when(~F.col("x").between(F.col("from"), F.col("to")), F.col("x"))
     # the values inside as one row, each one outside with how often it occurs: counts, ends and lists all come from these
-    values = held.select(*names, "x", beyond.alias("beyond")).groupBy(*names, "beyond").agg(F.count("*").alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
-    inside = F.col("beyond").isNull()
-    ends = values.groupBy(*names).agg(F.min(F.when(inside, F.col("least"))).alias("in_low"), F.max(F.when(inside, F.col("most"))).alias("in_high"), F.coalesce(F.sum(F.when(~inside, F.col("c"))), F.lit(0)).alias("outlier_count"))
-    out = same(base, ends, names, "left").withColumn("outlier_count", F.coalesce("outlier_count", F.lit(0)))
+    first = [F.first(c).alias(c) for c in carried]
+    values = held.withColumn("beyond", beyond).groupBy(*names, "beyond").agg(F.count("x").alias("c"), F.min("x").alias("least"), F.max("x").alias("most"), *first)
+    outside, aggs = F.col("beyond").isNotNull(), []
+    if spec.whiskers == "tukey":
+        by = lambda o: F.row_number().over(Window.partitionBy(*(names or [F.lit(0)])).orderBy(o))
+        values = values.withColumns({"up": by(F.asc_nulls_last("beyond")), "down": by(F.desc_nulls_last("beyond"))})
+        again = lambda r, n: F.collect_list(F.when(outside & (F.col(r) <= n), F.array_repeat("beyond", F.least(F.col("c"), F.lit(n)).cast("int"))))
+        aggs = [F.sort_array(F.flatten(again("up", 2 * LISTED))).alias("lowest"), F.sort_array(F.flatten(again("down", LISTED))).alias("highest")]
+    inside = [F.min(F.when(~outside, F.col("least"))).alias("in_low"), F.max(F.when(~outside, F.col("most"))).alias("in_high")]
+    out = values.groupBy(*names).agg(*first, *inside, F.coalesce(F.sum(F.when(outside, F.col("c"))), F.lit(0)).alias("outlier_count"), *aggs)
     if spec.whiskers == "percentile":
-        return out.select(*first, F.col("p_low").alias("low"), F.col("p_high").alias("high"), "outlier_count", none.alias("outliers"))
-    by = lambda o: F.row_number().over(Window.partitionBy(*(names or [F.lit(0)])).orderBy(o))
-    again = F.sort_array(F.flatten(F.collect_list(F.array_repeat("beyond", F.least(F.col("c"), F.lit(2 * LISTED)).cast("int")))))
-    for n, order in (("least", F.asc("beyond")), ("most", F.desc("beyond"))):
-        ranked = values.where(~inside).withColumn("r", by(order)).where(F.col("r") <= 2 * LISTED)  # found before they are gathered
-        out = same(out, ranked.groupBy(*names).agg(again.alias(n)), names, "left")
-    listed = F.when(F.col("outlier_count") <= 2 * LISTED, F.col("least")).otherwise(F.concat(F.slice("least", 1, LISTED), F.slice("most", -LISTED, LISTED)))
-    return out.select(*first, F.col("in_low").alias("low"), F.col("in_high").alias("high"), "outlier_count", F.when(F.col("n") > 0, F.coalesce(listed, F.array().cast("array<double>"))).alias("outliers"))
+        return out.select(*names, *stats, F.col("p_low").alias("low"), F.col("p_high").alias("high"), "outlier_count", none.alias("outliers"))
+    listed = F.when(F.col("outlier_count") <= 2 * LISTED, F.col("lowest")).otherwise(F.concat(F.slice("lowest", 1, LISTED), F.slice("highest", -LISTED, LISTED)))
+    return out.select(*names, *stats, F.col("in_low").alias("low"), F.col("in_high").alias("high"), "outlier_count", F.when(F.col("n") > 0, listed).alias("outliers"))
 
 
 def histogram(frame: DataFrame | Dataset, schema: FieldSchema, x: Cell, keys: tuple[Key, ...] = (), bins: int = 10, where: tuple[dict, ...] = (), now: datetime | None = None) -> DataFrame:
@@ -101,7 +98,7 @@ def histogram(frame: DataFrame | Dataset, schema: FieldSchema, x: Cell, keys: tu
     about = F.when(high > low, F.least(F.lit(bins - 1.0), F.floor((v - low) / (high - low) * bins).cast("double"))).otherwise(0.0)
     right = about + ((about < bins - 1) & (v >= edge(low, high, bins, about + 1))).cast("int") - (v < edge(low, high, bins, about)).cast("int")
     bin_ = F.when(v.isNotNull(), F.when(high > low, right).otherwise(0).cast("int"))
-    got = rows.join(F.broadcast(extent)).withColumn("bin", bin_).groupBy(*names).agg(*_counts(), F.max("from").alias("from"), F.max("to").alias("to"), *[F.count_if(F.col("bin") == k).alias(f"c{k}") for k in range(bins)])
+    got = rows.join(F.broadcast(extent)).withColumn("bin", bin_).groupBy(*names).agg(*[c.alias(n) for n, c in _counts().items()], F.max("from").alias("from"), F.max("to").alias("to"), *[F.count_if(F.col("bin") == k).alias(f"c{k}") for k in range(bins)])
     counts, cuts = F.array(*[F.col(f"c{k}") for k in range(bins)]), edges(low, high, bins)
     return got.withColumn("edges", cuts).select(*names, "count", "n", "null_count", "input_error_count", "edges", F.slice(counts, F.lit(1), F.greatest(F.lit(0), F.size("edges") - 1)).alias("counts"))
 
@@ -111,5 +108,5 @@ def quantiles(frame: DataFrame | Dataset, schema: FieldSchema, x: Cell, probabil
     if not 1 <= len(probabilities) <= 101 or any(b <= a for a, b in zip(probabilities, probabilities[1:])) or not 0 <= probabilities[0] <= probabilities[-1] <= 1:
         raise QueryError("invalid_probability", "1 to 101 rising probabilities")
     rows, names = _sampled(frame, schema, keys, where, x, now)
-    got = _percentiles(rows, names, [*probabilities, 0.5], [])
+    got = exact_percentiles(rows, names, F.col("x"), [*probabilities, 0.5], _counts())
     return got.select(*names, "count", "n", "null_count", "input_error_count", F.slice("q", 1, len(probabilities)).alias("values"), F.element_at("q", -1).alias("median"))

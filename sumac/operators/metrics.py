@@ -149,13 +149,12 @@ def grouped(frame: DataFrame | Dataset, schema: FieldSchema, metric: Metric, now
     rows, keys = population(frame, schema, metric.where, now), metric.keys()
     if keys:
         rows = rows.select("*", *[key_column(schema, k).alias(n) for k, n in zip(metric.group_by, keys, strict=True)])
-    got = rows.groupBy(*keys).agg(*aggs)
     inputs: dict[str, list[str]] = {}
     for name, part in ranked.items():
         inputs.setdefault(str(part.input.value), []).append(name)
+    got = rows.groupBy(*keys).agg(*aggs)
     for names in inputs.values():
-        values = rows.select(*keys, ranked[names[0]].input.value.alias("x"))
-        q = exact_percentiles(values, keys, [ranked[n].probability for n in names])
+        q = exact_percentiles(rows, keys, ranked[names[0]].input.value, [ranked[n].probability for n in names])
         got = same(got, q.select(*keys, *[F.col("q")[k].alias(f"p_{n}") for k, n in enumerate(names)]), keys, "left")
     return got
 

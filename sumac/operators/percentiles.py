@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumac.operators.joins import same
@@ -18,27 +18,29 @@ from sumac.operators.joins import same
 ACCURACY, SMALL = 10_000, 10_000
 
 
-def exact_percentiles(rows: DataFrame, names: list[str], probabilities: list[float]) -> DataFrame:
-    """(names, q): the percentiles of x, interpolated between ranks, of each group that has one. rows: (names, x)."""
-    there = rows.where("x is not null").select(*names, F.col("x").cast("double").alias("x"))
+def exact_percentiles(rows: DataFrame, names: list[str], x: Column, probabilities: list[float], more: dict[str, Column] | None = None) -> DataFrame:
+    """(names, more, q) of each group: further aggregations of its rows, and the percentiles of x, interpolated between ranks (null where x always is)."""
+    more, wanted = more or {}, sorted(set(probabilities))
     reach = 4 / ACCURACY
-    wanted = sorted(set(probabilities))
     ends = [F.lit(float(p)) for q in wanted for p in (max(0.0, q - reach), min(1.0, q + reach))]
-    sketch = there.groupBy(*names).agg(F.count("*").alias("n"), F.percentile_approx("x", F.array(*ends), F.lit(ACCURACY)).alias("ends"))
-    met = same(there, sketch.where("n > 0"), names, "inner")
-    x, lows, highs = F.col("x"), [F.col("ends")[2 * k] for k in range(len(wanted))], [F.col("ends")[2 * k + 1] for k in range(len(wanted))]
+    value = x.cast("double")
+    sketch = rows.groupBy(*names).agg(*[c.alias(n) for n, c in more.items()], F.count(value).alias("__n"), F.percentile_approx(value, F.array(*ends), F.lit(ACCURACY)).alias("__ends"))
+    met = same(rows.select(*names, value.alias("__x")), sketch, names, "inner")
+    v, lows, highs = F.col("__x"), [F.col("__ends")[2 * k] for k in range(len(wanted))], [F.col("__ends")[2 * k + 1] for k in range(len(wanted))]
     # bounds at or under x, and bounds that x is beyond: both rise with x, so that their sum orders the stretches between bounds
-    stretch = reduce(lambda a, b: a + b, [c.cast("int") for low, high in zip(lows, highs, strict=True) for c in (x >= low, x > high)])
-    between = reduce(lambda a, b: a | b, [x.between(low, high) for low, high in zip(lows, highs, strict=True)])
-    small = F.col("n") <= SMALL
-    parts = met.select(*names, "n", F.when(small, 0).otherwise(stretch).alias("stretch"), F.when(small | between, x).alias("at"))
-    counted = parts.groupBy(*names, "n", "stretch", "at").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*names).orderBy("stretch", "at"))
-    placed = counted.withColumn("upto", upto).where("at is not null")
-    ranks = {p: (F.col("n") - 1) * float(p) for p in wanted}
-    holds = lambda rank: F.max(F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")), F.col("at")))
-    found = {f"{end}{k}": holds(f(ranks[p])) for k, p in enumerate(wanted) for end, f in (("a", F.floor), ("b", F.ceil))}
-    got = placed.groupBy(*names).agg(F.max("n").alias("n"), *[c.alias(n) for n, c in found.items()])
+    stretch = reduce(lambda a, b: a + b, [c.cast("int") for low, high in zip(lows, highs, strict=True) for c in (v >= low, v > high)])
+    between = reduce(lambda a, b: a | b, [v.between(low, high) for low, high in zip(lows, highs, strict=True)])
+    small, carried = F.col("__n") <= SMALL, ["__n", *more]
+    parts = met.select(*names, *carried, v, F.when(small, 0).otherwise(stretch).alias("__stretch"), F.when(small | between, v).alias("__at"))
+    counted = parts.groupBy(*names, "__stretch", "__at").agg(F.count("__x").alias("__c"), *[F.first(c).alias(c) for c in carried])
+    upto = F.sum("__c").over(Window.partitionBy(*(names or [F.lit(0)])).orderBy("__stretch", "__at"))
+    placed = counted.withColumn("__upto", upto)
+    ranks = {p: (F.col("__n") - 1) * float(p) for p in wanted}
+    holds = lambda rank: F.max(F.when((rank >= F.col("__upto") - F.col("__c")) & (rank < F.col("__upto")), F.col("__at")))
+    found = {f"__{end}{k}": holds(f(ranks[p])) for k, p in enumerate(wanted) for end, f in (("a", F.floor), ("b", F.ceil))}
+    got = placed.groupBy(*names).agg(*[F.first(c).alias(c) for c in carried], *[c.alias(n) for n, c in found.items()])
     share = {p: ranks[p] - F.floor(ranks[p]) for p in wanted}
-    value = {p: (1 - share[p]) * F.col(f"a{k}") + share[p] * F.col(f"b{k}") for k, p in enumerate(wanted)}
-    return got.where("n > 0").select(*names, F.array(*[value[p] for p in probabilities]).alias("q"))
+    each = {p: (1 - share[p]) * F.col(f"__a{k}") + share[p] * F.col(f"__b{k}") for k, p in enumerate(wanted)}
+    got = got.select(*names, *more, F.when(F.col("__n") > 0, F.array(*[each[p] for p in probabilities])).alias("q"))
+    return got if names else same(rows.limit(0).agg(*[c.alias(n) for n, c in more.items()], F.lit(None).cast("array<double>").alias("q")), got.withColumnsRenamed({c: f"__{c}" for c in [*more, "q"]}), [], "left").select(
+        *[F.coalesce(f"__{n}", n).alias(n) for n in more], F.col("__q").alias("q"))  # without rows one group of none

@@ -67,6 +67,6 @@ def occurrences(frame: DataFrame, schema: FieldSchema, metric: Metric, probabili
     keys, dated = metric.keys(), _each(frame, schema, metric, now)
     got = dated.groupBy(*keys).agg(F.count("value").alias("occurrences"), F.sum("count").alias("count"), F.min("error").alias("error"), F.avg("value").alias("value"))
     if probabilities:
-        q = exact_percentiles(dated.select(*keys, F.col("value").alias("x")), keys, probabilities)
+        q = exact_percentiles(dated, keys, F.col("value"), probabilities)
         got = same(got, q.select(*keys, F.col("q").alias("values")), keys, "left")
     return got.withColumn("value", F.when(F.col("error").isNull(), F.col("value")))
