@@ -7,7 +7,8 @@ encodings of pieces and seams agree exactly with that of the whole text, one aft
 a single pre-token, can't be cut and is one seam.)
 
 Pieces that occur more than once in the corpus are found by counting their hashes, encoded once, and joined back to the
-documents that hold them; seams and other pieces are encoded where they are read, as one where they adjoin.
+documents that they make up the larger part of; seams and other pieces are encoded where they are read, as one where they
+adjoin, and so are all other documents.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from sumac.llm.text import BLOCK, bit_filter, blocks, field, in_filter, mix, sto
 
 #: Bytes that the rolling hash sees, the mean length of a chunk (a power of two), and the least length of a piece that is looked up.
 WINDOW, MEAN, LEAST = 16, 256, 64
+#: The share of a text that pieces which occur more than once must make up for it to be put together from them.
+SHARE = 0.5
 #: Documents with their parts that a task takes in at a time.
 DOCS = 500
 #: Fixed value: the pattern by which byte-level BPE files of this kind split text before the merges.
@@ -66,6 +69,8 @@ class Codec:
         piece = [b""] * top
         for s, k in tokens.items():
             piece[k] = s
+        #: How ids are written in tables.
+        self.kind = "<u2" if top <= 1 << 16 else "<u4"
         self.length = np.array([len(s) for s in piece], np.int64)
         self._start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self._flat = np.frombuffer(b"".join(piece), np.uint8)
@@ -193,7 +198,7 @@ def _book(texts: DataFrame, path: str, wanted: np.ndarray) -> DataFrame:
     def encoded(batches):
         for rows in batches:
             ids = [codec(path).encode(x.as_py()) for x in rows.column("piece")]
-            yield pa.RecordBatch.from_arrays([rows.column("h1"), rows.column("h2"), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["h1", "h2", "ids"])
+            yield pa.RecordBatch.from_arrays([rows.column("h1"), rows.column("h2"), pa.array([x.astype(codec(path).kind).tobytes() for x in ids], pa.binary())], ["h1", "h2", "ids"])
 
     once = texts.select("text").mapInArrow(given, "h1 long, h2 long, piece binary").groupBy("h1", "h2").agg(F.first("piece").alias("piece"))
     return stored(once.mapInArrow(encoded, "h1 long, h2 long, ids binary"))
@@ -209,6 +214,8 @@ def _parted(texts: DataFrame, path: str, wanted: np.ndarray, finish, new: list[t
         for rows, data, at in blocks(batches, "text"):
             p, raw, own = Pieces(data, at), data.tobytes(), codec(path)
             hit = np.flatnonzero(in_filter(wanted, p.h1))
+            shared = np.bincount(p.row[p.known[hit]], p.size[hit], len(rows)) >= SHARE * np.diff(at)
+            hit = hit[shared[p.row[p.known[hit]]]]
             first = np.searchsorted(p.row[p.known[hit]], np.arange(len(rows) + 1))
             keys, refs, local, counts, done = [], [], [], [], []
             for r, key in enumerate(rows.column("key").to_pylist()):
@@ -230,7 +237,7 @@ def _parted(texts: DataFrame, path: str, wanted: np.ndarray, finish, new: list[t
                 mine = hit[first[r] : first[r + 1]]
                 keys.append(key)
                 refs.append([{"nth": n, "h1": int(p.h1[k].view(np.int64)), "h2": int(p.h2[k].view(np.int64))} for n, k in enumerate(mine)] or None)
-                local.append(ids.astype("<u4").tobytes() if len(mine) else None)
+                local.append(ids.astype(own.kind).tobytes() if len(mine) else None)
                 counts.append(many if len(mine) else None)
                 done.append(None if len(mine) else ids)
             kinds = pa.list_(pa.struct([("nth", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
@@ -248,14 +255,15 @@ def _assembled(parts: DataFrame, path: str, finish, new: list[tuple[str, T.DataT
         for rows in batches:
             whole = []
             for local, counts, got in zip(*(rows.column(c) for c in ("local", "counts", "pieces")), strict=True):
-                own, place, out, following = np.frombuffer(local.as_buffer(), "<u4"), 0, [], iter(got.values)
+                kind = codec(path).kind
+                own, place, out, following = np.frombuffer(local.as_buffer(), kind), 0, [], iter(got.values)
                 for n in counts.values.to_pylist():
                     if n < 0:
-                        out.append(np.frombuffer(next(following).as_buffer(), "<u4"))
+                        out.append(np.frombuffer(next(following).as_buffer(), kind))
                     else:
                         out.append(own[place : place + n])
                         place += n
-                whole.append(np.concatenate(out))
+                whole.append(np.concatenate(out).astype(np.uint32))
             yield pa.RecordBatch.from_arrays([rows.column("key"), *finish(codec(path), whole)], ["key", *[n for n, _ in new]])
 
     schema = T.StructType([T.StructField("key", T.BinaryType()), *[T.StructField(n, t) for n, t in new]])
