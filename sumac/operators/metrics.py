@@ -153,9 +153,13 @@ def grouped(frame: DataFrame | Dataset, schema: FieldSchema, metric: Metric, now
     for name, part in ranked.items():
         inputs.setdefault(str(part.input.value), []).append(name)
     got = rows.groupBy(*keys).agg(*aggs)
-    for names in inputs.values():
-        q = exact_percentiles(rows, keys, ranked[names[0]].input.value, [ranked[n].probability for n in names])
-        got = same(got, q.select(*keys, *[F.col("q")[k].alias(f"p_{n}") for k, n in enumerate(names)]), keys, "left")
+    others = got.columns[len(keys) :]
+    for k, names in enumerate(inputs.values()):
+        # the first input's readings carry the other parts along, unless they are text
+        more = dict(zip(others, aggs, strict=True)) if k == 0 and "string" not in dict(got.dtypes[len(keys) :]).values() else {}
+        q = exact_percentiles(rows, keys, ranked[names[0]].input.value, [ranked[n].probability for n in names], more)
+        found = q.select(*keys, *more, *[F.col("q")[i].alias(f"p_{n}") for i, n in enumerate(names)])
+        got = found if more else same(got, found, keys, "left")
     return got
 
 
