@@ -233,10 +233,11 @@ def to_boolean(a) -> Cell:
     return strict(lambda x: F.when(low(x).isin("true", "1"), True).when(low(x).isin("false", "0"), False), a, fails=[("invalid_boolean", lambda x: ~low(x).isin("true", "1", "false", "0"))])
 
 
-def to_datetime(a) -> Cell:
-    """An ISO date (its midnight in UTC) or a timestamp with an offset."""
-    shape = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2}))?$"
-    got = lambda x: F.when(x.rlike(shape), F.date_trunc("millisecond", x.try_cast("timestamp")))
+def to_datetime(a, zone: str = "UTC") -> Cell:
+    """An ISO date (its midnight in the zone) or a timestamp with an offset."""
+    date, time = r"\d{4}-\d{2}-\d{2}", r"[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})"
+    midnight = lambda x: F.to_utc_timestamp(x.try_cast("timestamp_ntz"), zone)
+    got = lambda x: F.date_trunc("millisecond", F.when(x.rlike(f"^{date}$"), midnight(x)).when(x.rlike(f"^{date}{time}$"), x.try_cast("timestamp")))
     return strict(got, a, fails=[("invalid_datetime", lambda x: x.isNotNull() & got(x).isNull())])
 
 

@@ -67,7 +67,7 @@ def box_of(rows: DataFrame, names: list[str], spec: Box) -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fence = (F.col("q1") - reach, F.col("q3") + reach) if spec.whiskers == "tukey" else (F.col("p_low"), F.col("p_high"))
     carried = [*stats, *(["p_low", "p_high"] if spec.whiskers == "percentile" else [])]
-    held = same(rows.select(*names, "x"), base.select(*names, *carried, fence[0].alias("from"), fence[1].alias("to")), names, "inner" if names else "right")
+    held = same(rows.select(*names, "x"), base.select(*names, *carried, fence[0].alias("from"), fence[1].alias("to")), names, "inner")
     beyond = F.when(~F.col("x").between(F.col("from"), F.col("to")), F.col("x"))
     # the values inside as one row, each one outside with how often it occurs: counts, ends and lists all come from these
     first = [F.first(c).alias(c) for c in carried]
@@ -80,6 +80,7 @@ def box_of(rows: DataFrame, names: list[str], spec: Box) -> DataFrame:
         aggs = [F.sort_array(F.flatten(again("up", 2 * LISTED))).alias("lowest"), F.sort_array(F.flatten(again("down", LISTED))).alias("highest")]
     inside = [F.min(F.when(~outside, F.col("least"))).alias("in_low"), F.max(F.when(~outside, F.col("most"))).alias("in_high")]
     out = values.groupBy(*names).agg(*first, *inside, F.coalesce(F.sum(F.when(outside, F.col("c"))), F.lit(0)).alias("outlier_count"), *aggs)
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in _counts()})  # without keys and rows there is one group of none
     if spec.whiskers == "percentile":
         return out.select(*names, *stats, F.col("p_low").alias("low"), F.col("p_high").alias("high"), "outlier_count", none.alias("outliers"))
     listed = F.when(F.col("outlier_count") <= 2 * LISTED, F.col("lowest")).otherwise(F.concat(F.slice("lowest", 1, LISTED), F.slice("highest", -LISTED, LISTED)))

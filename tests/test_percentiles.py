@@ -33,3 +33,8 @@ def test_boxes_list_their_outliers(spark):
     out = sorted(v for v in values if not q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1))
     assert got["a"]["outlier_count"] == len(out) > 2 * distributions.LISTED and got["a"]["outliers"] == out[:10] + out[-10:]
     assert (got["b"]["low"], got["b"]["high"], got["b"]["outliers"], got["b"]["null_count"]) == (1.0, 1.0, [], 1)
+    for whiskers in ("minmax", "tukey", "percentile"):
+        none = distributions.box(frame.where("false"), SCHEMA, col("x"), (), distributions.Box(whiskers)).collect()
+        assert [(r["count"], r["n"], r["median"], r["outlier_count"], r["outliers"]) for r in none] == [(0, 0, None, 0, None)]
+        whole = distributions.box(frame, SCHEMA, col("x"), (), distributions.Box(whiskers)).collect()[0]
+        assert (whole["count"], whole["n"], whole["null_count"]) == (135, 134, 1)

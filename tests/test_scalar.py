@@ -59,6 +59,8 @@ def cases():
         (S.to_boolean(text("y")), None, "invalid_boolean"),
         (S.to_boolean(text("1")), True, None),
         (S.to_datetime(text("2024-02-30")), None, "invalid_datetime"),
+        (S.datetime_to_text(S.to_datetime(text("2024-07-01"), "America/New_York")), "2024-07-01T04:00:00.000Z", None),
+        (S.datetime_to_text(S.to_datetime(text("2024-07-01"))), "2024-07-01T00:00:00.000Z", None),
         (S.datetime_to_text(S.to_datetime(text("2024-02-29T01:00:00+02:00"))), "2024-02-28T23:00:00.000Z", None),
         (S.left(text("a😀bc"), 2), "a😀", None),
         (S.right(text("a😀bc"), 3), "😀bc", None),
