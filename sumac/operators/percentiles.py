@@ -42,5 +42,7 @@ def exact_percentiles(rows: DataFrame, names: list[str], x: Column, probabilitie
     share = {p: ranks[p] - F.floor(ranks[p]) for p in wanted}
     each = {p: (1 - share[p]) * F.col(f"__a{k}") + share[p] * F.col(f"__b{k}") for k, p in enumerate(wanted)}
     got = got.select(*names, *more, F.when(F.col("__n") > 0, F.array(*[each[p] for p in probabilities])).alias("q"))
-    return got if names else same(rows.limit(0).agg(*[c.alias(n) for n, c in more.items()], F.lit(None).cast("array<double>").alias("q")), got.withColumnsRenamed({c: f"__{c}" for c in [*more, "q"]}), [], "left").select(
-        *[F.coalesce(f"__{n}", n).alias(n) for n in more], F.col("__q").alias("q"))  # without rows one group of none
+    if names:
+        return got
+    none = rows.limit(0).agg(*[c.alias(f"__{n}") for n, c in more.items()], F.lit(1))  # what the others are of no rows
+    return got.join(F.broadcast(none)).select(*[F.coalesce(n, f"__{n}").alias(n) for n in more], "q")
