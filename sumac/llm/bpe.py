@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumac.llm.text import BLOCK, bit_filter, blocks, field, in_filter, mix, stored, word_hashes
+from sumac.llm.text import BLOCK, bit_filter, blocks, field, free, in_filter, mix, stored, word_hashes
 
 #: Bytes that the rolling hash sees, the mean length of a chunk (a power of two), and the least length of a piece that is looked up.
 WINDOW, MEAN, LEAST = 16, 256, 64
@@ -289,7 +289,7 @@ def _coded(docs: DataFrame, path: str, text: str, keep: list[str] | None, finish
 
 
 def _ids(own: Codec, found: list[np.ndarray | None]) -> list[pa.Array]:
-    return [pa.array([None if x is None else x.astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in found], pa.int64())]
+    return [pa.array([None if x is None else x.astype(own.kind).tobytes() for x in found], pa.binary()), pa.array([None if x is None else len(x) for x in found], pa.int64())]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -298,7 +298,21 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     A null or empty text has no tokens. Repeated rows stay repeated; a column of docs named ids or n_tokens is replaced. Jobs
     run while the result is made.
     """
-    return _coded(docs, path, text, keep, _ids, [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType())])
+    new = [("ids", T.BinaryType()), ("n_tokens", T.LongType())]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("ids", "n_tokens")]
+    row = F.struct(*[field(docs, c) for c in keep], F.lit(None).cast("int").alias(free("none", keep)))
+    coded = _coded(docs.select(row.alias("row"), field(docs, text).cast("string").alias("text")), path, "text", ["row"], _ids, new)
+    schema = T.StructType([coded.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+
+    def run(batches):
+        kind = codec(path).kind
+        for rows in batches:
+            ids = [np.frombuffer(x.as_buffer(), kind).astype(np.int32) for x in rows.column("ids")]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([rows.column("row"), pa.ListArray.from_arrays(pa.array(ends), flat), rows.column("n_tokens")], schema.names)
+
+    return coded.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in keep], "ids", "n_tokens")
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
